@@ -34,10 +34,9 @@ class Memo(dict):
         for chunks in lists:
             missing.update(chunks)
         self.passing = {}
-        missing.difference_update(self.keys())
-        if not missing:
+        new = [c for c in missing if c not in self]
+        if not new:
             return
-        new = list(missing)
         to = self if len(self) + len(new) <= self.keep else self.passing
         to.update(zip(new, self.work(new), strict=True))
 

@@ -15,6 +15,7 @@ no rows. Without labels of both classes all scores are 0.5.
 from __future__ import annotations
 
 import operator
+import uuid
 from collections import Counter
 from collections.abc import Iterable, Iterator
 
@@ -143,7 +144,7 @@ def scorer(table: np.ndarray):
     return score
 
 
-_scorers: dict[int, tuple] = {}
+_scorers: dict[str, tuple] = {}
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", of: int = 4, left: int = 2, threshold: float = 0.7, rows: int = SAMPLE) -> DataFrame:
@@ -158,10 +159,12 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", o
     bags_of = [(np.frombuffer(i, "<u4"), np.frombuffer(n, "<u4")) for i, n in zip(known["ids"].to_pylist(), known["counts"].to_pylist(), strict=True)]
     shared = docs.sparkSession.sparkContext.broadcast(train(bags_of, np.array(known["label"].to_pylist(), np.int64)))
 
+    key = uuid.uuid4().hex
+
     def score(texts):
-        if shared.id not in _scorers:
+        if key not in _scorers:
             _scorers.clear()
-            _scorers[shared.id] = scorer(shared.value)
-        return _scorers[shared.id](texts)
+            _scorers[key] = scorer(shared.value)
+        return _scorers[key](texts)
 
     return with_scores(docs, of, left, score, threshold)

@@ -16,6 +16,7 @@ rows. Without labels of both classes all scores are 0.5.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from functools import lru_cache
 
@@ -147,7 +148,7 @@ def scorer(machine: Machine):
     return score
 
 
-_scorers: dict[int, object] = {}
+_scorers: dict[str, object] = {}
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, left: int = 1, threshold: float = 0.7, rows: int = SAMPLE) -> DataFrame:
@@ -163,10 +164,12 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", of
     documents = [np.frombuffer(x, "<u4").astype(np.int64) for x in known["terms"].to_pylist()]
     shared = docs.sparkSession.sparkContext.broadcast(train(documents, np.array(known["label"].to_pylist(), np.int64)))
 
+    key = uuid.uuid4().hex
+
     def score(texts):
-        if shared.id not in _scorers:
+        if key not in _scorers:
             _scorers.clear()
-            _scorers[shared.id] = scorer(shared.value)
-        return _scorers[shared.id](texts)
+            _scorers[key] = scorer(shared.value)
+        return _scorers[key](texts)
 
     return with_scores(docs, of, left, score, threshold)

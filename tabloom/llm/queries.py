@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dups
+from . import mixing, near_dups
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,6 +38,12 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(spark, table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed
+
+    return mixed(table(spark, sf_dir, "documents"), carry=["doc_id", "source"]).select("row.doc_id", "row.source", "block", "release", "deadline", "slot", "digest")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity_scores
 
@@ -62,5 +68,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_fingerprints, op4_quality, op5_token_files, op7_toxicity, op8_near_dups, op9_token_counts, op10_bpe)}
-ORACLES: dict[str, str] = {"op8_near_dups": near_dups.ORACLE}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_fingerprints, op4_quality, op5_token_files, op6_mixing, op7_toxicity, op8_near_dups, op9_token_counts, op10_bpe)}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op8_near_dups": near_dups.ORACLE}

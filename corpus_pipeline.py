@@ -1,12 +1,49 @@
-"""The pipeline over documents: STAGES in their order, and run()."""
+"""The pipeline over documents: STAGES in their order, and run().
+
+Toxic documents go, one document of each group of near copies stays, secrets are masked, sources are mixed to their
+target weights, and what is left is encoded. All stages but the last return the columns of documents, and each works on
+all that the one before it kept.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tabloom.llm.bpe import bpe_digests
-from tabloom.llm.common import cut
+from tabloom.llm.common import cut, narrow
+from tabloom.llm.mixing import in_order, mixed
+from tabloom.llm.near_dups import near_duplicates
 from tabloom.llm.queries import tokenizer_path
+from tabloom.llm.secrets import redact
+from tabloom.llm.toxicity import toxicity_scores
+
+
+def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
+    """docs but for the doc_ids in gone. Rows without a doc_id stay."""
+    ids = cut(gone.select(F.col("doc_id").alias("gone_id")).filter("gone_id is not null").distinct(), name)
+    return docs.join(narrow(ids, ids.count()), docs["doc_id"] == ids["gone_id"], "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that the machine rejects go."""
+    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _without(docs, scores.filter("predicted = 1"), "toxic")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: of each group of near copies (similarity of 0.8 or more) the document with the least doc_id stays."""
+    return _without(docs, near_duplicates(docs, percent=80).filter("not kept"), "near-copies")
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: secrets in texts are masked, and n_chars follows; every document stays."""
+    return redact(docs).withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("bigint")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 6: the same documents, in files that follow the schedule of their sources' blocks."""
+    return in_order(mixed(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,14 +51,21 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe_digests(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("bpe encoding and decoding", encode)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("minhash near-dedup", near_dedup),
+    ("secret scans", secrets),
+    ("mixing sources", mixing),
+    ("bpe encoding and decoding", encode),
+]
+#: The stages hold learned models and a tokenizer: SQL can't express them; a brute-force version is in the tests.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each result is written and read before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = cut(docs, f"stage-{i}")

@@ -20,6 +20,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .secrets import scan
+
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neighbours import nearest
 
@@ -74,5 +80,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_neighbours, op3_fingerprints, op4_quality, op5_token_files, op6_mixing, op7_toxicity, op8_near_dups, op9_token_counts, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_neighbours, op3_fingerprints, op4_quality, op5_token_files, op6_mixing, op7_toxicity, op8_near_dups, op9_token_counts, op10_bpe)}
 ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op8_near_dups": near_dups.ORACLE}

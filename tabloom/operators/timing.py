@@ -12,11 +12,15 @@ RATE_ALPHA, ETA_ALPHA, LEAST_COMMITS = 0.25, 0.20, 5
 TIE, DRIFT = 0.05, 1.75
 
 
+def bound(x: Column, use) -> Column:
+    """use(x), with x worked out once: a column in a lambda is else worked out for every element."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def median_of(values: Column) -> Column:
     """The median of an array; F.median takes no frame."""
-    s, n = F.array_sort(values), F.size(values)
-    middle = lambda i: F.get(s, F.floor(i).cast("int"))
-    return (middle((n - 1) / 2) + middle(n / 2)) / 2
+    middle = lambda s, i: F.get(s, F.floor(i).cast("int"))
+    return bound(F.array_sort(values), lambda s: (middle(s, (F.size(s) - 1) / 2) + middle(s, F.size(s) / 2)) / 2)
 
 
 def mean_of(values: Column) -> Column:
@@ -24,7 +28,12 @@ def mean_of(values: Column) -> Column:
 
 
 def _bounded(values: Column, low: Column, high: Column) -> Column:
-    return mean_of(F.transform(values, lambda x: F.least(F.greatest(x, low), high)))
+    return bound(F.struct(low.alias("low"), high.alias("high")), lambda b: mean_of(F.transform(values, lambda x: F.least(F.greatest(x, b["low"]), b["high"]))))
+
+
+def _with_median(values: Column, use) -> Column:
+    """use(median, median of the absolute deviations from it)."""
+    return bound(median_of(values), lambda m: bound(median_of(F.transform(values, lambda x: F.abs(x - m))), lambda mad: use(m, mad)))
 
 
 def usable(x: Column) -> Column:
@@ -34,17 +43,22 @@ def usable(x: Column) -> Column:
 
 def winsorised_mean(values: Column) -> Column:
     """Plain under three values; else bounded by the median and its absolute deviation, or by a cap where that is 0."""
-    m = median_of(values)
-    mad = median_of(F.transform(values, lambda x: F.abs(x - m)))
-    cap = F.greatest(m * 3.0, m + 1.0)
-    return F.when(F.size(values) < 3, mean_of(values)).when(mad == 0, _bounded(values, F.lit(float("-inf")), cap)).otherwise(_bounded(values, m - SPREAD * mad, m + SPREAD * mad))
+
+    def robust(m, mad):
+        cap = F.greatest(m * 3.0, m + 1.0)
+        return F.when(mad == 0, _bounded(values, F.lit(float("-inf")), cap)).otherwise(_bounded(values, m - SPREAD * mad, m + SPREAD * mad))
+
+    return F.when(F.size(values) < 3, mean_of(values)).otherwise(_with_median(values, robust))
 
 
 def slot_mean(values: Column) -> Column:
     """As winsorised_mean, with a spread of at least a second."""
-    m = median_of(values)
-    spread = F.greatest(F.lit(1.0), SPREAD * median_of(F.transform(values, lambda x: F.abs(x - m))))
-    return F.when(F.size(values) < 3, mean_of(values)).otherwise(_bounded(values, m - spread, m + spread))
+
+    def robust(m, mad):
+        spread = F.greatest(F.lit(1.0), SPREAD * mad)
+        return _bounded(values, m - spread, m + spread)
+
+    return F.when(F.size(values) < 3, mean_of(values)).otherwise(_with_median(values, robust))
 
 
 def rolling(rows: DataFrame, key: list[str], order: list[str], value: str, window: int = STAGE_WINDOW, mean=winsorised_mean) -> DataFrame:

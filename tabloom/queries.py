@@ -92,7 +92,7 @@ def reuse_metrics(spark, sf_dir):
     """Rows reused by digest, parsed, added and removed."""
     a, b = (D.row_digests(x) for x in order_versions(spark, sf_dir))
     j = a.withColumnRenamed("digest", "x").join(b.withColumnRenamed("digest", "y"), ["sheet", "row"], "full_outer")
-    return j.agg(F.count_if(F.col("x") == F.col("y")).alias("reused"), F.count_if(F.col("x") != F.col("y")).alias("parsed"), F.count_if("x is null").alias("added"), F.count_if("y is null").alias("removed"))
+    return j.agg(F.count_if(F.col("x") == F.col("y")).alias("reused"), F.count_if(F.col("x") != F.col("y")).alias("parsed"), F.count_if(F.col("x").isNull()).alias("added"), F.count_if(F.col("y").isNull()).alias("removed"))
 
 
 # -- conversations and events as version chains -----------------------------------------------------------------------

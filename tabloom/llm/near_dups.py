@@ -4,9 +4,9 @@
    have equal sets: one row of them, the representative (the least doc_id), goes on.
 2. Representatives with equal band keys are candidates. Each is held against its bucket's least representative, never
    all against all: first the signatures, then the full sets, which are made anew from the texts.
-3. Links give components. In a bucket that still has several components, pairs across them are compared by signature
-   in blocks, and those that may be links are held against each other by full sets too. That closes every candidate
-   pair, however a bucket is made up.
+3. Links give components. In a bucket that still has several components, pairs across them are compared in pairs of
+   blocks, by signature and then by full sets, without making rows of them; what comes out is links that connect. That
+   closes every candidate pair, however a bucket is made up.
 
 At 24 bands of 5 rows a pair with a similarity of 0.85 shares no band with a probability of 8e-7.
 
@@ -28,8 +28,8 @@ from .common import cut, narrow
 from .components import components
 from .shingles import BANDS, HASHES, band_keys, linked, minima, sets_of
 
-#: Members of a leader, or of a block, that one task holds against each other.
-GROUP = 256
+#: Members that are held against a leader under one salt, and members of a block of a large bucket.
+GROUP, BLOCK = 256, 512
 #: A link's estimate is at least this much below its similarity with a probability under 1e-4.
 SLACK = 0.13
 
@@ -102,54 +102,82 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataF
     return cut(dealt.mapInArrow(run, "u bigint, v bigint"), f"{name}-links")
 
 
-def _rest(buckets: DataFrame, found: DataFrame, reps: DataFrame, least: float) -> DataFrame:
-    """Pairs (leader, member) of buckets with several components, across them, that no leader was part of."""
-    placed = buckets.join(found, buckets["rep"] == found["node"], "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """(rep, shingles) of the representatives in reps, as bytes."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([x.tobytes() for _, x in sets_of(batch.column("text").to_pylist())], pa.binary())], names=["rep", "shingles"])
+
+    wanted = cut(reps.select("rep").distinct(), "open")
+    return cut(docs.join(narrow(wanted, wanted.count()), docs["doc_id"] == wanted["rep"]).select("rep", "text").mapInArrow(run, "rep bigint, shingles binary"), "open-sets")
+
+
+def _compare(group: tuple, rows: list[tuple], percent: int, least: float):
+    """Links across components in one pair of blocks of a bucket; a link spares the pairs that it connects."""
+    band, a, b = group[1:]
+    own, reps, comps = (np.array([r[i] for r in rows]) for i in range(3))
+    sig = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(-1, HASHES)
+    bands = sig.reshape(-1, BANDS, HASHES // BANDS)
+    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows) - 1):
+        j = np.arange(i + 1, len(rows))
+        # Pairs inside a block are compared in the group of that block alone.
+        j = j[(comps[j] != comps[i]) & ((own[j] != own[i]) if a != b else True)]
+        if len(j):
+            j = j[_alike(sig[j], sig[i][None], least)]
+        if len(j):
+            # A pair with several common buckets is compared in that of its first band.
+            j = j[(bands[j] == bands[i]).all(2).argmax(1) == band]
+        for k in j.tolist():
+            x, y = root(int(comps[i])), root(int(comps[k]))
+            if x != y and linked(sets[i], sets[k], percent):
+                parent[max(x, y)] = min(x, y)
+                yield int(reps[i]), int(reps[k])
+
+
+def _rest(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
+    """Links (u, v) across the components of buckets with several of them, among pairs that no leader was part of."""
+    placed = buckets.join(found, buckets["rep"] == found["node"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
     open_keys = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).filter("members > 2 and low < high")
-    blocks = F.ceil(F.col("members") / GROUP).cast("int")
+    left = cut(placed.join(open_keys.select("key", "first", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key").filter("rep <> first").drop("first"), "open-buckets")
     dealt = (
-        placed.join(open_keys.select("key", "first", blocks.alias("blocks")), "key")
-        .filter("rep <> first")
-        .join(reps.select("rep", "signature"), "rep")
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        left.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "component", "signature")
-        .distinct()
+        .select("key", "band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "component")
+        .join(reps.join(_sets(left, docs), "rep").select("rep", "signature", "shingles"), "rep")
         .repartition("key", "a", "b")
         .sortWithinPartitions("key", "a", "b", "rep")
     )
-
-    def compare(group, own, reps_, comps, signatures):
-        sig = np.frombuffer(b"".join(signatures), "<u2").reshape(-1, HASHES)
-        own, reps_, comps = map(np.array, (own, reps_, comps))
-        for i in range(len(reps_) - 1):
-            j = np.arange(i + 1, len(reps_))
-            # Pairs inside a block are compared in the group of that block alone.
-            j = j[(comps[j] != comps[i]) & ((own[j] != own[i]) if group[1] != group[2] else True)]
-            for k in j[_alike(sig[j], sig[i][None], least)] if len(j) else ():
-                yield int(reps_[i]), int(reps_[k])
+    columns = ("own", "rep", "component", "signature", "shingles")
 
     def run(batches):
-        group, held = None, ([], [], [], [])
+        group, held = None, []
 
         def out(got):
-            a, b = zip(*got, strict=True) if got else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["leader", "member"])
+            u, v = zip(*got, strict=True) if got else ((), ())
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
             got = []
-            for k, a, b, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "a", "b", "own", "rep", "component", "signature")), strict=True):
-                if (k, a, b) != group:
+            for *g, own, rep, component, signature, shingles in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "a", "b", *columns)), strict=True):
+                if g != group:
                     if group:
-                        got += compare(group, *held)
-                    group, held = (k, a, b), ([], [], [], [])
-                for x, y in zip(held, row, strict=True):
-                    x.append(y)
+                        got += _compare(tuple(group), held, percent, least)
+                    group, held = g, []
+                held.append((own, rep, component, signature, shingles))
             yield out(got)
         if group:
-            yield out(list(compare(group, *held)))
+            yield out(list(_compare(tuple(group), held, percent, least)))
 
-    return dealt.mapInArrow(run, "leader bigint, member bigint").distinct()
+    return cut(dealt.select("key", "band", "a", "b", *columns).mapInArrow(run, "u bigint, v bigint"), "rest-links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -158,9 +186,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     known = cut(sketches(docs), "sketches")
     usable = known.filter("doc_id is not null and digest is not null")
     reps = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "reps")
-    entries = reps.select(F.explode("bands").alias("key"), "rep")
+    entries = reps.select(F.posexplode("bands").alias("band", "key"), "rep")
     shared = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("top")).filter("leader < top").select("key", "leader")
-    buckets = cut(entries.join(shared, "key").select("key", "rep", "leader"), "buckets")
+    buckets = cut(entries.join(shared, "key").select("key", "band", "rep", "leader"), "buckets")
     least = percent / 100 - SLACK
     pairs = buckets.filter("rep <> leader").select("leader", F.col("rep").alias("member")).distinct()
     signed = reps.select("rep", "signature")
@@ -170,8 +198,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     same = cut(usable.select("doc_id", "digest").join(several, "doc_id").join(reps.select("digest", "rep"), "digest").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).distinct(), "same-id")
     links = links.unionByName(same)
     found = components(links, "near-edges")
-    rest = _rest(buckets.select("key", "rep"), found, signed, least)
-    more = _linked(rest, docs, percent, "rest")
+    more = _rest(buckets.select("key", "band", "rep"), found, signed, docs, percent, least)
     if more.head(1):
         found = components(links.unionByName(more), "near-edges")
     by_digest = reps.select("digest", "rep").join(found, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("component"))

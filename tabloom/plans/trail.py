@@ -7,6 +7,7 @@ the checkpoint last, and readers join changes with committed pairs; a commit tha
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -102,6 +103,12 @@ class Trail:
         fs.rename(new, old)
         fs.delete(gone, True)
 
+    def stage(self, rows: DataFrame) -> DataFrame:
+        """Rows as a table of their own in the shared folder: what is written to the trail then doesn't change them."""
+        at = f"{self.folder}/staging/{uuid.uuid4().hex}"
+        rows.write.parquet(at)
+        return self.spark.read.schema(rows.schema).parquet(at)
+
     def _typed(self, name: str, rows: DataFrame) -> DataFrame:
         from pyspark.sql.types import _parse_datatype_string
 
@@ -121,14 +128,12 @@ class Trail:
 
     def commit(self, pairs: DataFrame, changes: DataFrame, checkpoint: DataFrame | None = None) -> DataFrame:
         """Write pairs that are not done yet with their changes, then the checkpoint. Gives the pairs that were written."""
-        from pyspark import StorageLevel
-
         done = authoritative(self.read("pair")).select(*KEYS["pair"])
-        new = pairs.join(done, KEYS["pair"], "left_anti").persist(StorageLevel.MEMORY_AND_DISK)
+        new = self.stage(pairs.join(done, KEYS["pair"], "left_anti"))
         partial = self.read("change").join(new.select(*KEYS["pair"]), KEYS["pair"], "left_semi")
         if partial.head(1):  # what a broken commit left
             self.replace("change", self.read("change").join(new.select(*KEYS["pair"]), KEYS["pair"], "left_anti"))
-        self.append("change", changes.join(new.select(*KEYS["pair"]), KEYS["pair"], "left_semi"))
+        self.append("change", self.stage(changes).join(new.select(*KEYS["pair"]), KEYS["pair"], "left_semi"))
         self.append("pair", new)
         if checkpoint is not None:
             self.replace("checkpoint", upsert(self.read("checkpoint"), self._typed("checkpoint", checkpoint), ["workbook_id"]))

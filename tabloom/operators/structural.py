@@ -108,3 +108,43 @@ def compare(base: DataFrame, other: DataFrame, base_sheets: DataFrame, other_she
             found = found.unionByName(part)
     wanted = [c for o in options for c in CATEGORIES[o]]
     return found.filter(F.col("category").isin(wanted))
+
+
+#: Items of a layout, with their categories.
+LAYOUT_ITEMS = {"state": "sheet state changed", "protection": "sheet protection changed", "freeze": "frozen panes changed", "row": "row layout changed", "column": "column layout changed"}
+
+
+def compare_layout(base: DataFrame, other: DataFrame, rows: DataFrame, columns: DataFrame, items: set[str] | None = None) -> DataFrame:
+    """Differences of layouts (sheet, item, first, last, ref, value): sheets by name, rows and columns through their maps.
+
+    Merged ranges are held against each other as texts, without being moved.
+    """
+    items = {*LAYOUT_ITEMS, "merge"} if items is None else items
+    at = lambda d: d.filter(F.col("item").isin(*LAYOUT_ITEMS)).select("sheet", "item", F.explode(F.sequence("first", "last")).alias("pos"), "value")
+    maps = rows.withColumn("item", F.lit("row")).unionByName(columns.withColumn("item", F.lit("column")))
+    moved = at(base).alias("x").join(maps.alias("m"), (F.col("x.sheet") == F.col("m.sheet")) & (F.col("x.item") == F.col("m.item")) & (F.col("x.pos") == F.col("m.base_pos")), "left")
+    b = moved.select(F.col("x.sheet").alias("sheet"), F.col("x.item").alias("item"), F.coalesce("eval_pos", "pos").alias("pos"), F.col("x.value").alias("base"))
+    e = at(other).withColumnRenamed("value", "evaluated")
+    both = b.join(e, ["sheet", "item", "pos"], "full_outer").filter(F.col("item").isin(*items) & ~F.col("base").eqNullSafe(F.col("evaluated")))
+    category = F.create_map(*[F.lit(x) for kv in LAYOUT_ITEMS.items() for x in kv])[F.col("item")]
+    found = _difference(both, F.when(F.col("pos") == 0, F.col("sheet")).otherwise(F.concat("sheet", F.lit("!"), "item", F.lit(" "), "pos")), category, F.col("base"), F.col("evaluated"))
+    if "merge" in items:
+        m = [d.filter("item = 'merge'").select("sheet", "ref").distinct() for d in (base, other)]
+        for one, two, what in ((m[0], m[1], "merge removed"), (m[1], m[0], "merge added")):
+            gone = one.subtract(two)
+            found = found.unionByName(_difference(gone, F.concat("sheet", F.lit("!"), "ref"), F.lit(what), *([F.col("ref")] if what == "merge removed" else [None, F.col("ref")])))
+    return found
+
+
+def compare_styles(base: DataFrame, other: DataFrame, rows: DataFrame, columns: DataFrame, parts: set[str]) -> DataFrame:
+    """Differences of cell styles (sheet, row, column, part, value) after rows and columns are mapped."""
+    a = (
+        base.filter(F.col("part").isin(*parts))
+        .join(rows.withColumnRenamed("base_pos", "row"), ["sheet", "row"], "left").withColumn("row", F.coalesce("eval_pos", "row")).drop("eval_pos")
+        .join(columns.withColumnRenamed("base_pos", "column"), ["sheet", "column"], "left").withColumn("column", F.coalesce("eval_pos", "column")).drop("eval_pos")
+        .withColumnRenamed("value", "base")
+    )
+    b = other.filter(F.col("part").isin(*parts)).withColumnRenamed("value", "evaluated")
+    key = ["sheet", "row", "column", "part"]
+    both = a.select(*key, "base").join(b.select(*key, "evaluated"), key, "full_outer").filter(~F.col("base").eqNullSafe(F.col("evaluated")))
+    return _difference(both, F.concat("sheet", F.lit("!"), address(F.col("row"), F.col("column"))), F.concat(F.col("part"), F.lit(" changed")), F.col("base"), F.col("evaluated"))

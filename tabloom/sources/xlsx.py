@@ -308,3 +308,76 @@ class _XlsxReader(DataSourceReader):
     def read(self, partition):
         with open(partition.value, "rb") as f:
             yield from cells_of(partition.value, f.read())
+
+
+LAYOUT = "path string, sheet string, item string, first bigint, last bigint, ref string, value string"
+STYLES = "path string, sheet string, row bigint, column bigint, part string, value string"
+#: What sheet protection can allow or forbid.
+PROTECTION = "sheet objects scenarios formatCells formatColumns formatRows insertColumns insertRows insertHyperlinks deleteColumns deleteRows selectLockedCells selectUnlockedCells sort autoFilter pivotTables".split()
+STYLE_PARTS = {"fontId": ("fonts", "font"), "fillId": ("fills", "fill"), "borderId": ("borders", "border")}
+
+
+def _json(x) -> str:
+    return json.dumps(x, ensure_ascii=False, sort_keys=True)
+
+
+def _tree(e: ET.Element):
+    """An element as nested maps, without empty ones."""
+    out = dict(e.attrib)
+    for child in e:
+        inner = _tree(child)
+        if inner:
+            out[local(child.tag)] = inner
+    return out
+
+
+def layout_of(path: str, content: bytes) -> Iterator[tuple]:
+    """State, protection, frozen panes, heights, widths and merged ranges of each sheet."""
+    book = Workbook(content)
+    for sheet, part, state in book.sheets:
+        yield path, sheet, "state", 0, 0, "", state
+        with book.zip.open(part) as f:
+            for _, e in ET.iterparse(f, events=("end",)):
+                name = local(e.tag)
+                if name == "sheetProtection":
+                    yield path, sheet, "protection", 0, 0, "", _json({k: e.get(k) for k in PROTECTION})
+                elif name == "pane" and e.get("state") in ("frozen", "frozenSplit"):
+                    yield path, sheet, "freeze", 0, 0, "", e.get("topLeftCell", "")
+                elif name == "row":
+                    if e.get("ht") or e.get("hidden"):
+                        yield path, sheet, "row", int(e.get("r")), int(e.get("r")), "", _json({"height": e.get("ht"), "hidden": e.get("hidden") in ("1", "true")})
+                    e.clear()
+                elif name == "col":
+                    yield path, sheet, "column", int(e.get("min")), int(e.get("max")), "", _json({"width": e.get("width"), "hidden": e.get("hidden") in ("1", "true")})
+                elif name == "mergeCell":
+                    yield path, sheet, "merge", 0, 0, e.get("ref"), e.get("ref")
+
+
+def styles_of(path: str, content: bytes) -> Iterator[tuple]:
+    """The parts of each styled cell, empty ones too."""
+    book = Workbook(content)
+    data = book._part("xl/styles.xml")
+    root = ET.fromstring(data) if data else ET.Element("none")
+    lists = {local(p.tag): list(p) for p in root}
+    formats = {e.get("numFmtId"): e.get("formatCode") for e in lists.get("numFmts", [])}
+    known: list[dict[str, str]] = []
+    for xf in lists.get("cellXfs", []):
+        parts = {name: _json(_tree(lists[group][int(xf.get(key))])) for key, (group, name) in STYLE_PARTS.items() if xf.get(key) is not None and int(xf.get(key)) < len(lists.get(group, []))}
+        parts["number_format"] = formats.get(xf.get("numFmtId"), xf.get("numFmtId") or "0")
+        parts |= {local(c.tag): _json(dict(c.attrib)) for c in xf if local(c.tag) in ("alignment", "protection")}
+        known.append(parts)
+    for sheet, part, _ in book.sheets:
+        for number, row, _ in book.rows(part):
+            for c in row:
+                style, m = int(c.get("s", 0)), _ADDRESS.match((c.get("r") or "").upper())
+                if style and m and style < len(known):
+                    for name, value in known[style].items():
+                        yield path, sheet, number, column_index(m[1]), name, value
+
+
+def read_layout(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return _read(spark, paths, LAYOUT, layout_of)
+
+
+def read_styles(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    return _read(spark, paths, STYLES, styles_of)

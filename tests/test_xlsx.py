@@ -78,3 +78,32 @@ def test_files_rows_and_structure(spark, tmp_path):
     assert got == {("row added", "row 4", ""), ("content changed", "S!B7 → B8", "changed")}
     spark.dataSource.register(X.XlsxSource)
     assert spark.read.format("tabloom_xlsx").option("paths", str(tmp_path / "a.xlsx")).load().count() == 16
+
+
+def test_layout_and_sql_functions(spark, tmp_path):
+    from tabloom.functions.register import register
+    from tabloom.operators.structural import compare_layout, compare_styles
+
+    def layout(ref, height, freeze):
+        data = book({"S": f'<row r="2" ht="{height}"><c r="A2" s="1"><v>1</v></c></row>'}, styles=("0", "14"))
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(data)) as old, zipfile.ZipFile(out, "w") as new:
+            for n in old.namelist():
+                x = old.read(n).decode()
+                if n.endswith("s1.xml"):
+                    x = x.replace("<sheetData>", f'<sheetViews><sheetView><pane topLeftCell="{freeze}" state="frozen"/></sheetView></sheetViews><sheetData>').replace("</worksheet>", f'<mergeCells><mergeCell ref="{ref}"/></mergeCells></worksheet>')
+                new.writestr(n, x.replace('numFmtId="14"', f'numFmtId="{14 if height == 20 else 15}"') if n.endswith("styles.xml") else x)
+        return out.getvalue()
+
+    for name, args in (("a.xlsx", ("A1:B1", 20, "A2")), ("b.xlsx", ("A1:C1", 30, "A3"))):
+        (tmp_path / name).write_bytes(layout(*args))
+    same = spark.createDataFrame([("S", 2, 2)], "sheet string, base_pos bigint, eval_pos bigint")
+    a, b = (X.read_layout(spark, str(tmp_path / n)) for n in ("a.xlsx", "b.xlsx"))
+    got = {(r.category, r.location) for r in compare_layout(a, b, same, same.limit(0)).collect()}
+    assert got == {("frozen panes changed", "S"), ("row layout changed", "S!row 2"), ("merge removed", "S!A1:B1"), ("merge added", "S!A1:C1")}
+    a, b = (X.read_styles(spark, str(tmp_path / n)) for n in ("a.xlsx", "b.xlsx"))
+    assert [(r.category, r.location, r.base, r.evaluated) for r in compare_styles(a, b, same, same.limit(0), {"number_format", "font"}).collect()] == [("number_format changed", "S!A2", "14", "15")]
+    register(spark)
+    spark.read.format("binaryFile").load(str(tmp_path / "a.xlsx")).createOrReplaceTempView("files")
+    assert [r.address for r in spark.sql("SELECT c.address FROM files, LATERAL xlsx_cells(path, content) c").collect()] == ["A2"]
+    assert spark.sql("SELECT translate_formula('A1', 'A1', 'B2') AS f").head().f == "B2"

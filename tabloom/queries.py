@@ -561,3 +561,91 @@ def url_checks(spark, sf_dir):
     """Suffix and host of addresses."""
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.lower("url").endswith(".html").alias("is_html"), F.coalesce(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.lit("")).alias("host"))
+
+
+# -- telemetry, lookups and listings -----------------------------------------------------------------------------------
+
+
+@query("SELECT o_orderkey, CASE WHEN b >= 104857600 THEN least(s, 2) WHEN b >= 20971520 THEN s ELSE 2 * s END AS prefetch, 3 * s AS scheduler_window, least(b, t) > 0 AND greatest(b, t)::DOUBLE / least(b, t) >= 1.75 AS drifted, CASE WHEN t > 0 THEN round(60.0::DOUBLE * s / t, 9) END AS per_minute FROM (SELECT o_orderkey, o_orderkey % 8 + 1 AS s, o_orderkey * 9973 % 150000000 AS b, o_custkey * 7919 % 90000000 AS t FROM orders)")
+def slot_plan(spark, sf_dir):
+    """Prefetch by size and slots, drift, throughput."""
+    k = F.col("o_orderkey")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (k % 8 + 1).cast("bigint").alias("s"), (k * 9973 % 150000000).alias("b"), (F.col("o_custkey") * 7919 % 90000000).alias("t"))
+    s, b, t = F.col("s"), F.col("b"), F.col("t")
+    return o.select("o_orderkey", M.prefetch_target(s, b).alias("prefetch"), M.scheduler_window(s).alias("scheduler_window"), M.drifted(b, t).alias("drifted"), F.when(t > 0, F.round(60.0 * s / t, 9)).alias("per_minute"))
+
+
+@query("SELECT user_id, count(*) AS states, count(*) FILTER (event_type = 'view') AS ready, round(avg(CAST(value AS DOUBLE)), 7) AS mean_wait, max(CAST(value AS DOUBLE)) AS max_wait, round(count(*) FILTER (event_type = 'purchase')::DOUBLE / greatest(1, count(*)), 9) AS hit_rate FROM events GROUP BY 1")
+def pool_metrics(spark, sf_dir):
+    """Counts per state, mean and greatest waits, rates."""
+    of = lambda v: F.count_if(F.col("event_type") == v)
+    wait = F.col("value").cast("double")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("states"), of("view").alias("ready"), F.round(F.avg(wait), 7).alias("mean_wait"), F.max(wait).alias("max_wait"), F.round(of("purchase") / F.greatest(F.lit(1), F.count("*")), 9).alias("hit_rate"))
+
+
+@query("SELECT event_id, CASE WHEN r <= 0 THEN 0.0::DOUBLE WHEN n >= 3 THEN round(r / (n / 4.0::DOUBLE) * 60.0, 9) ELSE round(r * 18.45::DOUBLE / greatest(1, s), 9) END AS eta FROM (SELECT event_id, event_id % 9 AS r, event_id % 7 AS n, user_id % 3 AS s FROM events)")
+def bootstrap_eta(spark, sf_dir):
+    """Time left by the rate, or by the mean task before there is one."""
+    e = table(spark, sf_dir, "events")
+    r, n, s = F.col("event_id") % 9, F.col("event_id") % 7, F.col("user_id") % 3
+    return e.select("event_id", F.round(M.eta(r, F.when(n > 0, n / 4.0), n, F.lit(18.45), s), 9).alias("eta"))
+
+
+@query("SELECT name, depth FROM (SELECT r_name AS name, 0 AS depth FROM region WHERE r_name <> 'ASIA' UNION ALL SELECT r_name || '/' || n_name, 1 FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA' UNION ALL SELECT r_name || '/' || n_name || '/' || s_name, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA')")
+def folder_tree(spark, sf_dir):
+    """All that lies below the roots; an excluded name hides what is below it."""
+    from .sources.listings import below
+
+    r, n, s = (table(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    rows = r.select(F.concat(F.lit("r"), "r_regionkey").alias("folder_id"), F.lit(None).cast("string").alias("parent_id"), F.col("r_name").alias("name"))
+    rows = rows.unionByName(n.select(F.concat(F.lit("n"), "n_nationkey").alias("folder_id"), F.concat(F.lit("r"), "n_regionkey").alias("parent_id"), F.col("n_name").alias("name")))
+    rows = rows.unionByName(s.select(F.concat(F.lit("s"), "s_suppkey").alias("folder_id"), F.concat(F.lit("n"), "s_nationkey").alias("parent_id"), F.col("s_name").alias("name")))
+    return below(spark, rows, rows.filter("parent_id is null").select("folder_id"), ("ASIA",)).select(F.col("path").alias("name"), "depth")
+
+
+@query("WITH b AS (SELECT p_partkey AS i, md5(p_name) AS sig FROM part), c AS (SELECT p_partkey AS i, CASE WHEN p_partkey % 11 = 0 THEN 'changed' ELSE md5(p_name) END AS sig FROM part WHERE p_partkey % 13 <> 0) SELECT l_orderkey, bool_and(coalesce(b.sig = c.sig, false)) AS reusable, count(*) AS strings FROM lineitem LEFT JOIN b ON l_partkey = b.i LEFT JOIN c ON l_partkey = c.i GROUP BY 1")
+def string_dependencies(spark, sf_dir):
+    """May a row be reused, given the shared strings that it names?"""
+    p = table(spark, sf_dir, "part")
+    k = F.col("p_partkey")
+    sig = F.md5(F.col("p_name").cast("binary"))
+    before = p.select(k.alias("i"), sig.alias("was"))
+    after = p.filter(k % 13 != 0).select(k.alias("i"), F.when(k % 11 == 0, "changed").otherwise(sig).alias("now"))
+    strings = before.join(after, "i", "full_outer").select("i", F.coalesce(F.col("was") == F.col("now"), F.lit(False)).alias("same"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("indices"))
+    used = rows.select("l_orderkey", F.explode("indices").alias("i")).join(strings, "i", "left")
+    return used.groupBy("l_orderkey").agg(F.bool_and(F.coalesce("same", F.lit(False))).alias("reusable"), F.count("*").alias("strings"))
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_suppkey % 5 <> o_custkey % 5")
+def identity_mismatch(spark, sf_dir):
+    """Children whose workbook differs from their parent's."""
+    from .plans.trail import inconsistent
+
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_orderkey").alias("run"), (F.col("l_suppkey") % 5).alias("book"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run"), (F.col("o_custkey") % 5).alias("book"))
+    return inconsistent(li, o, "run", "book").drop("run", "book")
+
+
+@query("SELECT sheet_no, n, n = z - a + 1 AND n <= 900 AS whole, a, z FROM (SELECT (seq - 1) // 900 + 1 AS sheet_no, count(*) AS n, min(seq) AS a, max(seq) AS z FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS seq FROM orders) GROUP BY 1)")
+def report_validation(spark, sf_dir):
+    """A written report read again: counts, and sequences without gaps."""
+    o = S.sheets(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 900)
+    g = o.groupBy("sheet_no").agg(F.count("*").alias("n"), F.min("seq").alias("a"), F.max("seq").alias("z"))
+    return g.select("sheet_no", "n", ((F.col("n") == F.col("z") - F.col("a") + 1) & (F.col("n") <= 900)).alias("whole"), "a", "z")
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00012') ORDER BY c_custkey LIMIT 8")
+def label_suggestions(spark, sf_dir):
+    """The first eight labels that hold a text."""
+    return table(spark, sf_dir, "customer").filter(F.lower("c_name").contains("00012")).select("c_custkey", "c_name").orderBy("c_custkey").limit(8)
+
+
+@query("WITH d AS (SELECT doc_id, sha256(text) AS raw, sha256(regexp_replace(trim(lower(text)), '\\s+', ' ', 'g')) AS meaning FROM documents), p AS (SELECT doc_id, raw, meaning, lead(raw) OVER w AS raw2, lead(meaning) OVER w AS meaning2 FROM d WINDOW w AS (ORDER BY doc_id)) SELECT CASE WHEN raw = raw2 THEN 'A' WHEN meaning = meaning2 THEN 'B' ELSE 'C' END AS class, count(*) AS n FROM p WHERE raw2 IS NOT NULL GROUP BY 1")
+def digest_diagnosis(spark, sf_dir):
+    """Equal bytes, equal meaning in other bytes, different meaning, of neighbouring versions."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id"), F.sha2("text", 256).alias("raw"), F.sha2(T.normalised(F.col("text")), 256).alias("meaning"))
+    numbered = S.sheets(d, "doc_id", 1).select("seq", "raw", "meaning")
+    after = numbered.select((F.col("seq") - 1).alias("seq"), F.col("raw").alias("raw2"), F.col("meaning").alias("meaning2"))
+    kind = F.when(F.col("raw") == F.col("raw2"), "A").when(F.col("meaning") == F.col("meaning2"), "B").otherwise("C")
+    return numbered.join(after, "seq").groupBy(kind.alias("class")).agg(F.count("*").alias("n"))

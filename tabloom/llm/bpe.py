@@ -23,11 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .chunks import Memo, in_groups, split_white
-from .common import text_pieces
+from .common import slices, text_pieces
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: Symbols of byte values: plain ones are the byte's code point, those that end a word lie END above it.
 END = 256
+#: Distinct chunks that a worker keeps, of about 400 bytes each.
+KEPT = 400_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -211,10 +213,7 @@ def normalised(text: str) -> list[str]:
 @lru_cache(2)
 def load(path: str) -> tuple[TrieBpe, Memo]:
     bpe = TrieBpe(path)
-    memo = Memo(bpe.chunk_values)
-    for s, (i, decoded) in bpe.to_special.items():
-        memo["\n" + s] = (1, i, decoded)
-    return bpe, memo
+    return bpe, Memo(bpe.chunk_values, KEPT, {"\n" + s: (1, i, decoded) for s, (i, decoded) in bpe.to_special.items()})
 
 
 def _digest_text(pieces: list[list[str]], memo: Memo) -> tuple[int, str, str]:
@@ -268,7 +267,7 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode the column text of every row; see the module for the defined cases."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             got = list(encode_texts(batch.column("text").to_pylist(), path))
             n, ids, decoded = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

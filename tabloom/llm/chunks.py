@@ -21,27 +21,43 @@ def split_white(text: str) -> list[str]:
 
 
 class Memo(dict):
-    """chunk -> value. work(list of distinct chunks) gives the values of those that are missing."""
+    """chunk -> value. work(list of distinct chunks) gives the values of those that are missing.
 
-    def __init__(self, work: Callable[[list[str]], Iterable], keep: int = KEEP):
+    A worker process lives on from stage to stage; only the memo in use keeps what it has learnt.
+    """
+
+    in_use: Memo | None = None
+
+    def __init__(self, work: Callable[[list[str]], Iterable], keep: int = KEEP, fixed: dict | None = None):
         super().__init__()
-        self.work, self.keep = work, keep
+        self.work, self.keep, self.fixed = work, keep, fixed or {}
         self.passing: dict = {}
 
     def learn(self, lists: Iterable[list[str]]) -> None:
         """Work out all chunks of lists. Those beyond the bound are held only until the next call."""
+        if Memo.in_use is not self:
+            forget()
+            Memo.in_use = self
         missing: set[str] = set()
         for chunks in lists:
             missing.update(chunks)
         self.passing = {}
-        new = [c for c in missing if c not in self]
+        new = [c for c in missing if c not in self and c not in self.fixed]
         if not new:
             return
         to = self if len(self) + len(new) <= self.keep else self.passing
         to.update(zip(new, self.work(new), strict=True))
 
     def __missing__(self, chunk: str):
-        return self.passing[chunk]
+        return self.passing[chunk] if chunk in self.passing else self.fixed[chunk]
+
+
+def forget() -> None:
+    """Free what the memo in use holds, for an operator that needs the memory for something else."""
+    if Memo.in_use is not None:
+        Memo.in_use.clear()
+        Memo.in_use.passing = {}
+        Memo.in_use = None
 
 
 def in_groups(texts: list[str | None], size: int = 1 << 21) -> Iterable[tuple[int, int]]:

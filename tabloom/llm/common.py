@@ -64,3 +64,10 @@ def text_pieces(text: str | None, size: int = PIECE_CHARS) -> Iterator[str]:
         end = m.start() if m else len(text)
         yield text[at:end]
         at = end
+
+
+def slices(batches, rows: int = 1024):
+    """Arrow batches in slices of few rows, so that a task holds few texts as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

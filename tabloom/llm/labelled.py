@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 
 def remainder(of: int) -> Column:
     """crc32 of the doc_id as text, modulo of; null without a doc_id."""
@@ -35,7 +37,7 @@ def with_scores(docs: DataFrame, of: int, left: int, score: Callable[[list[str |
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(of, left).alias("held_out"))
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score(batch.column("text").to_pylist()), pa.float64())], names=["doc_id", "held_out", "score"])
 
     return texts.mapInArrow(run, "doc_id bigint, held_out boolean, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))

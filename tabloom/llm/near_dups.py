@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, narrow
+from .chunks import forget
+from .common import cut, narrow, slices
 from .components import components
 from .shingles import BANDS, HASHES, band_keys, linked, minima, sets_of
 
@@ -38,7 +39,8 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, digest, bands, signature (low 16 bits) of each text; the last three null without words."""
 
     def run(batches):
-        for batch in batches:
+        forget()
+        for batch in slices(batches):
             n, digests, bands, signatures = [], [], [], []
             for words, shingles in sets_of(batch.column("text").to_pylist()):
                 n.append(len(shingles))
@@ -87,7 +89,7 @@ def _linked(pairs: DataFrame, docs: DataFrame, percent: int, name: str) -> DataF
     def run(batches):
         own: list[np.ndarray] = []  # of the leader: more than one only where rows share its doc_id
         group = None
-        for batch in batches:
+        for batch in slices(batches):
             found_leader, found_member = [], []
             for leader, salt, place, doc, (_, shingles) in zip(*(batch.column(c).to_pylist() for c in ("leader", "salt", "place", "doc")), sets_of(batch.column("text").to_pylist()), strict=True):
                 if group != (leader, salt):
@@ -106,7 +108,7 @@ def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
     """(rep, shingles) of the representatives in reps, as bytes."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("rep"), pa.array([x.tobytes() for _, x in sets_of(batch.column("text").to_pylist())], pa.binary())], names=["rep", "shingles"])
 
     wanted = cut(reps.select("rep").distinct(), "open")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Memo, in_groups
-from .common import PIECE_CHARS
+from .common import PIECE_CHARS, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -132,7 +132,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens of every row."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             n = list(count_texts(batch.column("text").to_pylist(), path))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
 

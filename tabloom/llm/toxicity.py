@@ -121,7 +121,7 @@ def train(documents: list[np.ndarray], labels: np.ndarray, steps: int = 6000, ba
 
 def scorer(machine: Machine):
     wanted = {b % BUCKETS for b in machine.feature}
-    memo = Memo(lambda chunks: [tuple(t for t in terms(c) if t in wanted) for c in chunks])
+    memo = Memo(lambda chunks: [tuple(t for t in terms(c) if t in wanted) for c in chunks], 300_000)
 
     def add(found: Counter, chunks: Counter) -> Counter:
         for c, ts in zip(chunks, map(memo.__getitem__, chunks), strict=True):

@@ -468,7 +468,7 @@ def part_cells(spark, sf_dir):
 @query()
 def aligned_rows(spark, sf_dir):
     """Rows of two sheets aligned by profile; some rows were inserted."""
-    cells = part_cells(spark, sf_dir).filter("row <= 400").withColumn("block", F.floor((F.col("row") - 1) / 100))
+    cells = part_cells(spark, sf_dir).withColumn("block", F.floor((F.col("row") - 1) / 100))
     base = A.profiles(cells, ["block", "row"], "column").withColumnRenamed("row", "pos")
     other = base.withColumn("pos", F.col("pos") + F.floor(F.pmod(F.col("pos") - 1, F.lit(100)) / 30))
     return A.aligned(base, other, ["block"])

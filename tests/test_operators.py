@@ -73,3 +73,16 @@ def test_catalog(spark):
     got, how = run(v(1, 2), 4, v(2, 3, 4))
     assert how == "delta" and ids(got) == [1, 2, 3, 4]
     assert run(v(1, 2), 4, v(3, 4))[1] == "rebuilt" and run(v(1, 9), 4, None)[1] == "rebuilt"
+
+
+def test_aligned_rows_takes_the_whole_table(spark, tmp_path):
+    from tabloom import queries
+
+    rows = [(k, f"part {k}", f"Brand#{k % 7}", f"type {k * 31 % 101}", k % 50) for k in range(1, 951)]
+    spark.createDataFrame(rows, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.block, r.base_pos): r.eval_pos for r in queries.aligned_rows(spark, str(tmp_path)).collect()}
+    want = {}
+    for block in range(10):
+        base = [(k, ["T:" + name, "T:" + brand.lower(), "T:" + kind, f"N:{size}"]) for k, name, brand, kind, size in rows if (k - 1) // 100 == block]
+        want |= {(block, at): to for at, to in A.align(base, [(k + (k - 1) % 100 // 30, p) for k, p in base]).items()}
+    assert got == want and {k for _, k in got} == set(range(1, 951))

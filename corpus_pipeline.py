@@ -1,6 +1,6 @@
 """The pipeline over documents: STAGES in their order, and run().
 
-Toxic documents go, one document of each group of near copies stays, secrets are masked, sources are mixed to their
+Toxic rows go, one row of each group of near copies stays, secrets are masked, sources are mixed to their
 target weights, and what is left is encoded. All stages but the last return the columns of documents, and each works on
 all that the one before it kept.
 """
@@ -16,24 +16,32 @@ from tabloom.llm.mixing import in_order, mixed
 from tabloom.llm.near_dups import near_duplicates
 from tabloom.llm.queries import tokenizer_path
 from tabloom.llm.secrets import redact
-from tabloom.llm.toxicity import toxicity_scores
+from tabloom.llm.toxicity import accepted
 
 
-def _without(docs: DataFrame, gone: DataFrame, name: str) -> DataFrame:
-    """docs but for the doc_ids in gone. Rows without a doc_id stay."""
-    ids = cut(gone.select(F.col("doc_id").alias("gone_id")).filter("gone_id is not null").distinct(), name)
-    return docs.join(narrow(ids, ids.count()), docs["doc_id"] == ids["gone_id"], "left_anti")
+#: A key of a row within a stage, as doc_ids can be null or repeated.
+ROW = "tabloom_row"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents that the machine rejects go."""
-    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, scores.filter("predicted = 1"), "toxic")
+    """Operator 7: rows whose texts the machine rejects go, whatever their doc_ids are."""
+    return accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each group of near copies (similarity of 0.8 or more) the document with the least doc_id stays."""
-    return _without(docs, near_duplicates(docs, percent=80).filter("not kept"), "near-copies")
+    """Operator 8: of each group of near copies (similarity of 0.8 or more) the row with the least doc_id stays.
+
+    Each row is a document of its own here: of rows that share their doc_id one stays if they are copies and all if they
+    are not, and rows without a doc_id are linked too, but stay only if none of their group has one. Texts without words
+    are copies of nothing.
+    """
+    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), percent=80).select(F.col("doc_id").alias(ROW), "component_id")
+    members = cut(near.join(rows.select(ROW, "doc_id"), ROW), "near-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW]
+    groups = cut(members.groupBy("component_id").agg(first.alias("stays"), F.count("*").alias("n")).filter("n > 1").select("component_id", "stays"), "near-groups")
+    gone = cut(members.join(narrow(groups, groups.count()), "component_id").filter(F.col(ROW) != F.col("stays")).select(F.col(ROW).alias("gone")), "near-copies")
+    return rows.join(narrow(gone, gone.count()), rows[ROW] == gone["gone"], "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .chunks import Memo, in_groups, split_white
-from .common import text_pieces
+from .common import slices, text_pieces
 from .labelled import sample, with_scores
 
 BUCKETS = 1 << 22
@@ -151,8 +151,8 @@ def scorer(machine: Machine):
 _scorers: dict[str, object] = {}
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, left: int = 1, threshold: float = 0.7, rows: int = SAMPLE) -> DataFrame:
-    """Learn from labels that are not held out; doc_id, held_out, score, predicted of every row."""
+def _learned(docs: DataFrame, labels: DataFrame, label: str, of: int, left: int, rows: int):
+    """Learn from labels that are not held out; a function from texts to scores, for the workers."""
 
     def run(batches):
         memo = Memo(lambda chunks: [terms(c) for c in chunks], 200_000)
@@ -172,4 +172,20 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", of
             _scorers[key] = scorer(shared.value)
         return _scorers[key](texts)
 
-    return with_scores(docs, of, left, score, threshold)
+    return score
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, left: int = 1, threshold: float = 0.7, rows: int = SAMPLE) -> DataFrame:
+    """Learn from labels that are not held out; doc_id, held_out, score, predicted of every row."""
+    return with_scores(docs, of, left, _learned(docs, labels, label, of, left, rows), threshold)
+
+
+def accepted(docs: DataFrame, labels: DataFrame, label: str = "toxic", of: int = 3, left: int = 1, threshold: float = 0.7, rows: int = SAMPLE) -> DataFrame:
+    """The rows of docs that toxicity_scores() would not predict, whole: each by its own text, whatever its doc_id is."""
+    score = _learned(docs, labels, label, of, left, rows)
+
+    def run(batches):
+        for batch in slices(batches):
+            yield batch.filter(pa.array([x < threshold for x in score(batch.column("text").to_pylist())], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

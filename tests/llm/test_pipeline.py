@@ -41,3 +41,31 @@ def test_pipeline_keeps_what_it_must(spark, tmp_path):
         assert (got[i].n_tokens, got[i].ids_sha256) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
     for _, stage in corpus_pipeline.STAGES[:1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_each_row_counts_for_itself(spark, tmp_path):
+    """Null and repeated doc_ids: toxic rows go and clean ones stay by their own texts, and one of equal texts is left."""
+    rng = random.Random(8)
+    say = lambda n: " ".join(rng.choice(["river", "stone", "cloud", "amber", "north"]) + rng.choice("abcdefgh") + rng.choice("klmnop") for _ in range(n))
+    toxic = lambda: say(20) + " stupid idiot " + say(3)
+    known = [(i, toxic() if i % 3 == 0 else say(24)) for i in range(180)]
+    clean = [t for i, t in known if i % 3]
+    both, alone = say(24), say(24)
+    odd = [(None, toxic()), (None, toxic()), (500, toxic()), (500, both), (None, alone), (None, alone), (501, clean[0]), (None, clean[1]), (502, "late " + say(30)), (None, None), (None, "")]
+    odd += [odd[8], (600, clean[0]), (503, say(24)), (503, say(24))]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    docs = spark.createDataFrame([(i, t, "en", f"s{n % 3}", len(t or "")) for n, (i, t) in enumerate(known + odd)], schema).repartition(5)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(180)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    seen = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    left = corpus_pipeline.toxicity(spark, docs, str(tmp_path))
+    # The machine's decision on each text, told apart by ids of their own; those of the odd rows must be right.
+    own = spark.createDataFrame([*known, *((1000 + n, t) for n, (_, t) in enumerate(odd))], "doc_id bigint, text string")
+    rejected = {r.doc_id for r in toxicity.toxicity_scores(own, spark.read.parquet(f"{tmp_path}/labels.parquet")).filter("predicted = 1").collect()}
+    assert {i for i in rejected if i >= 1000} == {1000, 1001, 1002}
+    known = [(i, t) for i, t in known if i not in rejected]
+    want = known + odd[3:]
+    assert left.schema == docs.schema and seen(left) == sorted(want, key=repr)
+    want = known + [(500, both), (None, alone), odd[8], (None, None), (None, ""), *odd[-2:]]
+    assert seen(corpus_pipeline.near_dedup(spark, left, str(tmp_path))) == sorted(want, key=repr)

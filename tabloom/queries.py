@@ -360,6 +360,24 @@ def restore_remap(spark, sf_dir):
     return li.join(ids, F.col("l_orderkey") == F.col("old_id")).select(F.col("new_id").alias("pair_id"), "l_linenumber", "l_partkey", "l_suppkey")
 
 
+@query("SELECT count(DISTINCT o.o_orderkey) AS pairs, count(*) AS changes, count(*) FILTER (l.l_returnflag = 'A') AS add, count(*) FILTER (l.l_returnflag = 'N') AS mod, count(*) FILTER (l.l_returnflag = 'R') AS del, min(o.o_orderkey) AS first, max(o.o_orderkey) AS last FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey")
+def report_stats_whole(spark, sf_dir):
+    """report_stats without bounds, over every order."""
+    j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    flag = lambda v: F.count_if(F.col("l_returnflag") == v)
+    return j.agg(F.count_distinct("o_orderkey").alias("pairs"), F.count("*").alias("changes"), flag("A").alias("add"), flag("N").alias("mod"), flag("R").alias("del"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
+
+
+@query("WITH m AS (SELECT o_orderkey, 5000000 + row_number() OVER (ORDER BY o_orderkey) AS new_id FROM orders) SELECT m.new_id AS pair_id, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN m ON l_orderkey = o_orderkey")
+def restore_remap_whole(spark, sf_dir):
+    """restore_remap of every order."""
+    from .plans.trail import remap
+
+    ids = remap(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 5_000_000)
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    return li.join(ids, F.col("l_orderkey") == F.col("old_id")).select(F.col("new_id").alias("pair_id"), "l_linenumber", "l_partkey", "l_suppkey")
+
+
 @query("SELECT count(*) AS orphans FROM lineitem l WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_orderkey = l.l_orderkey AND o.o_orderstatus = 'F')")
 def orphan_check(spark, sf_dir):
     """M3, M4: children without a parent."""

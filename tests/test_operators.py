@@ -86,3 +86,16 @@ def test_aligned_rows_takes_the_whole_table(spark, tmp_path):
         base = [(k, ["T:" + name, "T:" + brand.lower(), "T:" + kind, f"N:{size}"]) for k, name, brand, kind, size in rows if (k - 1) // 100 == block]
         want |= {(block, at): to for at, to in A.align(base, [(k + (k - 1) % 100 // 30, p) for k, p in base]).items()}
     assert got == want and {k for _, k in got} == set(range(1, 951))
+
+
+def test_reports_and_remaps_of_whole_tables(spark, tmp_path):
+    from tabloom import queries
+
+    orders = [(k, k % 10) for k in (1, 50, 100, 101, 20_000, 20_001, 30_007)]
+    lines = [(k, n, k % 7, k % 3, "ANR"[(k + n) % 3]) for k, _ in orders for n in (1, 2)]
+    spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    flags = [r[4] for r in lines]
+    assert [tuple(r) for r in queries.QUERIES["report_stats_whole"](spark, str(tmp_path)).collect()] == [(7, 14, flags.count("A"), flags.count("N"), flags.count("R"), 1, 30_007)]
+    new = {k: 5_000_001 + n for n, (k, _) in enumerate(orders)}
+    assert sorted(map(tuple, queries.QUERIES["restore_remap_whole"](spark, str(tmp_path)).collect())) == sorted((new[k], *rest) for k, *rest, _ in lines)

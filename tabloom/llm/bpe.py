@@ -6,8 +6,8 @@ prefix and that stays apart from the last token of what remains before it. The e
 once for all words that share it. Words are what the tokenizer's own normaliser and splitter make of a text.
 
 Defined results: a null or empty text has no tokens and decodes to an empty text; a null doc_id is passed on; repeated
-rows give repeated results; very long texts are read in pieces that end at white space, so memory is bounded; other
-columns are ignored; an empty table gives an empty result.
+rows give repeated results; very long texts are read in pieces that end at white space, and only a run without any is
+held whole; other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,14 +22,14 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import Memo, in_groups, split_white
+from .chunks import Memo, in_groups, is_long, split_white
 from .common import slices, text_pieces
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 #: Symbols of byte values: plain ones are the byte's code point, those that end a word lie END above it.
 END = 256
-#: Distinct chunks that a worker keeps, of about 400 bytes each.
-KEPT = 400_000
+#: Pairs of tokens whose meeting a worker remembers (some 100 bytes each), before it begins anew.
+PAIRS = 200_000
 
 
 def _byte_letters() -> dict[str, int]:
@@ -72,12 +72,15 @@ class TrieBpe:
                 self.parts.append((rank[a], rank[b]))
             self.pairs.setdefault((rank[a], rank[b]), rank[t])
         self.by_symbols = {symbols(t): r for t, r in rank.items()}
-        self.longest = max(map(len, self.by_symbols), default=1)
         by_rank = sorted(rank, key=rank.get)
         self.size = [len(symbols(t)) for t in by_rank]
         self.id_text = [str(vocab[t]) for t in by_rank]
         self.token = by_rank
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by left * number of tokens + right
+        # The longest token by its last two symbols: a walk need not look further back.
+        self.reach: dict[str, int] = {}
+        for s in self.by_symbols:
+            self.reach[s[-2:]] = max(len(s), self.reach.get(s[-2:], 1))
         self.to_special = {s: (str(i), s) for s, i in special.items()}
         self.find_special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
 
@@ -87,9 +90,6 @@ class TrieBpe:
         Undo both tokens from their last merge backwards, the later one first. A merge of the pieces that meet at the
         border would have happened if it ranks before the merge that was undone last.
         """
-        known = self.apart.get((left, right))
-        if known is not None:
-            return known
         a, b, undone, result = left, right, len(self.parts), True
         while True:
             merged = self.pairs.get((a, b))
@@ -105,8 +105,9 @@ class TrieBpe:
                 b = self.parts[b][0]
             else:
                 break
-        if len(self.apart) < 2_000_000:
-            self.apart[left, right] = result
+        if len(self.apart) >= PAIRS:
+            self.apart.clear()
+        self.apart[left * len(self.parts) + right] = result
         return result
 
     def encode_words(self, words: Iterable[bytes]) -> dict[bytes, list[int]]:
@@ -114,7 +115,7 @@ class TrieBpe:
 
         Sorted words are the trie in depth-first order: what a word shares with the one before is its path so far.
         """
-        by_symbols, longest, size, apart, known = self.by_symbols, self.longest, self.size, self.stays_apart, self.apart
+        by_symbols, reach, size, apart, known, count = self.by_symbols, self.reach, self.size, self.stays_apart, self.apart, len(self.parts)
         out: dict[bytes, list[int]] = {}
         last: list[int] = [-1]  # the last token of each prefix of the path
         before = ""
@@ -129,11 +130,17 @@ class TrieBpe:
                     same += 1
             del last[same + 1 :]
             for end in range(same + 1, n + 1):
-                for begin in range(max(0, end - longest), end):
+                for begin in range(max(0, end - reach.get(s[max(0, end - 2) : end], 1)), end):
                     t = by_symbols.get(s[begin:end])
-                    if t is not None and (not begin or (known.get((last[begin], t)) if (last[begin], t) in known else apart(last[begin], t))):
-                        last.append(t)
-                        break
+                    if t is None:
+                        continue
+                    if begin:
+                        before_it = last[begin]
+                        stays = known.get(before_it * count + t)
+                        if not (apart(before_it, t) if stays is None else stays):
+                            continue
+                    last.append(t)
+                    break
                 else:
                     raise ValueError(f"no token ends at {end} of {word!r}")
             tokens, end = [], n
@@ -213,7 +220,7 @@ def normalised(text: str) -> list[str]:
 @lru_cache(2)
 def load(path: str) -> tuple[TrieBpe, Memo]:
     bpe = TrieBpe(path)
-    return bpe, Memo(bpe.chunk_values, KEPT, {"\n" + s: (1, i, decoded) for s, (i, decoded) in bpe.to_special.items()})
+    return bpe, Memo(bpe.chunk_values, fixed={"\n" + s: (1, i, decoded) for s, (i, decoded) in bpe.to_special.items()})
 
 
 def _digest_text(pieces: list[list[str]], memo: Memo) -> tuple[int, str, str]:
@@ -234,7 +241,7 @@ def encode_texts(texts: list[str | None], path: str) -> Iterator[tuple[int, str,
     """(n_tokens, ids_sha256, decoded_sha256) of each text."""
     bpe, memo = load(path)
     for a, b in in_groups(texts):
-        if b - a == 1 and len(texts[a] or "") > 1 << 21:
+        if is_long(texts, a, b):
             yield _digest_text((bpe.chunks(p) for p in text_pieces(texts[a])), memo)
             continue
         lists = [bpe.chunks(t or "") for t in texts[a:b]]

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from sys import getsizeof
+
+import pyarrow as pa
 
 #: What the tokenizer's \s matches in Unicode.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WHITE = re.compile(f"[{WHITE}]+")
 #: str.split() also splits at these, which the tokenizer takes for ordinary characters.
 _ODD = re.compile("[\x1c-\x1f]")
-#: Distinct chunks that a worker keeps; further ones are worked out again where they occur.
-KEEP = 700_000
+#: Bytes of the chunks and values that a worker keeps, and the longest chunk among them; what else there is, is worked
+#: out again where it occurs.
+KEEP, LONGEST = 64 << 20, 64
+#: Characters of texts whose words are held at once; a longer text is read in pieces.
+GROUP_CHARS = 1 << 20
 
 
 def split_white(text: str) -> list[str]:
@@ -20,10 +26,16 @@ def split_white(text: str) -> list[str]:
     return [x for x in _WHITE.split(text) if x]
 
 
+def _bytes(chunk: str, value) -> int:
+    """What a chunk and its value take in a memo, with their slot."""
+    own = sum(map(getsizeof, value)) if isinstance(value, tuple) else 0
+    return 104 + getsizeof(chunk) + getsizeof(value) + own
+
+
 class Memo(dict):
     """chunk -> value. work(list of distinct chunks) gives the values of those that are missing.
 
-    A worker process lives on from stage to stage; only the memo in use keeps what it has learnt.
+    A worker process lives on from stage to stage; only the memo in use keeps what it has learnt, up to keep bytes.
     """
 
     in_use: Memo | None = None
@@ -31,6 +43,7 @@ class Memo(dict):
     def __init__(self, work: Callable[[list[str]], Iterable], keep: int = KEEP, fixed: dict | None = None):
         super().__init__()
         self.work, self.keep, self.fixed = work, keep, fixed or {}
+        self.held = 0
         self.passing: dict = {}
 
     def learn(self, lists: Iterable[list[str]]) -> None:
@@ -45,8 +58,14 @@ class Memo(dict):
         new = [c for c in missing if c not in self and c not in self.fixed]
         if not new:
             return
-        to = self if len(self) + len(new) <= self.keep else self.passing
-        to.update(zip(new, self.work(new), strict=True))
+        held = self.held
+        for c, value in zip(new, self.work(new), strict=True):
+            if held < self.keep and len(c) <= LONGEST:
+                held += _bytes(c, value)
+                self[c] = value
+            else:
+                self.passing[c] = value
+        self.held = held
 
     def __missing__(self, chunk: str):
         return self.passing[chunk] if chunk in self.passing else self.fixed[chunk]
@@ -56,17 +75,24 @@ def forget() -> None:
     """Free what the memo in use holds, for an operator that needs the memory for something else."""
     if Memo.in_use is not None:
         Memo.in_use.clear()
-        Memo.in_use.passing = {}
+        Memo.in_use.passing, Memo.in_use.held = {}, 0
         Memo.in_use = None
+        pa.default_memory_pool().release_unused()
 
 
-def in_groups(texts: list[str | None], size: int = 1 << 21) -> Iterable[tuple[int, int]]:
-    """Ranges of neighbouring texts with about size characters each."""
+def in_groups(texts: list[str | None], size: int = GROUP_CHARS) -> Iterable[tuple[int, int]]:
+    """Ranges of neighbouring texts with at most size characters each; a longer text is a range of its own."""
     start = total = 0
     for i, t in enumerate(texts):
-        total += len(t or "")
-        if total >= size:
-            yield start, i + 1
-            start, total = i + 1, 0
+        n = len(t or "")
+        if i > start and total + n > size:
+            yield start, i
+            start, total = i, 0
+        total += n
     if start < len(texts):
         yield start, len(texts)
+
+
+def is_long(texts: list[str | None], start: int, end: int, size: int = GROUP_CHARS) -> bool:
+    """Is this range of in_groups() one text that has to be read in pieces?"""
+    return end - start == 1 and len(texts[start] or "") > size

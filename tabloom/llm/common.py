@@ -51,14 +51,17 @@ def narrow(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def text_pieces(text: str | None, size: int = PIECE_CHARS) -> Iterator[str]:
-    """The text in pieces of about size characters, cut only before an ASCII space or newline; none is lost."""
+    """The text in pieces of about size characters, cut only before white space; none is lost.
+
+    A run of more than size characters without white space is a piece as it is.
+    """
     if text is None:
         return
     if len(text) <= size:
         yield text
         return
     at = 0
-    cut_here = re.compile(r"[ \n]")
+    cut_here = re.compile(r"[ \t-\r\xa0\u2028\u2029\u3000]")
     while at < len(text):
         m = cut_here.search(text, at + size) if at + size < len(text) else None
         end = m.start() if m else len(text)
@@ -66,8 +69,9 @@ def text_pieces(text: str | None, size: int = PIECE_CHARS) -> Iterator[str]:
         at = end
 
 
-def slices(batches, rows: int = 1024):
-    """Arrow batches in slices of few rows, so that a task holds few texts as Python strings."""
+def slices(batches, rows: int = 1024, size: int = 1 << 23):
+    """Arrow batches in slices of few rows and about size bytes, so that a task holds few texts as Python strings."""
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        some = max(1, min(rows, batch.num_rows * size // max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, some):
+            yield batch.slice(at, some)

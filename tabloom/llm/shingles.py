@@ -54,12 +54,19 @@ def word_hashes(text: str) -> np.ndarray:
     inside = np.concatenate([[False], ~_SPACE[data], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edges[::2], edges[1::2]
-    global _UP, _DOWN
-    if len(data) + 1 > len(_UP):
-        _UP, _DOWN = _powers(_STEP, 2 * len(data)), _powers(_BACK, 2 * len(data))
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_LETTER[data] * _UP[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * _DOWN[starts] + (ends - starts).astype(np.uint64))
+    # Words in blocks of about _BLOCK bytes; only a longer word needs more powers than those at hand.
+    out, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + _BLOCK, "right")))
+        first = starts[at]
+        some = data[first : ends[to - 1]]
+        up, down = (_UP, _DOWN) if len(some) <= _BLOCK else (_powers(_STEP, len(some)), _powers(_BACK, len(some)))
+        sums = np.zeros(len(some) + 1, np.uint64)
+        np.cumsum(_LETTER[some] * up[: len(some)], out=sums[1:])
+        a, b = starts[at:to] - first, ends[at:to] - first
+        out[at:to] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        at = to
+    return out
 
 
 def shingle_set(words: np.ndarray) -> np.ndarray:

@@ -10,23 +10,27 @@ Words are what a Metaspace splitter makes of a text: a space (or the mark itself
 before a text that doesn't begin with one. Counts of distinct words are kept, up to a bound, and summed per text.
 
 Defined results: null and empty texts have 0 tokens; a null doc_id is passed on; repeated rows give repeated results;
-very long texts are read in pieces that end before a space; other columns are ignored; an empty table gives no rows.
+very long texts are read in pieces that end before a space, and of a very long word few positions are held at once;
+other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Memo, in_groups
+from .chunks import Memo, in_groups, is_long
 from .common import PIECE_CHARS, slices
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
+#: Positions of a word that are held at once, besides those that a piece reaches back to.
+KEPT = 1 << 16
 
 
 def vocabulary(path: str) -> list[tuple[str, float]]:
@@ -50,40 +54,45 @@ class CountingViterbi:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.single = {p for p in scores if len(p) == 1}
+        self.longest = max(map(len, scores), default=1)
         self.unknown = min((s for _, s in pieces), default=0.0) - UNKNOWN_PENALTY
         self.bytes = all(f"<0x{b:02X}>" in scores for b in range(256))
 
     def count(self, word: str) -> int:
-        """Pieces of the best path through a word."""
-        n = len(word)
-        best: list[float] = [0.0] * (n + 1)
-        pieces = [0] * (n + 1)
-        in_run = [False] * (n + 1)  # does the best path to here end in an unknown character?
-        single, unknown = self.single, self.unknown
-        found: list[list[tuple[int, float]] | None] = [None] * n
-        for end, match in self.automaton.iter(word):
-            if found[end] is None:
-                found[end] = [match]
-            else:
-                found[end].append(match)
-        for end in range(n):
-            top, length = None, 0
-            for size, score in sorted(found[end] or (), reverse=True):
-                s = best[end + 1 - size] + score
-                if top is None or s > top:
-                    top, length = s, size
-            if word[end] not in single:
-                s = best[end] + unknown
-                if top is None or s > top:
-                    best[end + 1], in_run[end + 1] = s, True
-                    if self.bytes:
-                        pieces[end + 1] = pieces[end] + len(word[end].encode("utf-8", "surrogatepass"))
+        """Pieces of the best path through a word. Of a long word only the last KEPT positions are held."""
+        single, unknown, as_bytes = self.single, self.unknown, self.bytes
+        # Of each position: the best score, its pieces, and whether that path ends in an unknown character.
+        best, pieces, in_run = [0.0], [0], [False]
+        at, found = 0, []  # the position to be settled next, and the matches that end there
+        for end, match in chain(self.automaton.iter(word), ((len(word), None),)):
+            while at < end:
+                top, length = None, 0
+                if found:
+                    if len(found) > 1:
+                        found.sort(reverse=True)
+                    for size, score in found:
+                        s = best[-size] + score
+                        if top is None or s > top:
+                            top, length = s, size
+                    found = []
+                c = word[at]
+                if c not in single and (top is None or best[-1] + unknown > top):
+                    best.append(best[-1] + unknown)
+                    if as_bytes:
+                        pieces.append(pieces[-1] + len(c.encode("utf-8", "surrogatepass")))
                     else:
-                        pieces[end + 1] = pieces[end] + (not in_run[end])
-                    continue
-            best[end + 1] = top
-            pieces[end + 1] = pieces[end + 1 - length] + 1
-        return pieces[n]
+                        pieces.append(pieces[-1] + (not in_run[-1]))
+                    in_run.append(True)
+                else:
+                    best.append(top)
+                    pieces.append(pieces[-length] + 1)
+                    in_run.append(False)
+                at += 1
+                if at % KEPT == 0:
+                    for x in (best, pieces, in_run):
+                        del x[: -self.longest]
+            found.append(match)
+        return pieces[-1]
 
 
 @lru_cache(2)
@@ -114,7 +123,7 @@ def space_pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 def count_texts(texts: list[str | None], path: str) -> Iterator[int]:
     memo = load(path)
     for a, b in in_groups(texts):
-        if b - a == 1 and len(texts[a] or "") > 1 << 21:
+        if is_long(texts, a, b):
             n = 0
             for piece in space_pieces(texts[a].replace(MARK, " ")):
                 ws = words(piece)

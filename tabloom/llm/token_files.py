@@ -30,8 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .chunks import Memo, in_groups, split_white
-from .common import cut, new_path, text_pieces
+from .chunks import Memo, in_groups, is_long, split_white
+from .common import cut, new_path, slices, text_pieces
 
 MAGIC = b"TBLDAC1\n"
 BITS = 512  # bits of bitmap per entry of the rank directory
@@ -148,7 +148,7 @@ def library_memo(path: str) -> Memo:
                 ids = e.ids
                 yield struct.pack(f"<{len(ids)}I", *ids)
 
-    return Memo(work)
+    return Memo(work, 128 << 20)
 
 
 def check_chunkable(path: str) -> None:
@@ -162,7 +162,7 @@ def check_chunkable(path: str) -> None:
 def encode_to_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     memo = library_memo(path)
     for a, b in in_groups(texts):
-        if b - a == 1 and len(texts[a] or "") > 1 << 21:
+        if is_long(texts, a, b):
             whole = []
             for piece in text_pieces(texts[a]):
                 chunks = split_white(piece)
@@ -212,15 +212,13 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1,
             doc_ids, parts, tokens, made = [], [], 0, made + 1
             return row
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                for doc, ids in zip(some.column("doc_id").to_pylist(), encode_to_bytes(some.column("text").to_pylist(), path), strict=True):
-                    doc_ids.append(doc)
-                    parts.append(ids + end)
-                    tokens += len(ids) // 4 + 1
-                    if tokens >= FILE_TOKENS:
-                        yield flush()
+        for some in slices(batches, 512):
+            for doc, ids in zip(some.column("doc_id").to_pylist(), encode_to_bytes(some.column("text").to_pylist(), path), strict=True):
+                doc_ids.append(doc)
+                parts.append(ids + end)
+                tokens += len(ids) // 4 + 1
+                if tokens >= FILE_TOKENS:
+                    yield flush()
         if doc_ids:
             yield flush()
 

@@ -1,12 +1,15 @@
 """Operator 7, toxicity: a factorization machine over hashed terms.
 
-Terms of a text are its lower-cased words and their first PREFIXES letters, each hashed to a
-bucket, and again to another if it occurs more than once. Of the buckets, those that go with the label most (chi-squared, on the
-sample) are the machine's features. It scores w0 + sum w_i + sum over pairs <v_i, v_j>, so that two features can count
-for more (or less) together than apart, as an insult beside the mention of a group does.
+Terms of a text are its lower-cased words and their first PREFIXES letters, each hashed to a bucket, and again to
+another if it occurs more than once. Of the buckets, those that go with the label most (chi-squared, on the sample) are
+the machine's features, and with them those that go with it among the documents that hold such a feature: a term that
+matters only beside another one. It scores w0 + sum w_i + sum over pairs <v_i, v_j>, so that two features can count for
+more (or less) together than apart, as an insult beside the mention of a group does.
 
-It is trained in numpy by stochastic gradient descent on a bounded sample of labelled documents (SAMPLE rows, whole
-texts). What is broadcast is FEATURES rows of FACTORS + 1 numbers and as many bucket numbers.
+It is trained in numpy by stochastic gradient descent on a bounded sample of labelled documents (SAMPLE rows and
+SAMPLE_CHARS characters, whole texts); until the share WHOLE of the steps a part of a document's features is left
+out in each, so that no chance neighbour stands in for the terms that matter. What is broadcast is FEATURES rows of FACTORS + 1 numbers and as many
+bucket numbers.
 
 Defined results: null and empty texts get the score of the bias; a null doc_id is scored and not held out; repeated rows
 give repeated results; very long texts are read whole, in pieces; other columns are ignored; an empty table gives no
@@ -25,13 +28,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from .chunks import Memo, in_groups, split_white
+from .chunks import Memo, in_groups, is_long, split_white
 from .common import slices, text_pieces
-from .labelled import sample, with_scores
+from .labelled import gathered, sample, with_scores
 
 BUCKETS = 1 << 22
 PREFIXES = (4, 5)
 FEATURES, FACTORS = 1024, 8
+#: Chi-squared that a feature needs, by itself and beside another: few of a sample's many terms reach it by chance.
+ALONE, BESIDE = 30.0, 30.0
+WHOLE = 0.85
 SAMPLE = 8000
 
 
@@ -76,21 +82,31 @@ class Machine:
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def train(documents: list[np.ndarray], labels: np.ndarray, steps: int = 6000, batch: int = 64, rate: float = 0.08, shrink: float = 1e-5, seed: int = 5) -> Machine:
+def associated(term: np.ndarray, of: np.ndarray, labels: np.ndarray, terms: int, least: float, most: int) -> np.ndarray:
+    """Up to most of the terms that go with the label with a chi-squared above least; term and of are pairs (term, document)."""
+    n, positive = len(labels), int(labels.sum())
+    with_all = np.bincount(term, minlength=terms).astype(np.float64)
+    with_positive = np.bincount(term, labels[of], terms)
+    expected = with_all * positive / max(1, n)
+    spread = expected * (1 - positive / max(1, n)) * (1 - with_all / max(1, n))
+    chi2 = np.where((with_all >= 3) & (spread > 0), (with_positive - expected) ** 2 / np.maximum(spread, 1e-12), 0)
+    chosen = np.argsort(-chi2, kind="stable")[:most]
+    return np.sort(chosen[chi2[chosen] > least])
+
+
+def train(documents: list[np.ndarray], labels: np.ndarray, steps: int = 6000, batch: int = 64, rate: float = 0.08, shrink: float = 5e-4, drop: float = 0.25, seed: int = 5) -> Machine:
     """Choose the features and fit the machine, with steps scaled by past gradients."""
     n, positive = len(labels), int(labels.sum())
     if not positive or positive == n:
         return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
-    ids = np.concatenate(documents)
     doc = np.repeat(np.arange(n), [len(d) for d in documents])
-    seen, back = np.unique(ids, return_inverse=True)
-    with_all = np.bincount(back, minlength=len(seen)).astype(np.float64)
-    with_positive = np.bincount(back, labels[doc], len(seen))
-    expected = with_all * positive / n
-    spread = expected * (1 - positive / n) * (1 - with_all / n)
-    chi2 = np.where((with_all >= 3) & (spread > 0), (with_positive - expected) ** 2 / np.maximum(spread, 1e-12), 0)
-    chosen = np.sort(np.argsort(-chi2, kind="stable")[:FEATURES])
-    chosen = chosen[chi2[chosen] > 4]
+    seen, back = np.unique(np.concatenate(documents), return_inverse=True)
+    chosen = associated(back, doc, labels, len(seen), ALONE, FEATURES * 3 // 4)
+    holds = np.bincount(doc[np.isin(back, chosen)], minlength=n) > 0
+    inside = holds[doc]
+    within = np.cumsum(holds) - 1
+    beside = associated(back[inside], within[doc[inside]], labels[holds], len(seen), BESIDE, FEATURES // 4)
+    chosen = np.union1d(chosen, beside)
     place = np.full(len(seen), -1)
     place[chosen] = np.arange(len(chosen))
     at = place[back]
@@ -101,11 +117,13 @@ def train(documents: list[np.ndarray], labels: np.ndarray, steps: int = 6000, ba
     w, w0 = np.zeros(len(chosen), np.float32), np.float32(np.log(positive / (n - positive)))
     weight = np.where(labels == 1, np.sqrt((n - positive) / positive), 1).astype(np.float32)  # the rarer class counts for more
     past_v, past_w = np.full_like(v, 1e-6), np.full_like(w, 1e-6)
-    for _ in range(-(-steps * batch // n)):
+    epochs = -(-steps * batch // n)
+    for epoch in range(epochs):
         order = rng.permutation(n)
+        whole = epoch >= epochs * WHOLE
         for k in range(0, n, batch):
             some = order[k : k + batch]
-            b = x[some]
+            b = x[some] if whole else x[some] * (rng.random((len(some), len(chosen)), np.float32) >= drop)
             q = b @ v
             z = w0 + b @ w + 0.5 * ((q * q).sum(1) - b @ (v * v).sum(1))
             e = ((1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels[some]) * weight[some]).astype(np.float32) / len(some)
@@ -121,7 +139,7 @@ def train(documents: list[np.ndarray], labels: np.ndarray, steps: int = 6000, ba
 
 def scorer(machine: Machine):
     wanted = {b % BUCKETS for b in machine.feature}
-    memo = Memo(lambda chunks: [tuple(t for t in terms(c) if t in wanted) for c in chunks], 300_000)
+    memo = Memo(lambda chunks: [tuple(t for t in terms(c) if t in wanted) for c in chunks])
 
     def add(found: Counter, chunks: Counter) -> Counter:
         for c, ts in zip(chunks, map(memo.__getitem__, chunks), strict=True):
@@ -132,7 +150,7 @@ def scorer(machine: Machine):
     def score(texts: list[str | None]) -> list[float]:
         out: list[float] = []
         for a, b in in_groups(texts):
-            if b - a == 1:
+            if is_long(texts, a, b):
                 found: Counter = Counter()
                 for piece in text_pieces(texts[a]):
                     chunks = Counter(split_white(piece))
@@ -155,12 +173,12 @@ def _learned(docs: DataFrame, labels: DataFrame, label: str, of: int, left: int,
     """Learn from labels that are not held out; a function from texts to scores, for the workers."""
 
     def run(batches):
-        memo = Memo(lambda chunks: [terms(c) for c in chunks], 200_000)
-        for batch in batches:
+        memo = Memo(lambda chunks: [terms(c) for c in chunks])
+        for batch in slices(batches):
             found = [text_terms(t, memo).astype("<u4").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.binary()), batch.column("label")], names=["doc_id", "terms", "label"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chars"), pa.array(found, pa.binary()), batch.column("label")], names=["doc_id", "chars", "terms", "label"])
 
-    known = sample(docs, labels, label, of, left, rows).mapInArrow(run, "doc_id bigint, terms binary, label int").toArrow().sort_by([("doc_id", "ascending")])
+    known = gathered(sample(docs, labels, label, of, left, rows).mapInArrow(run, "doc_id bigint, chars bigint, terms binary, label int"))
     documents = [np.frombuffer(x, "<u4").astype(np.int64) for x in known["terms"].to_pylist()]
     shared = docs.sparkSession.sparkContext.broadcast(train(documents, np.array(known["label"].to_pylist(), np.int64)))
 

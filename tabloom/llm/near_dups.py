@@ -5,10 +5,13 @@
 2. Representatives with equal band keys are candidates. Each is held against its bucket's least representative, never
    all against all: first the signatures, then the full sets, which are made anew from the texts.
 3. Links give components. In a bucket that still has several components, pairs across them are compared in pairs of
-   blocks, by signature and then by full sets, without making rows of them; what comes out is links that connect. That
-   closes every candidate pair, however a bucket is made up.
+   blocks, without making rows of them: first by signatures alone; then full sets are sent to a pair of blocks for those
+   members only that have a partner there whose signature agrees. What comes out is links that connect. That closes
+   every candidate pair, however a bucket is made up.
 
-At 24 bands of 5 rows a pair with a similarity of 0.85 shares no band with a probability of 8e-7.
+At 24 bands of 5 rows a pair with a similarity of 0.85 shares no band with a probability of 8e-7, one of 0.8 with 7e-5;
+the signatures lose far less (see SLACK). A full set holds 64-bit hashes of shingles, which are made of 64-bit hashes of
+words: two different shingles of a table are taken for one with a probability of 5e-20 per pair.
 
 Defined results: null and empty texts and those without words have an empty set and no links; a null doc_id is linked
 with nothing, has a null component_id and is kept; rows with equal doc_ids are one document for links and each gives a
@@ -27,12 +30,13 @@ from pyspark.sql import functions as F
 from .chunks import forget
 from .common import cut, narrow, slices
 from .components import components
-from .shingles import BANDS, HASHES, band_keys, linked, minima, sets_of
+from .shingles import HASHES, band_keys, linked, minima, sets_of
 
-#: Members that are held against a leader under one salt, and members of a block of a large bucket.
-GROUP, BLOCK = 256, 512
-#: A link's estimate is at least this much below its similarity with a probability under 1e-4.
-SLACK = 0.13
+#: Members that are held against a leader under one salt, and members and shingles of a block of a large bucket, about.
+GROUP, BLOCK, BLOCK_SHINGLES = 256, 2048, 1 << 22
+#: How far a link's estimate may lie below the threshold. Of pairs right at it the binomial tail over 120 minima falls
+#: further with a probability of 1.5e-8 at 0.85 and 1.5e-7 at 0.8, which is little beside that of sharing no band.
+SLACK = 0.2
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -115,13 +119,44 @@ def _sets(reps: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(docs.join(narrow(wanted, wanted.count()), docs["doc_id"] == wanted["rep"]).select("rep", "text").mapInArrow(run, "rep bigint, shingles binary"), "open-sets")
 
 
-def _compare(group: tuple, rows: list[tuple], percent: int, least: float):
-    """Links across components in one pair of blocks of a bucket; a link spares the pairs that it connects."""
-    band, a, b = group[1:]
-    own, reps, comps = (np.array([r[i] for r in rows]) for i in range(3))
-    sig = np.frombuffer(b"".join(r[3] for r in rows), "<u2").reshape(-1, HASHES)
-    bands = sig.reshape(-1, BANDS, HASHES // BANDS)
-    sets = [np.frombuffer(r[4], np.uint64) for r in rows]
+class _Block:
+    """The members of one pair of blocks of a bucket, and which pairs among them are to be compared there."""
+
+    def __init__(self, group: tuple, rows: list[tuple], percent: int, least: float):
+        self.band, self.inside = group[1], group[2] == group[3]
+        self.own, self.reps, self.comps, self.sizes = (np.array([r[i] for r in rows]) for i in range(4))
+        self.signatures = np.frombuffer(b"".join(r[4] for r in rows), "<u2").reshape(-1, HASHES)
+        self.bands = np.array([r[5] for r in rows])
+        self.percent, self.least = percent, least
+
+    def partners(self, i: int) -> np.ndarray:
+        """The later members that may link with member i, by all but the full sets."""
+        j = np.arange(i + 1, len(self.reps))
+        # Pairs inside a block are compared in the group of that block alone.
+        j = j[(self.comps[j] != self.comps[i]) & (True if self.inside else self.own[j] != self.own[i])]
+        a, b = np.minimum(self.sizes[j], self.sizes[i]), np.maximum(self.sizes[j], self.sizes[i])
+        j = j[100 * a >= self.percent * b]
+        if len(j):
+            j = j[_alike(self.signatures[j], self.signatures[i][None], self.least)]
+        if len(j):
+            # A pair with several common buckets is compared in that of its first band.
+            j = j[(self.bands[j] == self.bands[i]).argmax(1) == self.band]
+        return j
+
+
+def _with_partner(group: tuple, rows: list[tuple], percent: int, least: float):
+    """The members that have a partner in their group, each as (key, band, a, b, rep)."""
+    block, found = _Block(group, rows, percent, least), np.zeros(len(rows), bool)
+    for i in range(len(rows) - 1):
+        j = block.partners(i)
+        found[j] = True
+        found[i] |= len(j) > 0
+    return [(*group, int(r)) for r in block.reps[found]]
+
+
+def _links_across(group: tuple, rows: list[tuple], percent: int, least: float):
+    """Links across components in one group, by full sets; a link spares the pairs that it connects."""
+    block, sets = _Block(group, rows, percent, least), [np.frombuffer(r[6], np.uint64) for r in rows]
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -129,57 +164,58 @@ def _compare(group: tuple, rows: list[tuple], percent: int, least: float):
             x = parent[x]
         return x
 
+    got = []
     for i in range(len(rows) - 1):
-        j = np.arange(i + 1, len(rows))
-        # Pairs inside a block are compared in the group of that block alone.
-        j = j[(comps[j] != comps[i]) & ((own[j] != own[i]) if a != b else True)]
-        if len(j):
-            j = j[_alike(sig[j], sig[i][None], least)]
-        if len(j):
-            # A pair with several common buckets is compared in that of its first band.
-            j = j[(bands[j] == bands[i]).all(2).argmax(1) == band]
-        for k in j.tolist():
-            x, y = root(int(comps[i])), root(int(comps[k]))
+        for k in block.partners(i).tolist():
+            x, y = root(int(block.comps[i])), root(int(block.comps[k]))
             if x != y and linked(sets[i], sets[k], percent):
                 parent[max(x, y)] = min(x, y)
-                yield int(reps[i]), int(reps[k])
+                got.append((int(block.reps[i]), int(block.reps[k])))
+    return got
 
 
-def _rest(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
-    """Links (u, v) across the components of buckets with several of them, among pairs that no leader was part of."""
-    placed = buckets.join(found, buckets["rep"] == found["node"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.count("*").alias("members"), F.min("rep").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).filter("members > 2 and low < high")
-    left = cut(placed.join(open_keys.select("key", "first", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")), "key").filter("rep <> first").drop("first"), "open-buckets")
-    dealt = (
-        left.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", "band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "component")
-        .join(reps.join(_sets(left, docs), "rep").select("rep", "signature", "shingles"), "rep")
-        .repartition("key", "a", "b")
-        .sortWithinPartitions("key", "a", "b", "rep")
-    )
-    columns = ("own", "rep", "component", "signature", "shingles")
+def _by_group(rows: DataFrame, columns: list[str], work, schema: dict[str, pa.DataType]) -> DataFrame:
+    """work(group, rows) over the rows of each (key, band, a, b), in the order of rep."""
+    by = ["key", "band", "a", "b"]
 
     def run(batches):
         group, held = None, []
 
         def out(got):
-            u, v = zip(*got, strict=True) if got else ((), ())
-            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*got, strict=True) if got else [()] * len(schema), schema.values(), strict=True)], names=list(schema))
 
-        for batch in batches:
+        for batch in slices(batches):
             got = []
-            for *g, own, rep, component, signature, shingles in zip(*(batch.column(c).to_pylist() for c in ("key", "band", "a", "b", *columns)), strict=True):
+            for *g, row in zip(*(batch.column(c).to_pylist() for c in by), zip(*(batch.column(c).to_pylist() for c in columns), strict=True), strict=True):
                 if g != group:
                     if group:
-                        got += _compare(tuple(group), held, percent, least)
+                        got += work(tuple(group), held)
                     group, held = g, []
-                held.append((own, rep, component, signature, shingles))
+                held.append(row)
             yield out(got)
         if group:
-            yield out(list(_compare(tuple(group), held, percent, least)))
+            yield out(work(tuple(group), held))
+
+    dealt = rows.select(*by, *columns).repartition(*by).sortWithinPartitions(*by, "rep")
+    return dealt.mapInArrow(run, ", ".join(f"{n} {'int' if t == pa.int32() else 'bigint'}" for n, t in schema.items()))
 
-    return cut(dealt.select("key", "band", "a", "b", *columns).mapInArrow(run, "u bigint, v bigint"), "rest-links")
+
+def _rest(buckets: DataFrame, found: DataFrame, reps: DataFrame, docs: DataFrame, percent: int, least: float) -> DataFrame:
+    """Links (u, v) across the components of buckets with several of them, among pairs that no leader was part of."""
+    placed = buckets.join(found, buckets["rep"] == found["node"], "left").select("key", "band", "rep", F.coalesce("component", "rep").alias("component")).join(reps.select("rep", "n_shingles"), "rep")
+    open_keys = placed.groupBy("key").agg(F.count("*").alias("members"), F.sum("n_shingles").alias("size"), F.min("rep").alias("first"), F.min("component").alias("low"), F.max("component").alias("high")).filter("members > 2 and low < high")
+    blocks = F.greatest(F.ceil(F.col("members") / BLOCK), F.ceil(F.col("size") / BLOCK_SHINGLES)).cast("int")
+    left = cut(placed.join(open_keys.select("key", "first", blocks.alias("blocks")), "key").filter("rep <> first").drop("first"), "open-buckets")
+    dealt = (
+        left.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("key", "band", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"), "own", "rep", "component", "n_shingles")
+        .join(reps.select("rep", "signature", "bands"), "rep")
+    )
+    columns = ["own", "rep", "component", "n_shingles", "signature", "bands"]
+    with_partner = cut(_by_group(dealt, columns, lambda g, rows: _with_partner(g, rows, percent, least), {"key": pa.int64(), "band": pa.int32(), "a": pa.int32(), "b": pa.int32(), "rep": pa.int64()}), "open-members")
+    few = dealt.join(with_partner, ["key", "band", "a", "b", "rep"]).join(_sets(with_partner, docs), "rep")
+    return cut(_by_group(few, [*columns, "shingles"], lambda g, rows: _links_across(g, rows, percent, least), {"u": pa.int64(), "v": pa.int64()}), "rest-links")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -187,13 +223,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = cut(sketches(docs), "sketches")
     usable = known.filter("doc_id is not null and digest is not null")
-    reps = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "reps")
+    reps = cut(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "reps")
     entries = reps.select(F.posexplode("bands").alias("band", "key"), "rep")
     shared = entries.groupBy("key").agg(F.min("rep").alias("leader"), F.max("rep").alias("top")).filter("leader < top").select("key", "leader")
     buckets = cut(entries.join(shared, "key").select("key", "band", "rep", "leader"), "buckets")
     least = percent / 100 - SLACK
     pairs = buckets.filter("rep <> leader").select("leader", F.col("rep").alias("member")).distinct()
-    signed = reps.select("rep", "signature")
+    signed = reps.select("rep", "n_shingles", "signature", "bands")
     links = _linked(_close(pairs, signed, least).distinct(), docs, percent, "near")
     # Rows that share a doc_id are one document: it is linked with the representatives of all its texts.
     several = usable.groupBy("doc_id").agg(F.min("digest").alias("low"), F.max("digest").alias("high")).filter("low < high").select("doc_id")

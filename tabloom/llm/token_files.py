@@ -4,9 +4,10 @@ An id is split into 8-bit chunks, lowest first. Level k holds chunk k of all ids
 per chunk that tells whether the id goes on in the next level, and a rank directory: ones before each 512 bits of the
 bitmap. Token i is read at position i of level 0, at rank(i) of level 1, and so on; no block is decoded for it.
 
-A file holds the documents of one range of (doc_id, text digest): after the levels come its documents' ids and the
-number of tokens before each. Files are written under a temporary name and renamed, and their names depend on the range
-alone, so a task that runs again replaces the same file. Part numbers ascend with doc_id.
+A file holds the documents of one range of (doc_id, text digest): before the levels come its documents' ids and the
+number of tokens before each. Each attempt of a task writes files of its own names, once, without renaming, which not
+every store does over a file that is there. The manifest, which Spark commits, names those of the attempt that counts;
+files that it doesn't name were left by attempts that broke off. Part numbers ascend with doc_id.
 
 Defined results: a null or empty text has the end id only; a null doc_id sorts first; equal doc_ids are ordered by text
 digest; a very long text is encoded in pieces; other columns are ignored; an empty table gives no files and no rows.
@@ -37,6 +38,8 @@ MAGIC = b"TBLDAC1\n"
 BITS = 512  # bits of bitmap per entry of the rank directory
 #: Rows of a range of documents, and tokens of a file; a range with more tokens has several files.
 ROWS, FILE_TOKENS = 8192, 1 << 23
+#: Tasks that read files back, at most.
+READERS = 8192
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -181,13 +184,10 @@ def _files(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 def put(folder: str, name: str, data: bytes) -> None:
-    """Write a file under another name, then rename it."""
     fs, base = _files(folder)
     fs.create_dir(base, recursive=True)
-    temporary = posixpath.join(base, f".{name}.{uuid.uuid4().hex}")
-    with fs.open_output_stream(temporary) as f:
+    with fs.open_output_stream(posixpath.join(base, name)) as f:
         f.write(data)
-    fs.move(temporary, posixpath.join(base, name))
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1, rows: int = ROWS) -> DataFrame:
@@ -206,7 +206,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1,
 
         def flush():
             nonlocal doc_ids, parts, tokens, made
-            name = f"{part:08d}-{made:06d}.dac"
+            name = f"{part:08d}-{made:06d}-{uuid.uuid4().hex}.dac"
             put(folder, name, file_bytes(doc_ids, [len(x) // 4 for x in parts], np.frombuffer(b"".join(parts), "<u4")))
             row = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([made]), pa.array([name]), pa.array([len(doc_ids)]), pa.array([tokens])], names=["part", "piece", "file", "n_docs", "n_tokens"])
             doc_ids, parts, tokens, made = [], [], 0, made + 1
@@ -224,13 +224,13 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1,
 
     ordered = docs.repartitionByRange(ranges, "doc_id", "digest").sortWithinPartitions("doc_id", "digest").select("doc_id", "text")
     manifest = cut(ordered.mapInArrow(run, "part long, piece long, file string, n_docs long, n_tokens long"), "token-manifest")
-    # One row per file of millions of tokens, not per document.
+    # One task for all files, of a slim row each: a file has up to FILE_TOKENS tokens.
     w = Window.orderBy("part", "piece").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(w), F.lit(0)))
 
 
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of each document, from the files."""
+def read_token_files(manifest: DataFrame, folder: str, readers: int = READERS) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, from the files, in up to readers tasks."""
 
     def run(batches):
         for batch in batches:
@@ -248,8 +248,9 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
                     start = stop
                 yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(before[:-1] + base), pa.array(np.diff(before)), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = manifest.select("file", "base", F.xxhash64("file").alias("h"))
-    return files.repartition("h").select("file", "base").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    # A number of partitions is given, as Spark would else merge these slim rows into one task.
+    files = manifest.select("part", "piece", "file", "base").repartition(max(1, min(readers, manifest.count())), "part", "piece")
+    return files.select("file", "base").mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:

@@ -9,12 +9,16 @@ after SLOTS slots: one period is made, and block j of a source goes to slot (j d
 
 When a source ends, its slots stay empty and the others go on in their proportions; no row is left out or repeated.
 
-Quotas: one slot for each source, the rest by weight, by largest remainder. Without given weights a source weighs the
-whole part of the square root of its characters. No source is one group in one task: its order is dealt by digest
-prefixes, whose totals give the characters before each.
+Quotas: one slot for each source, the rest by weight, by largest remainder. A period has SLOTS slots, or four times the
+sources if that is more. Without given weights a source weighs the whole part of the square root of its characters. No
+source is one group in one task: its order is dealt by digest prefixes, whose totals give the characters before each.
+
+Sources of equal quota have equal releases and deadlines and so take turns: the schedule is folded over the distinct
+quotas, of which there are at most the square root of twice the slots. It is one row of a number per source and slot.
 
 Defined results: a null source is a source of its own and sorts first; null and empty texts count as one character; a
-null doc_id has an empty digest and comes first in its source; equal doc_ids share a digest and are ordered by length;
+null doc_id has an empty digest, and such rows are dealt by a digest of their text; equal doc_ids share a digest and are
+ordered by length;
 a document longer than a block fills the following blocks too; sources without a given weight weigh nothing beyond their
 one slot; an empty table gives no rows.
 """
@@ -24,10 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut, narrow
+
 BLOCK_CHARS = 1 << 16
 SLOTS = 1024
 #: Rows of a source under one digest prefix, about.
 PREFIX_ROWS = 4096
+#: Slots of one inner fold: their list is copied for each slot, the list of these lists only once for each.
+_TURN = 256
 
 
 def source_key(source: Column) -> Column:
@@ -52,34 +60,54 @@ def quotas(sizes: DataFrame, weights: dict[str | None, int] | None = None, slots
     parts = parts.select("slots", F.transform("parts", lambda x: F.struct(x["key"].alias("key"), (F.lit(1) + F.floor((x["share"] - x["left"]) / F.col("of"))).cast("bigint").alias("base"), x["left"].alias("left"))).alias("parts"))
     spare = F.col("slots") - F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, x: a + x["base"])
     ranked = F.array_sort(F.transform("parts", lambda x: F.struct((-x["left"]).alias("by"), x["key"].alias("key"))))
-    parts = parts.select("slots", "parts", F.transform(F.slice(ranked, 1, F.greatest(spare, F.lit(0)).cast("int")), lambda x: x["key"]).alias("more"))
-    return parts.select(
-        F.transform("parts", lambda x: x["key"]).alias("sources"),
-        F.transform("parts", lambda x: x["base"] + F.array_contains(F.col("more"), x["key"]).cast("bigint")).alias("quotas"),
-        "slots",
-    )
+    # The last source that gets one of the spare slots; null if there is none to spare.
+    parts = parts.select("slots", "parts", F.get(ranked, spare.cast("int") - 1).alias("last"))
+    more = lambda x: F.coalesce(F.struct((-x["left"]).alias("by"), x["key"].alias("key")) <= F.col("last"), F.lit(False)).cast("bigint")
+    return parts.select(F.transform("parts", lambda x: x["key"]).alias("sources"), F.transform("parts", lambda x: x["base"] + more(x)).alias("quotas"), "slots")
 
 
 def period(quota_row: DataFrame) -> DataFrame:
     """(key, quota, slots, nth, slot): the schedule of one period, earliest deadline first."""
+    each = quota_row.select("slots", F.posexplode(F.arrays_zip("sources", "quotas")).alias("i", "x")).select("slots", "i", F.col("x.sources").alias("key"), F.col("x.quotas").alias("quota"))
+    classes = each.groupBy("slots", "quota").agg(F.array_sort(F.collect_list("i")).alias("members"))
+    row = classes.groupBy("slots").agg(F.array_sort(F.collect_list(F.struct("quota", "members"))).alias("classes"))
+    release = lambda j, quota: F.floor(j * F.col("slots") / quota)
+    deadline = lambda j, quota: F.ceil((j + 1) * F.col("slots") / quota)
+
+    def turn(at, j, place):
+        """The next block of class number at: block j of the member at place. Its deadline and source come first."""
+        of = F.get(F.col("classes"), at)
+        return F.struct(
+            deadline(j, of["quota"]).alias("deadline"),
+            F.get(of["members"], place).alias("i"),
+            at.alias("at"),
+            F.when(j < of["quota"], release(j, of["quota"])).otherwise(F.col("slots")).alias("release"),
+            j.alias("j"),
+            place.alias("place"),
+        )
+
+    def after(x):
+        last = x["place"] + 1 == F.size(F.get(F.col("classes"), x["at"])["members"])
+        return turn(x["at"], x["j"] + last.cast("bigint"), F.when(last, 0).otherwise(x["place"] + 1))
 
     def step(state, t):
-        candidates = F.transform(
-            F.sequence(F.lit(0), F.size("quotas") - 1),
-            lambda i: F.when(
-                (F.get(state["done"], i) < F.get(F.col("quotas"), i)) & (F.floor(F.get(state["done"], i) * F.col("slots") / F.get(F.col("quotas"), i)) <= t),
-                F.struct(F.ceil((F.get(state["done"], i) + 1) * F.col("slots") / F.get(F.col("quotas"), i)).alias("deadline"), i.alias("i")),
-            ),
-        )
-        chosen = F.array_min(F.filter(candidates, lambda x: x.isNotNull()))["i"]
-        # An array of one binds the choice, which would else be worked out again for every source.
-        return F.get(F.transform(F.array(chosen), lambda ch: F.struct(F.transform(state["done"], lambda c, i: c + (i == ch).cast("bigint")).alias("done"), F.array_append(state["order"], ch).alias("order"))), F.lit(0))
+        chosen = F.array_min(F.filter(state["turns"], lambda x: x["release"] <= t))
+        # An array of one binds the choice, which would else be worked out again for every class.
+        bound = F.transform(F.array(chosen), lambda ch: F.struct(F.transform(state["turns"], lambda x: F.when(x["at"] == ch["at"], after(x)).otherwise(x)).alias("turns"), F.array_append(state["order"], ch["i"]).alias("order")))
+        return F.get(bound, F.lit(0))
+
+    none = F.expr("cast(array() as array<int>)")
+
+    def block(state, start):
+        within = F.aggregate(F.sequence(start, F.least(start + _TURN, F.col("slots")) - 1), F.struct(state["turns"].alias("turns"), none.alias("order")), step)
+        bound = F.transform(F.array(within), lambda w: F.struct(w["turns"].alias("turns"), F.array_append(state["orders"], w["order"]).alias("orders")))
+        return F.get(bound, F.lit(0))
 
-    start = F.struct(F.transform("quotas", lambda q: F.lit(0).cast("bigint")).alias("done"), F.expr("cast(array() as array<int>)").alias("order"))
-    order = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1), start, step, lambda s: s["order"])
-    made = quota_row.filter(F.size("sources") > 0).select("sources", "quotas", "slots", F.posexplode(order).alias("slot", "i"))
+    begin = F.struct(F.transform(F.sequence(F.lit(0), F.size("classes") - 1), lambda at: turn(at, F.lit(0).cast("bigint"), F.lit(0))).alias("turns"), F.expr("cast(array() as array<array<int>>)").alias("orders"))
+    order = F.aggregate(F.sequence(F.lit(0).cast("bigint"), F.col("slots") - 1, F.lit(_TURN).cast("bigint")), begin, block, lambda s: F.flatten(s["orders"]))
+    made = row.select(F.posexplode(order).alias("slot", "i"))
     nth = F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1
-    return made.select(F.get("sources", F.col("i")).alias("key"), F.get("quotas", F.col("i")).alias("quota"), "slots", nth.cast("bigint").alias("nth"), F.col("slot").cast("bigint").alias("slot"))
+    return made.join(each, "i").select("key", "quota", "slots", nth.cast("bigint").alias("nth"), F.col("slot").cast("bigint").alias("slot"))
 
 
 def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_chars: int = BLOCK_CHARS, slots: int = SLOTS, carry: list[str] | None = None) -> DataFrame:
@@ -88,21 +116,22 @@ def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_c
     Read in the order of (slot, digest, doc_id), rows are mixed to the weights.
     """
     size = F.greatest(F.coalesce(F.char_length(docs["text"].cast("string")), F.lit(0)), F.lit(1)).cast("bigint")
-    rows = docs.select(F.struct(*[docs[c] for c in (docs.columns if carry is None else carry)]).alias("row"), source_key(docs["source"]).alias("key"), size.alias("size"), F.coalesce(F.md5(docs["doc_id"].cast("string").cast("binary")), F.lit("")).alias("digest"))
-    slim = docs.select(source_key(docs["source"]).alias("key"), size.alias("size"), F.coalesce(F.md5(docs["doc_id"].cast("string").cast("binary")), F.lit("")).alias("digest"))
+    of_id = F.md5(docs["doc_id"].cast("string").cast("binary"))
+    slim = [source_key(docs["source"]).alias("key"), size.alias("size"), F.coalesce(of_id, F.md5(docs["text"].cast("string").cast("binary")), F.lit("")).alias("place")]
+    rows = docs.select(F.struct(*[docs[c] for c in (docs.columns if carry is None else carry)]).alias("row"), F.coalesce(of_id, F.lit("")).alias("digest"), *slim)
     digits, n = 0, docs.count()
     while 16**digits * PREFIX_ROWS < n:
         digits += 1
-    prefix = F.substring("digest", 1, digits) if digits else F.lit("")
-    totals = slim.groupBy("key", prefix.alias("prefix")).agg(F.sum("size").alias("chars"))
+    prefix = F.substring("place", 1, digits) if digits else F.lit("")
+    totals = docs.select(*slim).groupBy("key", prefix.alias("prefix")).agg(F.sum("size").alias("chars"))
     ahead = totals.select("key", "prefix", F.coalesce(F.sum("chars").over(Window.partitionBy("key").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
-    inside = Window.partitionBy("key", "prefix").orderBy("digest", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("key", "prefix").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = rows.withColumn("prefix", prefix).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = placed.join(ahead, ["key", "prefix"]).withColumn("block", F.floor((F.col("ahead") + F.col("within")) / block_chars))
-    plan = period(quotas(totals.groupBy("key").agg(F.sum("chars").alias("chars")), weights, slots))
+    plan = cut(period(quotas(totals.groupBy("key").agg(F.sum("chars").alias("chars")), weights, slots)), "mixing-plan")
     quota = plan.groupBy("key").agg(F.first("quota").alias("quota"), F.first("slots").alias("slots"), F.map_from_entries(F.collect_list(F.struct("nth", "slot"))).alias("places"))
-    # One row per source, of at most as many entries as there are slots.
-    out = placed.join(F.broadcast(quota), "key")
+    # One row per source, of as many entries in all as there are slots.
+    out = placed.join(narrow(quota, plan.count()), "key")
     j, p, q = F.col("block"), F.col("quota"), F.col("slots")
     return out.select(
         "row",

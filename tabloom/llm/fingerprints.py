@@ -78,17 +78,22 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
     full = with_next(docs).withColumn("n_chars", F.char_length("t").cast("bigint")).withColumn("e", edited(F.col("t"), F.col("next_t"), F.col("n_chars")))
-    canon = full.select("doc_id", "next_id", "n_chars", F.sha2("e", 256).alias("edited_sha256"), canonical(F.col("t")).alias("c"), canonical(F.col("e")).alias("ec"), canonical(F.col("next_t")).alias("nc"))
+    canon = full.select("doc_id", "next_id", "n_chars", F.xxhash64("t").alias("text_key"), F.xxhash64("next_t").alias("next_key"), F.sha2("e", 256).alias("edited_sha256"), canonical(F.col("t")).alias("c"), canonical(F.col("e")).alias("ec"), canonical(F.col("next_t")).alias("nc"))
     marks = cut(
-        canon.select("doc_id", "next_id", "n_chars", "edited_sha256", *keys(F.col("c"), "k"), *keys(F.col("ec"), "e"), *keys(F.col("nc"), "n"), (F.col("c") == F.col("ec")).alias("same")),
+        canon.select("doc_id", "next_id", "text_key", "next_key", "n_chars", "edited_sha256", *keys(F.col("c"), "k"), *keys(F.col("ec"), "e"), *keys(F.col("nc"), "n"), (F.col("c") == F.col("ec")).alias("same")),
         "fingerprint-marks",
     )
     clashes = _clashes(marks, docs)
     out = marks
     if clashes is not None:
-        for role, by in (("k", "doc_id"), ("e", "doc_id"), ("n", "next_id")):
-            own = clashes.filter(F.col("role") == ("e" if role == "e" else "k")).groupBy("id", "k1", "k2").agg(F.min("ordinal").alias(f"{role}_ordinal")).select(F.col("id").alias("i"), F.col("k1").alias("c1"), F.col("k2").alias("c2"), f"{role}_ordinal")
-            out = out.join(own, F.col(by).eqNullSafe(F.col("i")) & (F.col(f"{role}1") == F.col("c1")) & (F.col(f"{role}2") == F.col("c2")), "left").drop("i", "c1", "c2")
+        for role, by in (("k", ("doc_id", "text_key")), ("e", ("doc_id", "text_key", "next_key")), ("n", ("next_id", "next_key"))):
+            ids = ("id", "text_key", "next_key")[: len(by)]
+            own = clashes.filter(F.col("role") == ("e" if role == "e" else "k")).groupBy(*ids, "k1", "k2").agg(F.min("ordinal").alias(f"{role}_ordinal"))
+            own = own.select(*[F.col(x).alias(f"c_{x}") for x in (*ids, "k1", "k2")], f"{role}_ordinal")
+            on = (F.col(f"{role}1") == F.col("c_k1")) & (F.col(f"{role}2") == F.col("c_k2"))
+            for x, y in zip(by, ids, strict=True):
+                on &= F.col(x).eqNullSafe(F.col(f"c_{y}"))
+            out = out.join(own, on, "left").drop(*own.columns[:-1])
         out = out.withColumn("e_ordinal", F.when(F.col("same"), F.col("k_ordinal")).otherwise(F.col("e_ordinal")))
     part = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     ordinal = lambda role: F.coalesce(F.col(f"{role}_ordinal"), F.lit(0)).cast("string") if clashes is not None else F.lit("0")
@@ -98,25 +103,30 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _clashes(marks: DataFrame, docs: DataFrame) -> DataFrame | None:
-    """(id, role, k1, k2, ordinal) of rows in buckets whose canonical texts differ; None if there are none.
+    """(id, text_key, next_key, role, k1, k2, ordinal) of rows in buckets whose canonical texts differ; None without any.
 
-    An edited text whose canonical bytes equal its own text's was compared in its row and need not be again.
+    A text is found again by its doc_id and its own key, as rows can share a doc_id. An edited text whose canonical bytes
+    equal its own text's was compared in its row and need not be again.
     """
-    entries = marks.select(F.explode(F.array(F.struct(F.lit("k").alias("role"), "k1", "k2"), F.struct(F.lit("e").alias("role"), F.col("e1").alias("k1"), F.col("e2").alias("k2")))).alias("x"), "doc_id", "next_id", "same").select("doc_id", "next_id", "x.*", "same").filter("role = 'k' or not same")
+    who = ["doc_id", "text_key", "next_id", "next_key"]
+    entries = marks.select(*who, "same", F.explode(F.array(F.struct(F.lit("k").alias("role"), "k1", "k2"), F.struct(F.lit("e").alias("role"), F.col("e1").alias("k1"), F.col("e2").alias("k2")))).alias("x")).select(*who, "x.*", "same").filter("role = 'k' or not same")
     again = entries.groupBy("k1", "k2").agg(F.count("*").alias("times")).filter("times > 1").select("k1", "k2")
-    wanted = cut(entries.join(again, ["k1", "k2"]).select("doc_id", "next_id", "role", "k1", "k2"), "fingerprint-again")
-    ids = wanted.select("doc_id").unionByName(wanted.filter("role = 'e'").select(F.col("next_id").alias("doc_id"))).distinct().select(F.col("doc_id").alias("want"))
-    texts = docs.join(narrow(ids, 2 * wanted.count()), docs["doc_id"].eqNullSafe(F.col("want")), "left_semi")
-    own = texts.select(F.col("doc_id").alias("id"), F.lit("k").alias("role"), canonical(F.col("t")).alias("c"))
-    pairs = wanted.filter("role = 'e'").select("doc_id", "next_id").distinct()
-    one = texts.groupBy("doc_id").agg(F.min("t").alias("next_t")).select(F.col("doc_id").alias("second"), "next_t")
-    both = texts.select(F.col("doc_id").alias("first"), "t").join(pairs, F.col("first").eqNullSafe(F.col("doc_id"))).join(one, F.col("next_id").eqNullSafe(F.col("second")))
-    changed = both.select(F.col("doc_id").alias("id"), F.lit("e").alias("role"), canonical(edited(F.col("t"), F.col("next_t"), F.char_length("t"))).alias("c"))
-    found = own.unionByName(changed).select("id", "role", "c", *keys(F.col("c"), "k"))
+    wanted = cut(entries.join(again, ["k1", "k2"]).select(*who, "role", "k1", "k2"), "fingerprint-again")
+    edits = wanted.filter("role = 'e'")
+    ids = wanted.select("doc_id", "text_key").unionByName(edits.select(F.col("next_id").alias("doc_id"), F.col("next_key").alias("text_key"))).distinct().select(F.col("doc_id").alias("want"), F.col("text_key").alias("want_key"))
+    keyed = docs.withColumn("text_key", F.xxhash64("t"))
+    found = keyed.join(narrow(ids, 2 * wanted.count()), keyed["doc_id"].eqNullSafe(F.col("want")) & (F.col("text_key") == F.col("want_key")), "left_semi")
+    texts = found.groupBy("doc_id", "text_key").agg(F.min("t").alias("t"))
+    own = texts.select(F.col("doc_id").alias("id"), "text_key", F.lit(None).cast("bigint").alias("next_key"), F.lit("k").alias("role"), canonical(F.col("t")).alias("c"))
+    first = texts.select(F.col("doc_id").alias("id"), F.col("text_key").alias("own_key"), "t")
+    second = texts.select(F.col("doc_id").alias("next"), F.col("text_key").alias("after_key"), F.col("t").alias("next_t"))
+    both = edits.select(*who).distinct().join(first, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_key") == F.col("own_key"))).join(second, F.col("next_id").eqNullSafe(F.col("next")) & (F.col("next_key") == F.col("after_key")))
+    changed = both.select("id", "text_key", "next_key", F.lit("e").alias("role"), canonical(edited(F.col("t"), F.col("next_t"), F.char_length("t"))).alias("c"))
+    every = own.unionByName(changed).select("id", "text_key", "next_key", "role", "c", *keys(F.col("c"), "k"))
     # Least and greatest bytes of a bucket, gathered in each task first, so a hot bucket is a few rows.
-    differ = cut(found.groupBy("k1", "k2").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("k1", "k2"), "fingerprint-clashes")
+    differ = cut(every.groupBy("k1", "k2").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("k1", "k2"), "fingerprint-clashes")
     if not differ.head(1):
         return None
-    apart = found.join(differ, ["k1", "k2"])
+    apart = every.join(differ, ["k1", "k2"])
     variants = apart.select("k1", "k2", "c").distinct().withColumn("ordinal", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("c")) - 1)
-    return cut(apart.join(variants, ["k1", "k2", "c"]).select("id", "role", "k1", "k2", "ordinal"), "fingerprint-ordinals")
+    return cut(apart.join(variants, ["k1", "k2", "c"]).select("id", "text_key", "next_key", "role", "k1", "k2", "ordinal"), "fingerprint-ordinals")

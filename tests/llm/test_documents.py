@@ -55,6 +55,32 @@ def test_near_duplicates_without_a_common_leader(spark):
     assert got == brute_components(rows, 85)
 
 
+def test_near_duplicates_across_blocks(spark, monkeypatch):
+    """Buckets of many blocks, whose members link with some others only."""
+    monkeypatch.setattr(near_dups, "BLOCK", 3)
+    base = [f"w{i}" for i in range(100)]
+    rows = []
+    for k in range(30):
+        words = list(base)
+        for j in range(k // 2):
+            words[j * 6] = f"n{j}"
+        if k % 2:
+            words[97] = f"own{k}"
+        rows.append((k * 11 % 30, " ".join(words)))
+    got = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 85).collect()}
+    assert got == brute_components(rows, 85)
+
+
+def test_word_hashes_do_not_hang_on_place():
+    """Words in blocks, and words longer than one, hash alike wherever they are."""
+    from tabloom.llm.shingles import word_hashes
+
+    long = "x" * 150_000
+    text = " ".join(["ab", "cd"] * 40_000 + [long, "Ab", long])
+    h = word_hashes(text)
+    assert len(h) == 80_003 and h[0] == h[-2] == h[40_000] and h[1] == h[79_999] and h[-1] == h[-3] and len(set(h.tolist())) == 3
+
+
 def test_components(spark):
     edges = [(5, 4), (4, 3), (9, 8), (8, 10), (3, 3), (7, 12), (12, 5)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()}
@@ -93,6 +119,26 @@ def test_equal_keys_of_different_texts(spark, monkeypatch):
     assert all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
 
 
+def test_equal_keys_with_repeated_ids(spark, monkeypatch):
+    """Rows that share a doc_id with different texts, under keys that are equal: the bytes compared are each row's own."""
+    monkeypatch.setattr(fingerprints, "keys", lambda c, n: [(F.xxhash64(c) % 2).alias(n + "1"), F.lit(0).cast("bigint").alias(n + "2")])
+    rows = [(1, "aaaa bbbb"), (1, "cccc dddd"), (1, "cccc dddd"), (2, "eeee"), (2, "ffff gggg"), (None, "hhhh"), (None, "iiii jjjj"), (3, "aaaa bbbb")]
+    got = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    texts, by = {}, defaultdict(set)
+    for i, (d, t) in enumerate(ordered):
+        after, k = ordered[(i + 1) % len(ordered)][1], len(t) // 4
+        e = t[: len(t) - k] + after[:k]
+        texts.setdefault((d, hashlib.sha256(e.encode()).hexdigest()), set()).add((t, e))
+    for r in got:
+        (t, e), *more = texts[r.doc_id, r.edited_sha256]
+        assert not more
+        by[canonical(t)].add(r.fingerprint)
+        by[canonical(e)].add(r.edited_fingerprint)
+        assert r.near_edited == float(canonical(t) == canonical(e))
+    assert len(got) == len(rows) and all(len(v) == 1 for v in by.values()) and len(set.union(*by.values())) == len(by)
+
+
 def brute_schedule(quotas, slots):
     done, order = dict.fromkeys(quotas, 0), []
     for t in range(slots):
@@ -117,6 +163,15 @@ def test_schedule_keeps_within_a_block(spark):
     assert dict(zip(given.sources, given.quotas, strict=True)) == {"": 1, "=a": 46, "=b": 16, "=c": 1}
 
 
+def test_schedule_of_many_sources(spark):
+    """Quotas from one to hundreds, with many sources of equal quota: the same as slot by slot over all sources."""
+    sizes = spark.createDataFrame([(f"={n:03d}", (n % 7) ** 4 * 1000 + 1) for n in range(90)], "key string, chars bigint")
+    row = mixing.quotas(sizes, slots=600).head()
+    quotas = dict(zip(row.sources, row.quotas, strict=True))
+    made = [r.key for r in mixing.period(mixing.quotas(sizes, slots=600)).orderBy("slot").collect()]
+    assert sum(quotas.values()) == row.slots == 600 and made == brute_schedule(quotas, 600)
+
+
 def test_mixed(docs, empty):
     rows = mixing.mixed(docs, block_chars=100, slots=16).collect()
     assert len(rows) == docs.count() and mixing.mixed(empty).count() == 0

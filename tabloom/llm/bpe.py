@@ -237,6 +237,11 @@ def _digest_text(pieces: list[list[str]], memo: Memo) -> tuple[int, str, str]:
     return n, ids.hexdigest(), decoded.hexdigest()
 
 
+def _digest_chunks(chunks: list[str], memo: Memo) -> tuple[int, str, str]:
+    counts, ids, decoded = zip(*map(memo.__getitem__, chunks), strict=True) if chunks else ((), (), ())
+    return sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(decoded).encode()).hexdigest()
+
+
 def encode_texts(texts: list[str | None], path: str) -> Iterator[tuple[int, str, str]]:
     """(n_tokens, ids_sha256, decoded_sha256) of each text."""
     bpe, memo = load(path)
@@ -246,13 +251,8 @@ def encode_texts(texts: list[str | None], path: str) -> Iterator[tuple[int, str,
             continue
         lists = [bpe.chunks(t or "") for t in texts[a:b]]
         memo.learn(lists)
-        for chunks in lists:
-            if not chunks:
-                empty = hashlib.sha256(b"").hexdigest()
-                yield 0, empty, empty
-                continue
-            counts, ids, decoded = zip(*map(memo.__getitem__, chunks), strict=True)
-            yield sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(decoded).encode()).hexdigest()
+        # A group is done before its first text is given out: another operator of this process may clear the memo then.
+        yield from [_digest_chunks(chunks, memo) for chunks in lists]
 
 
 def encode_ids(text: str | None, path: str) -> list[int]:

@@ -15,7 +15,7 @@ _WHITE = re.compile(f"[{WHITE}]+")
 _ODD = re.compile("[\x1c-\x1f]")
 #: Bytes of the chunks and values that a worker keeps, and the longest chunk among them; what else there is, is worked
 #: out again where it occurs.
-KEEP, LONGEST = 64 << 20, 64
+KEEP, LONGEST = 40 << 20, 64
 #: Characters of texts whose words are held at once; a longer text is read in pieces.
 GROUP_CHARS = 1 << 20
 

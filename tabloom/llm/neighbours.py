@@ -1,13 +1,17 @@
 """Operator 2, approximate nearest neighbours by learned partitions.
 
-On a bounded sample (SAMPLE vectors, distinct, in the order of a hash of vec_id) a graph links each vector with its
-nearest; the graph is cut into parts of almost equal size with few links between them. A softmax classifier learns in
-which parts a vector's neighbours lie. It places every vector of the table in its most probable part, and routes a query
-to as many parts, by falling probability, as the sample needs for the aimed recall; candidates there are scored exactly.
-A query whose parts hold too few candidates goes on to further ones until there are enough.
-
-Parts are dealt out in chunks of CHUNK candidates and queries in blocks of BLOCK, so no task holds a whole part, however
-many vectors are alike. Each (chunk, block) gives its best k per query; the best k of these are the result.
+On a bounded sample (SAMPLE to SAMPLE_MOST vectors, distinct, in the order of a hash of vec_id) a graph links each vector
+with its nearest; the graph is cut into parts of almost equal size with few links between them. A softmax classifier
+learns in which parts a vector's neighbours lie. It places every vector of the table in its most probable part, and
+routes a query to as many parts, by falling probability, as the aimed recall needs; candidates there are scored exactly.
+How far that goes is measured on vectors of the sample that the classifier didn't learn from (one in HELD). A query whose
+parts hold too few candidates goes on to further ones until there are enough. Vectors without structure have their
+neighbours everywhere: most parts are searched then. The column searched tells how many vectors a query's parts hold.
+
+There is a part for each 4 sqrt(vectors), between PARTS and PARTS_MOST (which is reached at 17 million vectors; beyond it
+parts grow). Parts are dealt out in chunks of CHUNK candidates and the queries that come to a part in blocks of BLOCK, so
+no task holds a whole part, however many vectors are alike, and a candidate goes only to blocks of its own part. Each
+(chunk, block) gives its best k per query; the best k of these are the result.
 
 Nearness is the largest inner product in double precision of the vectors as given; ties go to the smaller vec_id.
 
@@ -18,6 +22,8 @@ them); a query has fewer rows only if there are fewer candidates; other columns
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -26,11 +32,12 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-SAMPLE, LINKS = 4096, 12
-#: Parts: the least number, and the vectors for each beyond it.
-PARTS, PART_ROWS = 16, 1 << 17
-CHUNK, BLOCK = 1 << 15, 1 << 13
-AIM = 0.97
+#: Vectors of the sample: the least bound, for each part, and the greatest bound.
+SAMPLE, SAMPLE_PART, SAMPLE_MOST, LINKS = 4096, 32, 1 << 15, 12
+PARTS, PARTS_MOST = 16, 1024
+CHUNK, BLOCK = 1 << 16, 1 << 14
+#: The recall that the reach is set for, and one in how many vectors of the sample it is measured on.
+AIM, HELD = 0.95, 6
 
 
 class Router:
@@ -56,10 +63,18 @@ class Router:
 
 def graph(x: np.ndarray, links: int = LINKS) -> np.ndarray:
     """The nearest others of each row."""
-    scores = x @ x.T
-    np.fill_diagonal(scores, -np.inf)
-    k = min(links, len(x) - 1)
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    return nearest_of(x, np.arange(len(x)), min(links, len(x) - 1))
+
+
+def nearest_of(x: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest others of some rows of x, in no order."""
+    out = np.empty((len(rows), k), np.int64)
+    for at in range(0, len(rows), 512):
+        some = rows[at : at + 512]
+        scores = x[some] @ x.T
+        scores[np.arange(len(some)), some] = -np.inf
+        out[at : at + 512] = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    return out
 
 
 def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rng: np.random.Generator, rounds: int = 12) -> np.ndarray:
@@ -72,7 +87,7 @@ def balanced_parts(x: np.ndarray, near: np.ndarray, parts: int, rng: np.random.G
         part = (unit @ centres.T).argmax(1)
         centres = np.stack([unit[part == p].mean(0) if (part == p).any() else unit[rng.integers(n)] for p in range(parts)])
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
-    like = unit @ centres.T
+    like = (unit @ centres.T).astype(np.float32)
     part, held = np.full(n, -1), np.zeros(parts, int)
     for i in np.argsort(-like.max(1)):
         for p in np.argsort(-like[i]):
@@ -109,16 +124,18 @@ def fit(x: np.ndarray, parts: int, k: int, aim: float = AIM, seed: int = 3, epoc
     parts = max(1, min(parts, len(x) // 8))
     if parts == 1:
         return Router(np.zeros((x.shape[1] + 1, 1)), 1.0)
-    near = graph(x)
-    part = balanced_parts(x, near, parts, rng)
+    held = np.arange(len(x) // HELD)
+    learnt = np.arange(len(held), len(x))
+    near = graph(x[learnt])
+    part = balanced_parts(x[learnt], near, parts, rng)
     # Soft labels: where a vector and its neighbours lie.
-    target = np.eye(parts)[part] + np.stack([np.bincount(part[r], minlength=parts) for r in near])
+    target = np.eye(parts, dtype=np.float32)[part] + np.stack([np.bincount(part[r], minlength=parts) for r in near]).astype(np.float32)
     target /= target.sum(1, keepdims=True)
-    unit = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((len(x), 1))])
+    unit = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((len(x), 1))])[learnt]
     w, past = np.zeros((unit.shape[1], parts)), np.full((unit.shape[1], parts), 1e-8)
     for _ in range(epochs):
-        order = rng.permutation(len(x))
-        for at in range(0, len(x), 128):
+        order = rng.permutation(len(learnt))
+        for at in range(0, len(order), 128):
             some = order[at : at + 128]
             z = unit[some] @ w
             e = np.exp(z - z.max(1, keepdims=True))
@@ -126,16 +143,14 @@ def fit(x: np.ndarray, parts: int, k: int, aim: float = AIM, seed: int = 3, epoc
             past += g * g
             w -= 0.3 * g / np.sqrt(past)
     router = Router(w, 1.0)
-    # The least reach with the aimed recall, of held queries against the sample, as placed by the classifier.
-    p = router.probabilities(x)
-    placed = p.argmax(1)
-    q = np.arange(min(512, len(x)))
-    scores = x[q] @ x.T
-    scores[q, q] = -np.inf
-    best = np.argpartition(-scores, min(k, len(x) - 1) - 1, axis=1)[:, : min(k, len(x) - 1)]
-    order = np.argsort(-p[q], axis=1, kind="stable")
-    rank = np.argsort(order, axis=1)
-    before = np.take_along_axis(np.cumsum(np.take_along_axis(p[q], order, 1), axis=1) - np.take_along_axis(p[q], order, 1), rank, 1)
+    # The least reach with the aimed recall, of vectors left out above against the sample, as placed by the classifier.
+    q = held[:1024]
+    placed = np.concatenate([router.probabilities(x[at : at + 1024]).argmax(1) for at in range(0, len(x), 1024)])
+    best = nearest_of(x, q, min(k, len(x) - 1))
+    p = router.probabilities(x[q])
+    order = np.argsort(-p, axis=1, kind="stable")
+    falling = np.take_along_axis(p, order, 1)
+    before = np.take_along_axis(np.cumsum(falling, axis=1) - falling, np.argsort(order, axis=1), 1)
     needed = np.sort(np.take_along_axis(before, placed[best], 1).ravel())
     router.reach = float(min(1.0, needed[min(len(needed) - 1, int(np.ceil(aim * len(needed))))] + 1e-9))
     return router
@@ -158,20 +173,22 @@ def usable(rows: DataFrame, query: Column) -> DataFrame:
     return rows.mapInArrow(run, "vec_id bigint, is_query boolean, v binary").groupBy("vec_id", "is_query").agg(F.min("v").alias("v"))
 
 
-def nearest(rows: DataFrame, query: Column | None = None, k: int = 20, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query, of all rows but itself."""
+def nearest(rows: DataFrame, query: Column | None = None, k: int = 20, parts: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score, searched: the k nearest found of each query, of all rows but itself."""
     spark = rows.sparkSession
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
+    schema = "query_id bigint, rank int, vec_id bigint, score double, searched bigint"
     query = F.col("vec_id") % 20 == 0 if query is None else query
     dtype = "<f4" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     vectors = cut(usable(rows, query), "vectors")
+    count = vectors.count()
+    parts = parts or max(PARTS, min(PARTS_MOST, math.isqrt(count) // 4))
+    sample = min(SAMPLE_MOST, max(SAMPLE, SAMPLE_PART * parts))
     chosen = [np.frombuffer(r["v"], dtype) for r in vectors.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
     if not chosen:
         return spark.createDataFrame([], schema)
     lengths = [len(v) for v in chosen]
     dims = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    count = vectors.count()
-    router = fit(np.stack([v for v in chosen if len(v) == dims]), max(PARTS, count // PART_ROWS), k)
+    router = fit(np.stack([v for v in chosen if len(v) == dims]), parts, k)
     vectors = vectors.filter(F.octet_length("v") == dims * np.dtype(dtype).itemsize)
 
     def place(batches):
@@ -192,27 +209,33 @@ def nearest(rows: DataFrame, query: Column | None = None, k: int = 20, sample: i
             x = np.frombuffer(b"".join(vs), dtype).reshape(-1, dims).astype(np.float64)
             to = router.route(router.probabilities(x), sizes, k + 1) if len(x) else []
             ids = batch.column("vec_id").to_pylist()
-            out = [(q, v, int(p), c) for q, v, ps in zip(ids, vs, to, strict=True) for p in ps for c in range(chunks[p])]
-            q, v, p, c = zip(*out, strict=True) if out else ((), (), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.binary()), pa.array(p, pa.int32()), pa.array(c, pa.int32())], names=["query_id", "qv", "part", "chunk"])
-
-    blocks = max(1, -(-placed.filter("is_query").count() // BLOCK))
-    queries = placed.filter("is_query").select("vec_id", "v").mapInArrow(route, "query_id bigint, qv binary, part int, chunk int").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    chunk = F.pmod(F.xxhash64("vec_id"), F.get(F.array(*[F.lit(max(1, c)) for c in chunks]), F.col("part"))).cast("int")
-    candidates = placed.select("vec_id", "v", "part", chunk.alias("chunk"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+            out = [(q, v, int(p), c, int(sizes[ps].sum())) for q, v, ps in zip(ids, vs, to, strict=True) for p in ps for c in range(chunks[p])]
+            q, v, p, c, n = zip(*out, strict=True) if out else ((), (), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.binary()), pa.array(p, pa.int32()), pa.array(c, pa.int32()), pa.array(n, pa.int64())], names=["query_id", "qv", "part", "chunk", "searched"])
+
+    routed = cut(placed.filter("is_query").select("vec_id", "v").mapInArrow(route, "query_id bigint, qv binary, part int, chunk int, searched bigint"), "routed")
+    blocks = np.zeros(len(sizes), np.int64)
+    for r in routed.filter("chunk = 0").groupBy("part").count().collect():  # a row per part
+        blocks[r["part"]] = -(-r["count"] // BLOCK)
+    of_part = lambda numbers: F.get(F.array(*[F.lit(int(n)) for n in numbers]), F.col("part"))
+    queries = routed.withColumn("block", F.pmod(F.xxhash64("query_id"), of_part(np.maximum(blocks, 1))).cast("int"))
+    chunk = F.pmod(F.xxhash64("vec_id"), of_part([max(1, c) for c in chunks])).cast("int")
+    # A candidate goes to the blocks of the queries that come to its part, if there are any.
+    to_blocks = F.explode(F.slice(F.sequence(F.lit(0), F.greatest(of_part(blocks), F.lit(1)).cast("int") - 1), 1, of_part(blocks).cast("int")))
+    candidates = placed.select("vec_id", "v", "part", chunk.alias("chunk"), to_blocks.alias("block"))
 
     def best(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64"), "searched": pd.Series(dtype="int64")})
         if not len(qs) or not len(cs):
             return empty
         cs = cs.sort_values("vec_id")
         x = np.frombuffer(b"".join(cs["v"]), dtype).reshape(-1, dims).astype(np.float64)
         ids, out = cs["vec_id"].to_numpy(), []
-        for at in range(0, len(qs), 256):
-            some = qs.iloc[at : at + 256]
+        for at in range(0, len(qs), 64):
+            some = qs.iloc[at : at + 64]
             y = np.frombuffer(b"".join(some["qv"]), dtype).reshape(-1, dims).astype(np.float64)
             scores = y @ x.T
-            for own, vector, s in zip(some["query_id"].to_numpy(), y, scores, strict=True):
+            for own, vector, s, n_searched in zip(some["query_id"].to_numpy(), y, scores, some["searched"].to_numpy(), strict=True):
                 s = np.where(ids == own, -np.inf, s)
                 n = min(k, len(s))
                 cutoff = np.partition(s, len(s) - n)[len(s) - n]
@@ -221,10 +244,10 @@ def nearest(rows: DataFrame, query: Column | None = None, k: int = 20, sample: i
                 # Scored again one by one: equal vectors then have equal scores.
                 exact = (x[near] * vector).sum(1)
                 top = np.lexsort((ids[near], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][top], "score": exact[top]}))
+                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][top], "score": exact[top], "searched": n_searched}))
         return pd.concat(out) if out else empty
 
     key = ["part", "chunk", "block"]
-    found = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInPandas(best, "query_id bigint, vec_id bigint, score double")
+    found = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInPandas(best, "query_id bigint, vec_id bigint, score double, searched bigint")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "searched")

@@ -133,8 +133,7 @@ def count_texts(texts: list[str | None], path: str) -> Iterator[int]:
             continue
         lists = [words(t or "") for t in texts[a:b]]
         memo.learn(lists)
-        for ws in lists:
-            yield sum(map(memo.__getitem__, ws))
+        yield from [sum(map(memo.__getitem__, ws)) for ws in lists]
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:

@@ -175,8 +175,7 @@ def encode_to_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
             continue
         lists = [split_white(t or "") for t in texts[a:b]]
         memo.learn(lists)
-        for chunks in lists:
-            yield b"".join(map(memo.__getitem__, chunks))
+        yield from [b"".join(map(memo.__getitem__, chunks)) for chunks in lists]
 
 
 def _files(path: str) -> tuple[pafs.FileSystem, str]:

@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tabloom.llm import bpe, token_counts, token_files
+from tabloom.llm import bpe, chunks, token_counts, token_files
 from tabloom.llm.common import text_pieces
 from tabloom.llm.queries import tokenizer_path
 
@@ -94,3 +94,49 @@ def test_token_files(spark, docs, empty, library, texts):
     want = sorted(((i is not None, i or 0), len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for (i, _), x in [*ids.items(), ((1, texts[0][1]), ids[1, texts[0][1]])])
     assert sorted(((r[0] is not None, r[0] or 0), r[2], r[3]) for r in got) == want
     assert token_files.token_files(spark, empty, WORD).count() == 0
+
+
+@pytest.fixture(scope="module")
+def long_texts():
+    """Long texts after short ones: of words, and without white space (words, digits and signs; one script's letters)."""
+    rng = random.Random(5)
+    some = ["".join(rng.choice("abcdeéß") for _ in range(rng.randint(1, 9))) for _ in range(900)]
+    words = " ".join(rng.choice(some) for _ in range(260_000))
+    signs = "".join(rng.choice(some) + rng.choice(",.;12!") for _ in range(260_000))
+    letters = "".join(chr(0x4E00 + rng.randint(0, 3000)) for _ in range(120_000))
+    assert min(len(words), len(signs)) > chunks.GROUP_CHARS
+    return ["a b", "c", words, "", signs, None, letters, "d e f"]
+
+
+def test_long_texts_are_groups_of_their_own(long_texts):
+    groups = list(chunks.in_groups(long_texts))
+    assert (2, 3) in groups and (4, 5) in groups and [i for a, b in groups for i in range(a, b)] == list(range(8))
+    assert [chunks.is_long(long_texts, a, b) for a, b in groups if (a, b) in ((2, 3), (4, 5))] == [True, True]
+
+
+def test_long_texts_encode_as_in_the_library(library, long_texts):
+    wants = [library.encode(t or "", add_special_tokens=False).ids for t in long_texts]
+    for want, (n, ids, decoded), raw in zip(wants, bpe.encode_texts(long_texts, WORD), token_files.encode_to_bytes(long_texts, WORD), strict=True):
+        assert (n, ids) == (len(want), hashlib.sha256(" ".join(map(str, want)).encode()).hexdigest())
+        assert decoded == hashlib.sha256(library.decode(want, skip_special_tokens=False).encode()).hexdigest()
+        assert np.frombuffer(raw, "<u4").tolist() == want
+
+
+def test_long_texts_count_as_in_the_library(long_texts, monkeypatch):
+    t = unigram(token_counts.vocabulary(PIECE), True)
+    # The library takes time with the square of a word's length, so words without spaces are shorter here.
+    some = [*long_texts[:3], long_texts[4][:30_000], long_texts[6][:30_000], "x"]
+    want = [len(t.encode(x or "").ids) for x in some]
+    assert list(token_counts.count_texts(some, PIECE)) == want
+    monkeypatch.setattr(token_counts, "KEPT", 64)
+    viterbi = token_counts.CountingViterbi(token_counts.vocabulary(PIECE))
+    assert [viterbi.count("▁" + x) for x in some[3:5]] == want[3:5]
+
+
+def test_a_memo_stays_within_its_bytes():
+    memo = chunks.Memo(lambda cs: [(c, len(c)) for c in cs], keep=20_000)
+    for i in range(50):
+        some = [f"{i}-{j}" for j in range(40)] + ["y" * 5000]
+        memo.learn([some])
+        assert all(memo[c] == (c, len(c)) for c in some)
+    assert memo.held < 21_000 and sum(chunks._bytes(c, v) for c, v in memo.items()) == memo.held and "y" * 5000 not in memo

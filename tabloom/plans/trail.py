@@ -6,6 +6,7 @@ the checkpoint last, and readers join changes with committed pairs; a commit tha
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import uuid
 
@@ -60,6 +61,15 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new)
 
 
+def utc_text(at: dt.datetime) -> str:
+    """A time in UTC, to the microsecond, with a Z."""
+    return at.astimezone(dt.timezone.utc).isoformat(timespec="microseconds").replace("+00:00", "Z")
+
+
+def run_code(at: dt.datetime) -> str:
+    return f"AUD-{at.astimezone(dt.timezone.utc):%Y%m%dT%H%M%SZ}-{uuid.uuid4().hex[:8].upper()}"
+
+
 def authoritative(pair: DataFrame) -> DataFrame:
     """Pairs that are done: a final status and a digest of 64 digits. They are never written again."""
     return pair.filter(F.col("status").isin(*FINAL) & (F.length("digest") == 64))
@@ -79,13 +89,17 @@ class Trail:
     def initialise(self) -> None:
         """Make the tables that are missing; those with rows stay."""
         for name, schema in SCHEMAS.items():
-            path, fs = self._path(name)
-            if not fs.exists(path):
+            (path, fs), (old, _) = self._path(name), self._path(f"{name}.old")
+            if not fs.exists(path) and fs.exists(old):
+                fs.rename(old, path)
+            elif not fs.exists(path):
                 self.spark.createDataFrame([], schema).write.parquet(f"{self.folder}/{name}")
 
     def read(self, name: str) -> DataFrame:
-        """A table; columns that an older version lacks are null."""
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{name}")
+        """A table; columns that an older version lacks are null. Where a replacement broke off, what was there before."""
+        path, fs = self._path(name)
+        there = name if fs.exists(path) else f"{name}.old"
+        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.folder}/{there}")
 
     def append(self, name: str, rows: DataFrame) -> None:
         self._check(name, rows)
@@ -97,9 +111,10 @@ class Trail:
         self._typed(name, rows).write.mode("overwrite").parquet(f"{self.folder}/{staged}")
         (new, fs), (old, _) = self._path(staged), self._path(name)
         gone, _ = self._path(f"{name}.old")
-        fs.delete(gone, True)
         if fs.exists(old):
+            fs.delete(gone, True)
             fs.rename(old, gone)
+        # Between the two renames readers find the old table, see read().
         fs.rename(new, old)
         fs.delete(gone, True)
 
@@ -109,6 +124,11 @@ class Trail:
         rows.write.parquet(at)
         return self.spark.read.schema(rows.schema).parquet(at)
 
+    def discard_staging(self) -> None:
+        """Drop what was staged, by an audit that broke off or by one whose result is no longer needed."""
+        path, fs = self._path("staging")
+        fs.delete(path, True)
+
     def _typed(self, name: str, rows: DataFrame) -> DataFrame:
         from pyspark.sql.types import _parse_datatype_string
 
@@ -133,6 +153,8 @@ class Trail:
         partial = self.read("change").join(new.select(*KEYS["pair"]), KEYS["pair"], "left_semi")
         if partial.head(1):  # what a broken commit left
             self.replace("change", self.read("change").join(new.select(*KEYS["pair"]), KEYS["pair"], "left_anti"))
+        if self.read("pair").join(new.select(*KEYS["pair"]), KEYS["pair"], "left_semi").head(1):  # begun, not done
+            self.replace("pair", self.read("pair").join(new.select(*KEYS["pair"]), KEYS["pair"], "left_anti"))
         self.append("change", self.stage(changes).join(new.select(*KEYS["pair"]), KEYS["pair"], "left_semi"))
         self.append("pair", new)
         if checkpoint is not None:
@@ -177,9 +199,19 @@ class Trail:
             if self._digest(self.spark.read.schema(schema).parquet(f"{at}/{name}")) != manifest[name]:
                 raise ValueError(f"{name}: the backup is damaged")
 
-    def restore(self, at: str) -> None:
-        """All tables from a backup that verifies."""
+    def restore(self, at: str) -> str:
+        """All tables from a backup that verifies. Gives the safety copy made before, which is put back if this fails."""
         self.verify(at)
+        safety = f"{self.folder}/safety/{uuid.uuid4().hex}"
+        self.backup(safety)
+        try:
+            self._put_back(at)
+        except Exception:
+            self._put_back(safety)
+            raise
+        return safety
+
+    def _put_back(self, at: str) -> None:
         for name, schema in SCHEMAS.items():
             self.replace(name, self.spark.read.schema(schema).parquet(f"{at}/{name}"))
 
@@ -187,12 +219,11 @@ class Trail:
         """One workbook's rows from a backup, under new ids; without replace an equal identity is refused."""
         self.verify(at)
         saved = {n: self.spark.read.schema(s).parquet(f"{at}/{n}") for n, s in SCHEMAS.items()}
-        here = self.read("workbook").join(saved["workbook"], KEYS["workbook"], "left_semi").select("workbook_id")
-        found = [r[0] for r in here.head(1000)]
-        if found and not replace:
-            raise ValueError("the workbook is there already")
-        for i in found:
-            self.delete(i)
+        here = self.stage(self.read("workbook").join(saved["workbook"], KEYS["workbook"], "left_semi").select("workbook_id"))
+        if here.head(1):
+            if not replace:
+                raise ValueError("the workbook is there already")
+            self.delete_all(here)
         new = {}
         for table, key in (("workbook", "workbook_id"), ("run", "run_id"), ("pair", "pair_id")):
             top = self.read(table).agg(F.coalesce(F.max(key), F.lit(0))).head()[0]
@@ -205,9 +236,34 @@ class Trail:
             self.append(name, rows)
 
     def delete(self, workbook_id: int) -> None:
+        self.delete_all(self.spark.createDataFrame([(workbook_id,)], "workbook_id bigint"))
+
+    def delete_all(self, workbooks: DataFrame) -> None:
         """Children first."""
         for name in ("change", "error", "pair", "checkpoint", "run", "workbook"):
-            self.replace(name, self.read(name).filter(F.col("workbook_id") != workbook_id))
+            self.replace(name, self.read(name).join(workbooks.select("workbook_id"), "workbook_id", "left_anti"))
+
+    def open_run(self, workbook_id: int, mode: str = "incremental", now: dt.datetime | None = None) -> int:
+        """A new run in progress; gives its id."""
+        now = now or dt.datetime.now(dt.timezone.utc)
+        run_id = self.read("run").agg(F.coalesce(F.max("run_id"), F.lit(0))).head()[0] + 1
+        row = (run_id, workbook_id, run_code(now), "EM_ANDAMENTO", mode, utc_text(now), 0, 0)
+        self.append("run", self.spark.createDataFrame([row], "run_id bigint, workbook_id bigint, code string, status string, mode string, started_at string, processed bigint, changes bigint"))
+        return run_id
+
+    def finish_run(self, run_id: int, status: str = "CONCLUIDA", message: str | None = None, now: dt.datetime | None = None) -> None:
+        """Close a run with the counts of its pairs."""
+        per = self.read("pair").filter(F.col("run_id") == run_id).agg(F.count("*").alias("p"), F.coalesce(F.sum("changes"), F.lit(0)).alias("c")).head()
+        mine = F.col("run_id") == run_id
+        new = {"status": F.lit(status), "finished_at": F.lit(utc_text(now or dt.datetime.now(dt.timezone.utc))), "processed": F.lit(per["p"]), "changes": F.lit(per["c"]), "message": F.lit(message)}
+        self.replace("run", self.read("run").withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in new.items()}))
+
+    def fail_run(self, run_id: int, stage: str, message: str, now: dt.datetime | None = None) -> None:
+        """Record an error and close its run; checkpoint and pairs stay, so the next run goes on from there."""
+        now = now or dt.datetime.now(dt.timezone.utc)
+        book = self.read("run").filter(F.col("run_id") == run_id).select("workbook_id").head()[0]
+        self.append("error", self.spark.createDataFrame([(run_id, book, stage, message, utc_text(now))], SCHEMAS["error"]))
+        self.finish_run(run_id, "FALHA", message, now)
 
     def listing(self) -> DataFrame:
         """Workbooks with their pairs, changes, checkpoint and last run: summed before they are joined."""

@@ -1,8 +1,9 @@
 """The audit as a stream: versions arrive, missing pairs are compared and committed, each once and in order.
 
 Every micro-batch is one idempotent commit: pairs that are done are left out before anything is compared, so a batch
-that runs again after a failure writes nothing twice. Versions below the checkpoint are inconsistent, not late: they end
-the stream with an error, as dropping them would lose changes.
+that runs again after a failure writes nothing twice. A version that arrives again is left out; the others are paired
+with their neighbours among all versions known from the checkpoint on. Versions below the checkpoint that no pair holds
+are inconsistent, not late: they end the stream with an error, as dropping them would lose changes.
 """
 
 from __future__ import annotations
@@ -29,6 +30,12 @@ def missing_pairs(versions: DataFrame, trail: Trail) -> DataFrame:
     return pairs.join(authoritative(trail.read("pair")).select(*KEYS["pair"]), KEYS["pair"], "left_anti")
 
 
+def content_digests(cells: DataFrame) -> DataFrame:
+    """workbook_id, version_id, digest: 64 hex digits of a version's cells, in any order, summed where they lie."""
+    part = lambda seed: F.lpad(F.lower(F.hex(F.bit_xor(F.xxhash64(F.lit(seed), "sheet", "row", "column", "key")))), 16, "0")
+    return cells.groupBy("workbook_id", "version_id").agg(F.concat(*[part(seed) for seed in range(4)]).alias("digest"))
+
+
 def compare_pairs(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     """Changes of all pairs in one plan: the pair is part of the join's key."""
     side = lambda c: pairs.join(cells.withColumnRenamed("version_id", c), ["workbook_id", c])
@@ -37,13 +44,21 @@ def compare_pairs(pairs: DataFrame, cells: DataFrame) -> DataFrame:
     return changes.select(*by, "sheet", address(F.col("row"), F.col("column")).alias("address"), "change_type", "previous_value", "new_value")
 
 
-def audit(versions: DataFrame, cells: DataFrame, trail: Trail, run_id: int | None = None, move_checkpoint: bool = True) -> DataFrame:
-    """Compare and commit what is missing; gives the pairs that were written. Without move_checkpoint: an interval only."""
+def audit(versions: DataFrame, cells: DataFrame, trail: Trail, run_id: int | None = None, move_checkpoint: bool = True, digests: DataFrame | None = None) -> DataFrame:
+    """Compare and commit what is missing; gives the pairs that were written. Without move_checkpoint: an interval only.
+
+    digests (workbook_id, version_id, digest): of the versions' files; without it, of their cells. What is given back can
+    be read until the next audit.
+    """
+    trail.discard_staging()
     pairs = trail.stage(missing_pairs(versions, trail))
     changes = trail.stage(compare_pairs(pairs, cells))
     counts = changes.groupBy(*KEYS["pair"]).agg(F.count("*").alias("changes"))
     rows = pairs.join(counts, KEYS["pair"], "left").withColumn("changes", F.coalesce("changes", F.lit(0)))
-    rows = rows.withColumns({"run_id": F.lit(run_id).cast("bigint"), "status": F.when(F.col("changes") > 0, "PROCESSADA").otherwise("SEM_ALTERACOES"), "digest": F.sha2(F.concat_ws("\x1f", "workbook_id", "previous_id", "current_id"), 256), "pair_id": F.xxhash64(*KEYS["pair"])})
+    own = pairs.select("workbook_id", "current_id").distinct()
+    known = digests if digests is not None else content_digests(cells.join(own.withColumnRenamed("current_id", "version_id"), ["workbook_id", "version_id"], "left_semi"))
+    rows = rows.join(known.select("workbook_id", F.col("version_id").alias("current_id"), "digest"), ["workbook_id", "current_id"], "left")
+    rows = rows.withColumns({"run_id": F.lit(run_id).cast("bigint"), "status": F.when(F.col("changes") > 0, "PROCESSADA").otherwise("SEM_ALTERACOES"), "digest": F.coalesce("digest", F.lit("0" * 64)), "pair_id": F.xxhash64(*KEYS["pair"])})
     last = versions.groupBy("workbook_id").agg(F.max_by("version_id", sqlite_integer(F.col("version_id"))).alias("version_id"))
     return trail.commit(rows, changes, last if move_checkpoint else None)
 
@@ -52,14 +67,18 @@ def start(versions: DataFrame, cells: DataFrame, trail: Trail, checkpoint: str,
     """Run the audit on a stream of versions; cells is the table that holds their contents."""
 
     def batch(arrived: DataFrame, epoch: int) -> None:
-        before = trail.read("checkpoint").select("workbook_id", sqlite_integer(F.col("version_id")).alias("at"))
-        new = arrived.join(before, "workbook_id", "left")
-        done = trail.read("pair").select("workbook_id", F.explode(F.array("previous_id", "current_id")).alias("version_id")).distinct()
-        late = new.filter(sqlite_integer(F.col("version_id")) < F.col("at")).join(done, ["workbook_id", "version_id"], "left_anti")
-        if late.head(1):
+        checkpoints = trail.read("checkpoint").select("workbook_id", "version_id")
+        before = checkpoints.select("workbook_id", sqlite_integer(F.col("version_id")).alias("at"))
+        done = authoritative(trail.read("pair")).select("workbook_id", F.explode(F.array("previous_id", "current_id")).alias("version_id")).unionByName(checkpoints).distinct()
+        new = arrived.select("workbook_id", "version_id").distinct().join(done, ["workbook_id", "version_id"], "left_anti")
+        if not new.head(1):
+            return
+        number = sqlite_integer(F.col("version_id"))
+        if new.join(before, "workbook_id").filter(number < F.col("at")).head(1):
             raise Inconsistent("a version arrived below the checkpoint")
-        known = before.join(trail.read("checkpoint").select("workbook_id", "version_id"), "workbook_id").select("workbook_id", "version_id")
-        audit(arrived.select("workbook_id", "version_id").unionByName(known).distinct(), cells, trail, run_id=epoch)
+        # From the checkpoint on: pairs of an interval may lie beyond it.
+        known = done.join(new.select("workbook_id").distinct(), "workbook_id", "left_semi").join(before, "workbook_id", "left").filter(F.col("at").isNull() | (number >= F.col("at"))).select("workbook_id", "version_id")
+        audit(new.unionByName(known), cells, trail, run_id=epoch)
 
     writer = versions.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()

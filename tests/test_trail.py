@@ -71,3 +71,68 @@ def test_stream(spark, trail, tmp_path):
     with pytest.raises(Exception, match="below the checkpoint"):
         run()
     assert issubclass(Inconsistent, ValueError)
+
+
+def test_replayed_versions_make_no_pairs(spark, trail, tmp_path):
+    """Versions that arrive again are left out; new ones are paired with their neighbours among all known ones."""
+    source = str(tmp_path / "in")
+    cells = spark.createDataFrame([(1, str(v), "s", 1, 1, f"t{v}", f"str:t{v}") for v in range(1, 9)], ST.CELLS)
+    run = lambda: ST.start(spark.readStream.schema(ST.VERSIONS).parquet(source), cells, trail, str(tmp_path / "ck")).awaitTermination(120)
+    versions(spark, "1", "2", "3", "4", "5").write.parquet(source)
+    run()
+    pairs = lambda: sorted((r.previous_id, r.current_id) for r in trail.read("pair").collect())
+    want = [("1", "2"), ("2", "3"), ("3", "4"), ("4", "5")]
+    assert pairs() == want
+    versions(spark, "2", "3").write.mode("append").parquet(source)
+    run()
+    assert pairs() == want and trail.read("checkpoint").head().version_id == "5"
+    # An interval beyond the checkpoint is done already; what arrives later closes the gap before it.
+    ST.audit(versions(spark, "7", "8"), cells, trail, move_checkpoint=False)
+    versions(spark, "4", "6").write.mode("append").parquet(source)
+    run()
+    assert pairs() == [*want, ("5", "6"), ("6", "7"), ("7", "8")] and trail.read("checkpoint").head().version_id == "8"
+
+
+def test_a_pair_that_was_begun_is_replaced(spark, trail):
+    trail.append("pair", spark.createDataFrame([(7, 1, 3, "1", "2", "EM_ANDAMENTO", None, 0)], "pair_id bigint, workbook_id bigint, run_id bigint, previous_id string, current_id string, status string, digest string, changes bigint"))
+    assert ST.audit(versions(spark, "1", "2"), content(spark), trail).count() == 1
+    assert [(r.status, r.changes) for r in trail.read("pair").collect()] == [("PROCESSADA", 1)] and trail.integrity().count() == 0
+
+
+def test_a_pair_holds_a_digest_of_its_content(spark, trail):
+    a = {r.version_id: r.digest for r in ST.content_digests(content(spark)).collect()}
+    b = {r.version_id: r.digest for r in ST.content_digests(content(spark).orderBy(F.desc("row"))).collect()}
+    assert a == b and len(set(a.values())) == 3 and {len(d) for d in a.values()} == {64}
+    ST.audit(versions(spark, "1", "2"), content(spark), trail)
+    assert trail.read("pair").head().digest == a["2"]
+
+
+def test_runs_and_failures(spark, trail):
+    one = trail.open_run(1)
+    ST.audit(versions(spark, "1", "2"), content(spark), trail, run_id=one)
+    trail.finish_run(one)
+    two = trail.open_run(1)
+    trail.fail_run(two, "download", "no answer")
+    rows = {r.run_id: r for r in trail.read("run").collect()}
+    assert (rows[one].status, rows[one].processed, rows[one].changes) == ("CONCLUIDA", 1, 1) and (rows[two].status, rows[two].message) == ("FALHA", "no answer")
+    assert rows[one].code.startswith("AUD-") and len(rows[one].code.rsplit("-", 1)[1]) == 8 and rows[one].started_at.endswith("Z")
+    assert [r.stage for r in trail.read("error").collect()] == ["download"] and trail.read("checkpoint").head().version_id == "2"
+    # The next run goes on from the checkpoint.
+    assert ST.audit(versions(spark, "1", "2", "10"), content(spark), trail, run_id=trail.open_run(1)).count() == 1
+
+
+def test_full_restore_keeps_a_safety_copy(spark, trail, tmp_path):
+    ST.audit(versions(spark, "1", "2"), content(spark), trail)
+    trail.backup(f"file://{tmp_path}/b")
+    ST.audit(versions(spark, "1", "2", "10"), content(spark), trail)
+    safety = trail.restore(f"file://{tmp_path}/b")
+    assert trail.read("pair").count() == 1 and spark.read.parquet(f"{safety}/pair").count() == 2
+
+
+def test_a_replacement_that_broke_off_leaves_the_old_table(spark, trail):
+    ST.audit(versions(spark, "1", "2"), content(spark), trail)
+    (path, fs), (old, _) = trail._path("pair"), trail._path("pair.old")
+    fs.rename(path, old)
+    assert trail.read("pair").count() == 1
+    trail.initialise()
+    assert fs.exists(path) and trail.read("pair").count() == 1

@@ -51,7 +51,7 @@ def equality_key(kind: Column, text: Column) -> Column:
     """
     integral = text.rlike(r"^[+-]?\d+(\.0*)?$")
     whole = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\.0*$", ""), r"^\+", ""), r"^(-?)0+(?=\d)", "$1")
-    number = F.when(integral, F.when(whole == "-0", "0").otherwise(whole)).otherwise(text.try_cast("double").cast("string"))
+    number = F.when(text.rlike(r"^(0|-?[1-9]\d*)$"), text).when(integral, F.when(whole == "-0", "0").otherwise(whole)).otherwise(text.try_cast("double").cast("string"))
     return F.concat(kind, F.lit(":"), F.when(kind == "num", number).otherwise(text))
 
 

@@ -22,8 +22,10 @@ def profile_token(kind: Column, text: Column) -> Column:
 def profiles(cells: DataFrame, by: list[str], along: str) -> DataFrame:
     """by, profile: the first tokens of non-blank cells along the other axis, in order."""
     entry = F.struct(F.col(along).alias("p"), profile_token(F.col("kind"), F.col("text")).alias("token"))
-    full = cells.filter(F.trim("text") != "").groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    return full.select(*by, F.transform(F.slice("all", 1, TOKENS), lambda e: e["token"]).alias("profile"))
+    # The first cells are picked before they are gathered, in each task first: an axis can be long.
+    first = F.row_number().over(Window.partitionBy(*by).orderBy(along))
+    few = cells.filter(F.trim("text") != "").withColumn("_nth", first).filter(F.col("_nth") <= TOKENS)
+    return few.groupBy(*by).agg(F.array_sort(F.collect_list(entry)).alias("all")).select(*by, F.transform("all", lambda e: e["token"]).alias("profile"))
 
 
 def likeness(a: list[str], b: list[str]) -> float:

@@ -20,23 +20,50 @@ def snapshot_diff(previous: DataFrame, current: DataFrame, by: list[str] | None
     return a.join(b, on, "full_outer").withColumn("change_type", kind).filter("change_type is not null").select(*on, "change_type", "previous_value", "new_value")
 
 
+def packed(cells: DataFrame) -> DataFrame:
+    """sheet, row, cells (in the order of their columns), digest: a row of a sheet has 16,384 cells at most."""
+    rows = cells.groupBy("sheet", "row").agg(F.array_sort(F.collect_list(F.struct("column", "key", "text"))).alias("cells"))
+    return rows.withColumn("digest", F.sha2(F.concat_ws("\x1e", F.transform("cells", lambda c: F.concat_ws("\x1f", c["column"].cast("string"), c["key"]))), 256))
+
+
 def row_digests(cells: DataFrame) -> DataFrame:
     """sheet, row, digest of each row's cells in their order."""
-    cell = F.concat_ws("\x1f", F.col("column").cast("string"), F.col("key"))
-    return cells.groupBy("sheet", "row").agg(F.sha2(F.concat_ws("\x1e", F.array_sort(F.collect_list(F.struct("column", cell.alias("cell")))).getField("cell")), 256).alias("digest"))
+    return packed(cells).select("sheet", "row", "digest")
+
 
+def hash_skip_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """snapshot_diff, of those rows only whose digests differ: each side is gathered by row once, and joined once."""
+    a, b = (packed(x).select("sheet", "row", F.col("cells").alias(f"{n}_cells"), F.col("digest").alias(f"{n}_digest")) for x, n in ((previous, "a"), (current, "b")))
+    changed = a.join(b, ["sheet", "row"], "full_outer").filter(~F.col("a_digest").eqNullSafe(F.col("b_digest")))
+    side = lambda n: F.transform(f"{n}_cells", lambda c: F.struct(c["column"].alias("column"), F.lit(n).alias("side"), c["key"].alias("key"), c["text"].alias("text")))
+    cells = changed.select("sheet", "row", F.explode(F.flatten(F.filter(F.array(side("a"), side("b")), lambda x: x.isNotNull()))).alias("c")).select("sheet", "row", "c.*")
+    of = lambda n, what: F.max(F.when(F.col("side") == n, F.col(what)))
+    both = cells.groupBy(*CELL).agg(of("a", "key").alias("a_key"), of("b", "key").alias("b_key"), of("a", "text").alias("previous_value"), of("b", "text").alias("new_value"))
+    kind = F.when(F.col("a_key").isNull(), "ADD").when(F.col("b_key").isNull(), "DEL").when(F.col("a_key") != F.col("b_key"), "MOD")
+    return both.withColumn("change_type", kind).filter("change_type is not null").select(*CELL, "change_type", "previous_value", "new_value")
 
-def changed_rows(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """(sheet, row) whose digests differ, or that one side lacks."""
-    a, b = row_digests(previous), row_digests(current)
-    same = a.join(b, ["sheet", "row", "digest"], "left_semi").select("sheet", "row")
-    return a.select("sheet", "row").unionByName(b.select("sheet", "row")).distinct().join(same, ["sheet", "row"], "left_anti")
 
+def table_diff(previous: DataFrame, current: DataFrame, sheet: str, key: str, columns: list[str]) -> DataFrame:
+    """snapshot_diff of two tables of equal columns: one join per row, and cells are made of those that differ only.
 
-def hash_skip_diff(previous: DataFrame, current: DataFrame) -> DataFrame:
-    """snapshot_diff, of those rows only whose digests differ."""
-    rows = changed_rows(previous, current)
-    return snapshot_diff(previous.join(rows, ["sheet", "row"], "left_semi"), current.join(rows, ["sheet", "row"], "left_semi"))
+    The key (one whole number, unique) is the row, the place of a column in columns its number.
+    """
+    names = [f"v{i}" for i in range(1, len(columns) + 1)]
+    side = lambda t, n: t.select(F.col(key).cast("bigint").alias("row"), F.lit(True).alias(f"{n}_is"), *[F.col(c).alias(f"{n}_{v}") for c, v in zip(columns, names, strict=True)])
+    both = side(previous, "a").join(side(current, "b"), "row", "full_outer")
+    # Rows that are equal in all columns go before anything is written as text.
+    both = both.filter(~(F.struct(*[f"a_{v}" for v in names]).eqNullSafe(F.struct(*[f"b_{v}" for v in names]))) | F.col("a_is").isNull() | F.col("b_is").isNull())
+    kinds = dict(previous.dtypes)
+
+    def cell(i: int, v: str):
+        a, b = F.col(f"a_{v}"), F.col(f"b_{v}")
+        texts = F.struct(F.lit(i).alias("column"), F.when(a.isNull(), "ADD").when(b.isNull(), "DEL").otherwise("MOD").alias("change_type"), a.cast("string").alias("previous_value"), b.cast("string").alias("new_value"))
+        return F.when(~a.eqNullSafe(b), texts)
+
+    if any(dict(current.dtypes)[c] != kinds[c] for c in columns):
+        raise ValueError("both tables must have the same types")
+    found = F.filter(F.array(*[cell(i, v) for i, v in enumerate(names, 1)]), lambda x: x.isNotNull())
+    return both.select(F.lit(sheet).alias("sheet"), "row", F.explode(found).alias("c")).select("sheet", "row", "c.*")
 
 
 def summary(changes: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -6,6 +6,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a range of running_total(), about, and the most ranges; they are cut at a sample of SAMPLED values.
+RANGE_ROWS, RANGES, SAMPLED = 1 << 16, 4096, 1 << 15
+#: Rows of a block of overlapped().
+BLOCK = 8192
+
+
+def range_of(value: Column, bounds: list) -> Column:
+    """How many of the sorted bounds are not above a value, in two steps; 0 for null."""
+    step = max(1, int(len(bounds) ** 0.5))
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    if not groups:
+        return F.lit(0)
+    at_or_below = lambda values: F.size(F.filter(values, lambda b: b <= value))
+    coarse = at_or_below(F.array(*[F.lit(g[0]) for g in groups]))
+    fine = at_or_below(F.get(F.array(*[F.array(*map(F.lit, g)) for g in groups]), coarse - 1))
+    return F.when(value.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * step + fine)
+
+
+def running_total(rows: DataFrame, key: list[str], order: list[str], amount: Column, name: str, range_rows: int | None = None) -> DataFrame:
+    """rows with name: the sum of amount over the rows of their key up to them, in an order without ties.
+
+    No task holds a key: sums within ranges of the first column of the order are added to the totals of the ranges
+    before. The ranges are cut at values that are chosen by their hash, so a run again cuts alike.
+    """
+    count = min(RANGES, max(1, rows.count() // (range_rows or RANGE_ROWS)))
+    found = sorted(r[0] for r in rows.select(order[0]).filter(F.col(order[0]).isNotNull()).orderBy(F.xxhash64(order[0])).limit(SAMPLED).collect()) if count > 1 else []
+    bounds = sorted({found[i * len(found) // count] for i in range(1, count)}) if found else []
+    ranged = rows.withColumn("_range", range_of(F.col(order[0]), bounds)).withColumn("_amount", amount)
+    totals = ranged.groupBy(*key, "_range").agg(F.sum("_amount").alias("_total"))
+    # A row for each key and range.
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = totals.select(*[F.col(k).alias(f"_{k}_") for k in key], F.col("_range").alias("_at"), F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_ahead"))
+    inside = Window.partitionBy(*key, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    on = F.col("_range") == F.col("_at")
+    for k in key:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}_"))
+    own = ranged.withColumn("_in", F.sum("_amount").over(inside))
+    return own.join(ahead, on).withColumn(name, F.col("_in") + F.col("_ahead")).select(*rows.columns, name)
+
+
+def overlapped(rows: DataFrame, key: list[str], order: list[str], back: int, block: int | None = None) -> DataFrame:
+    """rows with _n (their number in their key, from 0), _block and _own: blocks of rows, with the back rows before each.
+
+    A frame of up to back rows before a row lies in the row's own block, so a hot key is many groups. Rows that are not
+    _own are there for frames only.
+    """
+    block = max(block or BLOCK, back)
+    n = F.col("_n")
+    numbered = running_total(rows, key, order, F.lit(1).cast("bigint"), "_n").withColumn("_n", n - 1)
+    home = F.floor(n / block)
+    blocks = F.when(n % block >= block - back, F.array(home, home + 1)).otherwise(F.array(home))
+    return numbered.withColumn("_block", F.explode(blocks)).withColumn("_own", F.col("_block") == F.floor(n / block))
+
+
 def consecutive_pairs(versions: DataFrame, key: list[str], order: str) -> DataFrame:
     """(key, previous, current) of neighbouring versions."""
     w = Window.partitionBy(*key).orderBy(order)

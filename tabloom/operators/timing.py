@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sequences import overlapped, running_total
+
 #: Fixed values of the timing model.
 SPREAD = 3.0 * 1.4826
 STAGE_WINDOW, SLOT_WINDOW, COMMIT_WINDOW = 20, 15, 20
 RATE_ALPHA, ETA_ALPHA, LEAST_COMMITS = 0.25, 0.20, 5
+#: Values that a smoothed one is made of: the weight of older ones, 0.8 ** 256 at most, is below 1e-24.
+SMOOTHED = 256
 TIE, DRIFT = 0.05, 1.75
 
 
@@ -62,17 +66,26 @@ def slot_mean(values: Column) -> Column:
 
 
 def rolling(rows: DataFrame, key: list[str], order: list[str], value: str, window: int = STAGE_WINDOW, mean=winsorised_mean) -> DataFrame:
-    """rows with robust: the robust mean of the latest window usable values."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(window - 1), 0)
+    """rows with robust: the robust mean of the latest window usable values. A hot key is many groups."""
+    dealt = overlapped(rows.filter(usable(F.col(value))), key, order, window - 1)
+    w = Window.partitionBy(*key, "_block").orderBy("_n").rowsBetween(-(window - 1), 0)
     # The frame's array is bound before it is used several times.
-    return rows.filter(usable(F.col(value))).withColumn("_last", F.collect_list(value).over(w)).withColumn("robust", mean(F.col("_last"))).drop("_last")
+    return dealt.withColumn("_last", F.collect_list(value).over(w)).filter("_own").withColumn("robust", mean(F.col("_last"))).select(*rows.columns, "robust")
 
 
 def throughput(rows: DataFrame, key: list[str], order: list[str], seconds: str, window: int = COMMIT_WINDOW) -> DataFrame:
-    """rows with rate: commits a minute over the latest window commits; null until time has passed."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(-(window - 1), 0)
+    """rows with rate: commits a minute over the latest window commits; null until time has passed. A hot key is many groups."""
+    dealt = overlapped(rows, key, order, window - 1)
+    w = Window.partitionBy(*key, "_block").orderBy("_n").rowsBetween(-(window - 1), 0)
     span = F.col(seconds) - F.first(seconds).over(w)
-    return rows.withColumn("rate", F.when(span > 0, (F.count("*").over(w) - 1) * 60.0 / span))
+    rated = dealt.withColumn("rate", F.when(span > 0, (F.count("*").over(w) - 1) * 60.0 / span))
+    return rated.filter("_own").select(*rows.columns, "rate")
+
+
+def latest_rows(rows: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
+    """The last n rows of each key; each task keeps its own last n before they meet."""
+    w = Window.partitionBy(*key).orderBy(*[F.desc(o) for o in order])
+    return rows.withColumn("_last", F.row_number().over(w)).filter(F.col("_last") <= n).drop("_last")
 
 
 def smoothed(values: Column, alpha: float) -> Column:
@@ -81,9 +94,39 @@ def smoothed(values: Column, alpha: float) -> Column:
 
 
 def smoothed_rates(rows: DataFrame, key: list[str], order: list[str], rate: str = "rate", alpha: float = RATE_ALPHA) -> DataFrame:
-    """Per key: the smoothed rate after all its rows. A fold in order: one array per key."""
+    """Per key: the smoothed rate after all its rows, from its last SMOOTHED rates: older ones weigh less than rounding."""
+    counts = rows.groupBy(*key).agg(F.count("*").alias("commits"))
+    last = latest_rows(rows.filter(F.col(rate).isNotNull()), key, order, SMOOTHED)
     entry = F.struct(*order, F.col(rate).alias("_rate"))
-    return rows.groupBy(*key).agg(F.count("*").alias("commits"), smoothed(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_rate"]), alpha).alias("smoothed"))
+    means = last.groupBy(*key).agg(smoothed(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_rate"]), alpha).alias("smoothed"))
+    return counts.join(means, key, "left")
+
+
+def smoothed_etas(rows: DataFrame, key: list[str], order: list[str], remaining: str, rate: str = "rate") -> DataFrame:
+    """Per key: the seconds left that are shown after all its rows: the smoothed estimate, or the last valid one.
+
+    Each row is a commit with what remains after it. Rates are smoothed first; from LEAST_COMMITS commits on each gives an
+    estimate, and these are smoothed. Nothing left is an estimate of 0.
+    """
+    numbered = throughput_counts(rows, key, order)
+    last = latest_rows(numbered, key, order, 2 * SMOOTHED)
+    entry = F.struct(*order, F.col(rate).cast("double").alias("rate"), F.col(remaining).cast("double").alias("left"), F.col("_n").alias("n"))
+
+    def step(s, x):
+        r = F.when(x["rate"].isNull(), s["rate"]).when(s["rate"].isNull(), x["rate"]).otherwise(RATE_ALPHA * x["rate"] + (1 - RATE_ALPHA) * s["rate"])
+        raw = x["left"] * 60.0 / r
+        new = F.when(s["eta"].isNull(), raw).otherwise(ETA_ALPHA * raw + (1 - ETA_ALPHA) * s["eta"])
+        shown = F.when(x["left"] <= 0, F.lit(0.0)).when((x["n"] >= LEAST_COMMITS) & (r > 0), new).otherwise(s["eta"])
+        return F.struct(r.alias("rate"), shown.alias("eta"))
+
+    none = F.lit(None).cast("double")
+    folded = F.aggregate(F.array_sort(F.collect_list(entry)), F.struct(none.alias("rate"), none.alias("eta")), step, lambda s: s["eta"])
+    return last.groupBy(*key).agg(folded.alias("eta"))
+
+
+def throughput_counts(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """rows with _n: which commit of its key each is, from 1."""
+    return running_total(rows, key, order, F.lit(1).cast("bigint"), "_n")
 
 
 def eta(remaining: Column, rate: Column, commits: Column, mean: Column, slots: Column) -> Column:
@@ -108,11 +151,26 @@ def trailing_count(rows: DataFrame, key: list[str], seconds: str, span: int = 60
 
 
 def nearest_rank(values: Column, fraction: float) -> Column:
-    """sorted[min(n - 1, floor(n * fraction))]."""
+    """sorted[min(n - 1, floor(n * fraction))] of a short array; summary() takes columns of any length."""
     n = F.size(values)
     return F.get(F.array_sort(values), F.least(n - 1, F.floor(n * fraction).cast("int")))
 
 
+def summary(rows: DataFrame, key: list[str], value: str, fraction: float = 0.95) -> DataFrame:
+    """key, p95, median, mean, low, high of the values that are not null; p95 is sorted[min(n - 1, floor(n * fraction))].
+
+    Equal values are counted first and ranks are found in running counts of distinct values, so no task holds a key.
+    """
+    v = rows.filter(F.col(value).isNotNull()).groupBy(*key, F.col(value).alias("_v")).agg(F.count("*").alias("_times"))
+    placed = running_total(v, key, ["_v"], F.col("_times"), "_to")
+    total = v.groupBy(*key).agg(F.sum("_times").alias("_n"), (F.sum(F.col("_v") * F.col("_times")) / F.sum("_times")).alias("mean"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    n = F.col("_n")
+    holds = lambda rank: (F.col("_to") > rank) & (F.col("_to") - F.col("_times") <= rank)
+    at = lambda rank: F.max(F.when(holds(rank), F.col("_v")))
+    both = placed.join(total, key)
+    return both.groupBy(*key, "mean", "low", "high").agg(at(F.least(n - 1, F.floor(n * fraction))).alias("p95"), ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median")).select(*key, "p95", "median", "mean", "low", "high")
+
+
 def sample_weight(kind: Column, completed: Column) -> Column:
     return F.when(kind == "benchmark_run", 2.0).otherwise(1.0) * F.when(completed, 1.0).otherwise(0.5)
 

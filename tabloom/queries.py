@@ -41,13 +41,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 ORDER_COLUMNS = ["o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
 
 
-def order_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Cells of orders, and of orders after the edit. Prices are cents, as whole numbers are written alike everywhere."""
+def order_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders, and orders after the edit. Prices are cents, as whole numbers are written alike everywhere."""
     base = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.round(F.col("o_totalprice").cast("double") * 100).cast("bigint").alias("o_totalprice"), "o_orderpriority")
     k = F.col("o_orderkey")
     edited = base.filter(k % 97 != 0).withColumns({"o_totalprice": F.when(k % 13 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")), "o_orderpriority": F.when(k % 17 != 0, F.col("o_orderpriority"))})
     added = base.filter(k % 101 == 0).withColumn("o_orderkey", k + 1_000_000_000)
-    return tuple(C.to_cells(t, "orders", ["o_orderkey"], ORDER_COLUMNS) for t in (base, edited.unionByName(added)))
+    return base, edited.unionByName(added)
+
+
+def order_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same as cells."""
+    return tuple(C.to_cells(t, "orders", ["o_orderkey"], ORDER_COLUMNS) for t in order_tables(spark, sf_dir))
 
 
 _ORDERS = """
@@ -69,9 +74,15 @@ def _addressed(changes: DataFrame) -> DataFrame:
 
 @query(_DIFF)
 def snapshot_diff(spark, sf_dir):
-    """The ordered difference of two snapshots."""
-    changes = D.snapshot_diff(*order_versions(spark, sf_dir)).orderBy("sheet", "row", "column")
-    return _addressed(changes)
+    """The difference of two snapshots, cell by cell."""
+    return _addressed(D.snapshot_diff(*order_versions(spark, sf_dir)))
+
+
+@query(_DIFF)
+def ordered_diff(spark, sf_dir):
+    """The same in the order of changes (sheet by code point, row, column), from a join per row."""
+    changes = D.table_diff(*order_tables(spark, sf_dir), "orders", "o_orderkey", ORDER_COLUMNS)
+    return _addressed(changes.orderBy("sheet", "row", "column"))
 
 
 @query(_DIFF)
@@ -252,11 +263,24 @@ def commit_rate(spark, sf_dir):
 r AS (SELECT user_id, s, event_id, CASE WHEN s > f THEN (n - 1) * 60.0::DOUBLE / (s - f) END AS rate FROM w), g AS (SELECT user_id, count(*) AS commits, list(rate ORDER BY s, event_id) FILTER (rate IS NOT NULL) AS l FROM r GROUP BY 1)
 SELECT user_id, commits, round(CASE WHEN l IS NOT NULL THEN list_reduce(l, lambda a, x: 0.25::DOUBLE * x + 0.75::DOUBLE * a) END, 9) AS smoothed FROM g""")
 def smoothed_rate(spark, sf_dir):
-    """The exponentially weighted rate."""
+    """The exponentially weighted rate."""
     r = M.throughput(seconds(spark, sf_dir), ["user_id"], ["s", "event_id"], "s")
     return M.smoothed_rates(r, ["user_id"], ["s", "event_id"]).withColumn("smoothed", F.round("smoothed", 9))
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, event_id FROM events),
+w AS (SELECT *, first_value(s) OVER x AS f, count(*) OVER x AS n, row_number() OVER (PARTITION BY user_id ORDER BY s, event_id) AS pos FROM e WINDOW x AS (PARTITION BY user_id ORDER BY s, event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+r AS (SELECT user_id, pos, CASE WHEN s > f THEN (n - 1) * 60.0::DOUBLE / (s - f) END AS rate, CAST(event_id % 9 AS DOUBLE) AS rest FROM w),
+x AS (SELECT user_id, pos, rate AS rate, CASE WHEN rest <= 0 THEN 0.0::DOUBLE END AS eta FROM r WHERE pos = 1 UNION ALL
+SELECT user_id, pos, rate, CASE WHEN rest <= 0 THEN 0.0::DOUBLE WHEN pos >= 5 AND rate > 0 THEN CASE WHEN eta IS NULL THEN rest * 60.0::DOUBLE / rate ELSE 0.2::DOUBLE * (rest * 60.0::DOUBLE / rate) + 0.8::DOUBLE * eta END ELSE eta END FROM (
+SELECT r.user_id, r.pos, r.rest, x.eta, CASE WHEN r.rate IS NULL THEN x.rate WHEN x.rate IS NULL THEN r.rate ELSE 0.25::DOUBLE * r.rate + 0.75::DOUBLE * x.rate END AS rate FROM x JOIN r ON r.user_id = x.user_id AND r.pos = x.pos + 1))
+SELECT user_id, round(eta, 6) AS eta FROM x QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pos DESC) = 1""")
+def smoothed_eta(spark, sf_dir):
+    """The time left as it is shown: smoothed, from five commits on, and the last valid one kept."""
+    r = M.throughput(seconds(spark, sf_dir).withColumn("rest", F.col("event_id") % 9), ["user_id"], ["s", "event_id"], "s")
+    return M.smoothed_etas(r, ["user_id"], ["s", "event_id"], "rest").withColumn("eta", F.round("eta", 6))
+
+
 _WINS = """WITH e AS (SELECT event_id, event_type, CAST(value AS DOUBLE) AS v FROM events WHERE value >= 0 AND NOT isnan(CAST(value AS DOUBLE))),
 w AS (SELECT event_id, event_type, list(v) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN {back} PRECEDING AND CURRENT ROW) AS l FROM e),
 m AS (SELECT *, list_median(l) AS med FROM w), d AS (SELECT *, list_median(list_transform(l, lambda x: abs(x - med))) AS mad FROM m)
@@ -287,17 +311,15 @@ def milestone_median(spark, sf_dir):
 @query("SELECT event_type, event_id, round(avg(CAST(value AS DOUBLE)) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), 7) AS mean FROM events WHERE value >= 0")
 def queue_mean(spark, sf_dir):
     """The mean of the latest twenty waits."""
-    from pyspark.sql import Window
-
-    e = table(spark, sf_dir, "events").filter("value >= 0")
-    return e.select("event_type", "event_id", F.round(F.avg(F.col("value").cast("double")).over(Window.partitionBy("event_type").orderBy("event_id").rowsBetween(-19, 0)), 7).alias("mean"))
+    e = table(spark, sf_dir, "events").select("event_type", "event_id", F.col("value").cast("double").alias("v"))
+    return M.rolling(e, ["event_type"], ["event_id"], "v", 20, M.mean_of).select("event_type", "event_id", F.round("robust", 7).alias("mean"))
 
 
 @query("WITH g AS (SELECT event_type, list_sort(list(CAST(value AS DOUBLE))) AS l FROM events WHERE value IS NOT NULL GROUP BY 1) SELECT event_type, l[least(len(l) - 1, CAST(floor(len(l) * 0.95::DOUBLE) AS BIGINT)) + 1] AS p95, list_median(l) AS median, round(list_avg(l), 7) AS mean, list_min(l) AS low, list_max(l) AS high FROM g")
 def sample_summary(spark, sf_dir):
     """Nearest-rank percentile, median, mean, extremes."""
-    g = table(spark, sf_dir, "events").groupBy("event_type").agg(F.collect_list(F.col("value").cast("double")).alias("l"))
-    return g.select("event_type", M.nearest_rank(F.col("l"), 0.95).alias("p95"), M.median_of(F.col("l")).alias("median"), F.round(M.mean_of(F.col("l")), 7).alias("mean"), F.array_min("l").alias("low"), F.array_max("l").alias("high"))
+    e = table(spark, sf_dir, "events").select("event_type", F.col("value").cast("double").alias("v"))
+    return M.summary(e, ["event_type"], "v").withColumn("mean", F.round("mean", 7))
 
 
 @query("""WITH s AS (SELECT event_type AS workbook, user_id % 8 + 1 AS slots, CAST(event_id % 50 + 1 AS DOUBLE) AS rate, event_id % 5 AS prefetch, CASE WHEN event_id % 3 = 0 THEN 2.0::DOUBLE ELSE 1.0::DOUBLE END AS b, CASE WHEN event_id % 7 = 0 THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS c FROM events WHERE event_id % 11 <> 0),
@@ -541,10 +563,8 @@ def normalised_text(spark, sf_dir):
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS place FROM part")
 def natural_order(spark, sf_dir):
     """Names with numbers, in the order of the numbers."""
-    from pyspark.sql import Window
-
     p = table(spark, sf_dir, "part").select("p_partkey", T.natural_key(F.concat(F.lit("File "), F.col("p_partkey"))).alias("key"))
-    return p.select("p_partkey", F.row_number().over(Window.orderBy("key")).cast("bigint").alias("place"))
+    return S.running_total(p, [], ["key", "p_partkey"], F.lit(1).cast("bigint"), "place").select("p_partkey", "place")
 
 
 @query("""SELECT 'union' AS op, count(*) AS n FROM (SELECT c_custkey FROM customer UNION SELECT o_custkey FROM orders) UNION ALL SELECT 'base_only', count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)
@@ -630,8 +650,7 @@ def string_dependencies(spark, sf_dir):
     before = p.select(k.alias("i"), sig.alias("was"))
     after = p.filter(k % 13 != 0).select(k.alias("i"), F.when(k % 11 == 0, "changed").otherwise(sig).alias("now"))
     strings = before.join(after, "i", "full_outer").select("i", F.coalesce(F.col("was") == F.col("now"), F.lit(False)).alias("same"))
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_partkey").alias("indices"))
-    used = rows.select("l_orderkey", F.explode("indices").alias("i")).join(strings, "i", "left")
+    used = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("i")).join(strings, "i", "left")
     return used.groupBy("l_orderkey").agg(F.bool_and(F.coalesce("same", F.lit(False))).alias("reusable"), F.count("*").alias("strings"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Callable
 
@@ -53,16 +54,22 @@ def shift_formula(formula: str, origin: str, target: str) -> str:
     return map_references(formula, lambda r, fixed: r if fixed else r + r1 - r0, lambda c, fixed: c if fixed else c + c1 - c0)
 
 
+class Mapping(dict):
+    """Positions mapped to positions, with the places in order, so that a neighbour is found without a scan."""
+
+    def __init__(self, items):
+        super().__init__(items)
+        self.places = sorted(self)
+
+
 def infer(position: int, mapping: dict[int, int]) -> int:
     """Where a position goes: by its own entry, else by the shift that its neighbours agree on."""
     if position in mapping or not mapping:
         return mapping.get(position, position)
-    below, above = [k for k in mapping if k < position], [k for k in mapping if k > position]
-    a = mapping[max(below)] - max(below) if below else None
-    b = mapping[min(above)] - min(above) if above else None
-    if a == b or b is None:
-        return position + (a or 0)
-    return position + b if a is None else position
+    places = mapping.places if isinstance(mapping, Mapping) else sorted(mapping)
+    at = bisect.bisect_left(places, position)
+    shifts = {mapping[k] - k for k in places[max(0, at - 1) : at + 1]}
+    return position + (shifts.pop() if len(shifts) == 1 else 0)
 
 
 def remap_formula(formula: str, rows: dict[int, int], columns: dict[int, int]) -> str:

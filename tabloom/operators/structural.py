@@ -2,17 +2,23 @@
 
 Inputs are cells (sheet, row, column, kind, text) and sheets. Contents here follow other rules than in a diff of
 versions: blank text is no content, and an inserted row or column is one difference, not one per cell.
+compare_workbooks() takes layouts and styles too, lists what lies in inserted rows and columns, and has an option for
+each kind of difference.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.cells import address
-from ..functions.formulas import equivalent, remap_formula
+from ..functions.formulas import Mapping, equivalent, remap_formula
 from .alignment import aligned, gaps, profiles
+from .areas import area_content, content, merged_ranges
 
 DIFFERENCES = "sheet string, location string, category string, base string, evaluated string, details string"
 #: The categories, by the option that asks for them.
@@ -26,10 +32,6 @@ CATEGORIES = {
 }
 
 
-def content(cells: DataFrame) -> DataFrame:
-    return cells.filter(F.trim("text") != "")
-
-
 def axis(base: DataFrame, other: DataFrame, pos: str, along: str) -> DataFrame:
     """sheet, base_pos, eval_pos of one axis; positions without anchors stay where they are unless they were inserted."""
     a, b = (profiles(x, ["sheet", pos], along).withColumnRenamed(pos, "pos") for x in (base, other))
@@ -50,7 +52,28 @@ def _difference(rows: DataFrame, location, category, base=None, evaluated=None,
     return rows.select("sheet", location.alias("location"), category.alias("category"), text(base).alias("base"), text(evaluated).alias("evaluated"), text(details).alias("details"))
 
 
-def compare(base: DataFrame, other: DataFrame, base_sheets: DataFrame, other_sheets: DataFrame, options: set[str] | None = None) -> DataFrame:
+class Axes(NamedTuple):
+    """How rows and columns of two workbooks go together (sheet, base_pos, eval_pos), and what has no partner."""
+
+    columns: DataFrame
+    column_gaps: DataFrame
+    rows: DataFrame
+    row_gaps: DataFrame
+
+
+def axes(base: DataFrame, other: DataFrame, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> Axes:
+    """Columns are aligned first, and rows on the columns that both sides have. stage: writes what is used again."""
+    column_anchors = stage(axis(base, other, "column", "row"))
+    column_gaps = gaps(column_anchors, ["sheet"])
+    columns = complete(column_anchors, column_gaps, base, other, "column")
+    moved = base.join(columns.withColumnRenamed("base_pos", "column"), ["sheet", "column"]).drop("column").withColumnRenamed("eval_pos", "column")
+    there = other.join(columns.select("sheet", F.col("eval_pos").alias("column")), ["sheet", "column"], "left_semi")
+    row_anchors = stage(axis(moved, there, "row", "column"))
+    row_gaps = gaps(row_anchors, ["sheet"])
+    return Axes(columns, column_gaps, complete(row_anchors, row_gaps, base, other, "row"), row_gaps)
+
+
+def compare(base: DataFrame, other: DataFrame, base_sheets: DataFrame, other_sheets: DataFrame, options: set[str] | None = None, found_axes: Axes | None = None) -> DataFrame:
     """Differences between two workbooks, of the asked categories (all by default)."""
     options = set(CATEGORIES) if options is None else options
     base, other = content(base), content(other)
@@ -60,15 +83,7 @@ def compare(base: DataFrame, other: DataFrame, base_sheets: DataFrame, other_she
     common = names.filter("a is not null and b is not null").select("sheet")
     base, other = base.join(common, "sheet", "left_semi"), other.join(common, "sheet", "left_semi")
 
-    column_anchors = axis(base, other, "column", "row")
-    column_gaps = gaps(column_anchors, ["sheet"])
-    columns = complete(column_anchors, column_gaps, base, other, "column")
-    # Rows are aligned on the columns that both sides have.
-    moved = base.join(columns.withColumnRenamed("base_pos", "column"), ["sheet", "column"]).drop("column").withColumnRenamed("eval_pos", "column")
-    there = other.join(columns.select("sheet", F.col("eval_pos").alias("column")), ["sheet", "column"], "left_semi")
-    row_anchors = axis(moved, there, "row", "column")
-    row_gaps = gaps(row_anchors, ["sheet"])
-    rows = complete(row_anchors, row_gaps, base, other, "row")
+    columns, column_gaps, rows, row_gaps = found_axes or axes(base, other)
     events = [_difference(g, F.concat(F.lit(f"{what} "), F.col("position")), F.concat(F.lit(f"{what} "), F.col("side"))) for what, g in (("column", column_gaps), ("row", row_gaps))]
 
     a = (
@@ -94,7 +109,7 @@ def compare(base: DataFrame, other: DataFrame, base_sheets: DataFrame, other_she
 
     def judge(k, cells: pd.DataFrame, maps: pd.DataFrame) -> pd.DataFrame:
         out = []
-        rm, cm = (dict(maps[c].iloc[0]) if len(maps) else {} for c in ("row_map", "column_map"))
+        rm, cm = (Mapping(maps[c].iloc[0] if len(maps) else {}) for c in ("row_map", "column_map"))
         for place, x, y in cells[["place", "base_text", "eval_text"]].itertuples(index=False):
             if not (x.startswith("=") and y.startswith("=")) or not equivalent(x, y, rm, cm):
                 expected = remap_formula(x, rm, cm) if x.startswith("=") else ""
@@ -110,8 +125,17 @@ def compare(base: DataFrame, other: DataFrame, base_sheets: DataFrame, other_she
     return found.filter(F.col("category").isin(wanted))
 
 
-#: Items of a layout, with their categories.
+#: Items of a layout, with their categories; rows and columns as a whole, or by part after split_layout().
 LAYOUT_ITEMS = {"state": "sheet state changed", "protection": "sheet protection changed", "freeze": "frozen panes changed", "row": "row layout changed", "column": "column layout changed"}
+LAYOUT_PARTS = {"row_height": "row height changed", "row_hidden": "row hidden changed", "column_width": "column width changed", "column_hidden": "column hidden changed"}
+
+
+def split_layout(layout: DataFrame) -> DataFrame:
+    """A layout whose rows and columns have an entry for each part (height or width, hidden) instead of one in all."""
+    parts = lambda item, names: F.when(F.col("item") == item, F.array(*[F.struct(F.lit(f"{item}_{n}").alias("item"), F.get_json_object("value", f"$.{n}").alias("value")) for n in names]))
+    own = F.array(F.struct("item", "value"))
+    split = layout.withColumn("x", F.explode(F.coalesce(parts("row", ("height", "hidden")), parts("column", ("width", "hidden")), own)))
+    return split.withColumns({"item": F.col("x.item"), "value": F.col("x.value")}).drop("x").filter("value is not null")
 
 
 def compare_layout(base: DataFrame, other: DataFrame, rows: DataFrame, columns: DataFrame, items: set[str] | None = None) -> DataFrame:
@@ -119,15 +143,17 @@ def compare_layout(base: DataFrame, other: DataFrame, rows: DataFrame, columns:
 
     Merged ranges are held against each other as texts, without being moved.
     """
-    items = {*LAYOUT_ITEMS, "merge"} if items is None else items
-    at = lambda d: d.filter(F.col("item").isin(*LAYOUT_ITEMS)).select("sheet", "item", F.explode(F.sequence("first", "last")).alias("pos"), "value")
-    maps = rows.withColumn("item", F.lit("row")).unionByName(columns.withColumn("item", F.lit("column")))
+    every = LAYOUT_ITEMS | LAYOUT_PARTS
+    items = {*every, "merge"} if items is None else items
+    at = lambda d: d.filter(F.col("item").isin(*every)).select("sheet", "item", F.explode(F.sequence("first", "last")).alias("pos"), "value")
+    of = lambda d, axis_: d.select("sheet", "base_pos", "eval_pos", F.explode(F.array(*[F.lit(i) for i in every if i.startswith(axis_)])).alias("item"))
+    maps = of(rows, "row").unionByName(of(columns, "column"))
     moved = at(base).alias("x").join(maps.alias("m"), (F.col("x.sheet") == F.col("m.sheet")) & (F.col("x.item") == F.col("m.item")) & (F.col("x.pos") == F.col("m.base_pos")), "left")
     b = moved.select(F.col("x.sheet").alias("sheet"), F.col("x.item").alias("item"), F.coalesce("eval_pos", "pos").alias("pos"), F.col("x.value").alias("base"))
     e = at(other).withColumnRenamed("value", "evaluated")
     both = b.join(e, ["sheet", "item", "pos"], "full_outer").filter(F.col("item").isin(*items) & ~F.col("base").eqNullSafe(F.col("evaluated")))
-    category = F.create_map(*[F.lit(x) for kv in LAYOUT_ITEMS.items() for x in kv])[F.col("item")]
-    found = _difference(both, F.when(F.col("pos") == 0, F.col("sheet")).otherwise(F.concat("sheet", F.lit("!"), "item", F.lit(" "), "pos")), category, F.col("base"), F.col("evaluated"))
+    category = F.create_map(*[F.lit(x) for kv in every.items() for x in kv])[F.col("item")]
+    found = _difference(both, F.when(F.col("pos") == 0, F.col("sheet")).otherwise(F.concat("sheet", F.lit("!"), F.substring_index("item", "_", 1), F.lit(" "), "pos")), category, F.col("base"), F.col("evaluated"))
     if "merge" in items:
         m = [d.filter("item = 'merge'").select("sheet", "ref").distinct() for d in (base, other)]
         for one, two, what in ((m[0], m[1], "merge removed"), (m[1], m[0], "merge added")):
@@ -148,3 +174,66 @@ def compare_styles(base: DataFrame, other: DataFrame, rows: DataFrame, columns:
     key = ["sheet", "row", "column", "part"]
     both = a.select(*key, "base").join(b.select(*key, "evaluated"), key, "full_outer").filter(~F.col("base").eqNullSafe(F.col("evaluated")))
     return _difference(both, F.concat("sheet", F.lit("!"), address(F.col("row"), F.col("column"))), F.concat(F.col("part"), F.lit(" changed")), F.col("base"), F.col("evaluated"))
+
+
+#: The options of a comparison, with the categories that each asks for.
+FLAGS = {
+    "value": ("content changed",),
+    "formula": ("formula changed",),
+    "removed_content": ("content removed",),
+    "added_content": ("content added",),
+    "font": ("font changed",),
+    "fill": ("fill changed",),
+    "border": ("border changed",),
+    "alignment": ("alignment changed",),
+    "number_format": ("number_format changed",),
+    "protection": ("protection changed",),
+    "added_rows": ("row added",),
+    "removed_rows": ("row removed",),
+    "added_columns": ("column added",),
+    "removed_columns": ("column removed",),
+    "row_height": ("row height changed",),
+    "column_width": ("column width changed",),
+    "row_hidden": ("row hidden changed",),
+    "column_hidden": ("column hidden changed",),
+    "merged_cells": ("merge removed", "merge added"),
+    "sheets": ("sheet removed", "sheet added"),
+    "sheet_state": ("sheet state changed",),
+    "sheet_protection": ("sheet protection changed",),
+    "freeze_panes": ("frozen panes changed",),
+}
+STYLE_FLAGS = ("font", "fill", "border", "alignment", "number_format", "protection")
+
+
+class Book(NamedTuple):
+    """What a comparison takes of a workbook: cells and sheets, and layout and styles where they are compared."""
+
+    cells: DataFrame
+    sheets: DataFrame
+    layout: DataFrame | None = None
+    styles: DataFrame | None = None
+
+
+def compare_workbooks(base: Book, other: Book, flags: set[str] | None = None, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """Differences of the kinds that flags ask for (all by default), with the content of inserted and removed areas."""
+    flags = set(FLAGS) if flags is None else flags
+    if flags - set(FLAGS):
+        raise ValueError(f"unknown options: {sorted(flags - set(FLAGS))}")
+    common = base.sheets.select("sheet").join(other.sheets.select("sheet"), "sheet", "left_semi")
+    a, b = (content(x.cells).join(common, "sheet", "left_semi") for x in (base, other))
+    found_axes = axes(a, b, stage)
+    options = {o for o, cs in CATEGORIES.items() if any(c in FLAGS[f] for f in flags for c in cs)}
+    # Where formulas are not asked for, cells with one are no change of value either.
+    found = compare(base.cells, other.cells, base.sheets, other.sheets, options | {"formula"}, found_axes)
+    layouts = base.layout is not None and other.layout is not None
+    if layouts:
+        found = found.unionByName(compare_layout(*(split_layout(x.layout).join(common, "sheet", "left_semi") for x in (base, other)), found_axes.rows, found_axes.columns, {"protection", "freeze", "merge", *LAYOUT_PARTS}))
+    if base.styles is not None and other.styles is not None and flags & set(STYLE_FLAGS):
+        found = found.unionByName(compare_styles(*(x.styles.join(common, "sheet", "left_semi") for x in (base, other)), found_axes.rows, found_axes.columns, flags & set(STYLE_FLAGS)))
+    none = found_axes.rows.sparkSession.createDataFrame([], "sheet string, range_id string, min_row bigint, max_row bigint, min_col bigint, max_col bigint")
+    for side, x, cells in (("added", other, b), ("removed", base, a)):
+        pick = lambda g: g.filter(F.col("side") == side).select("sheet", "position")  # noqa: B023, E731
+        inside = area_content(cells, merged_ranges(x.layout) if layouts else none, pick(found_axes.row_gaps), pick(found_axes.column_gaps))
+        values = (None, F.col("text")) if side == "added" else (F.col("text"), None)
+        found = found.unionByName(_difference(inside, F.col("location"), F.lit(f"content {side}"), *values, F.concat(F.lit("in an added " if side == "added" else "in a removed "), "area")))
+    return found.filter(F.col("category").isin([c for f in flags for c in FLAGS[f]]))

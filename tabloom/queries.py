@@ -530,6 +530,39 @@ def cells_in_ranges(spark, sf_dir):
     return A.in_ranges(points, ranges, ["sheet"]).select("row", "col", "range_id")
 
 
+def _area_frames(spark, sf_dir):
+    """Cells of a sheet, a cell a row, and merged ranges of five columns that don't overlap."""
+    k = F.col("s_suppkey")
+    cells = table(spark, sf_dir, "orders").select(F.lit("S").alias("sheet"), F.col("o_orderkey").alias("row"), (F.col("o_custkey") % 40 + 1).alias("column"), F.col("o_orderstatus").alias("text"))
+    ranges = table(spark, sf_dir, "supplier").select(F.lit("S").alias("sheet"), F.concat(F.lit("R"), k).alias("range_id"), (k * 40).alias("min_row"), (k * 40 + 20).alias("max_row"), F.lit(1).cast("bigint").alias("min_col"), F.lit(5).cast("bigint").alias("max_col"))
+    return cells, ranges
+
+
+_AREAS = "WITH c AS (SELECT o_orderkey AS row, o_custkey % 40 + 1 AS col, o_orderstatus AS text FROM orders), r AS (SELECT 'R' || s_suppkey AS id, s_suppkey * 40 AS a, s_suppkey * 40 + 20 AS z, 1 AS x, 5 AS y FROM supplier) "
+
+
+@query(_AREAS + 'SELECT c.row, c.col AS "column", CASE WHEN r.id IS NOT NULL THEN m.text ELSE c.text END AS text, r.id AS range_id FROM c LEFT JOIN r ON c.row BETWEEN a AND z AND c.col BETWEEN x AND y LEFT JOIN c m ON m.row = r.a AND m.col = r.x')
+def merged_values(spark, sf_dir):
+    """A cell of a merged range has the value of the range's upper left cell."""
+    from .operators import areas
+
+    cells, ranges = _area_frames(spark, sf_dir)
+    return areas.effective(areas.relevant(cells), cells, ranges).drop("sheet")
+
+
+@query(_AREAS + """, m AS (SELECT r.*, c.text FROM r JOIN c ON c.row = r.a AND c.col = r.x), p AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM r WHERE c.row BETWEEN a AND z AND c.col BETWEEN x AND y))
+SELECT 'S!' || CASE WHEN col <= 26 THEN chr(CAST(64 + col AS INTEGER)) ELSE 'A' || chr(CAST(38 + col AS INTEGER)) END || row AS location, text, CASE WHEN row % 50 = 0 THEN 'row' ELSE 'column' END AS area FROM p WHERE row % 50 = 0 OR col IN (3, 7)
+UNION ALL SELECT 'S!' || id, text, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.row % 50 = 0 AND c.row BETWEEN a AND z) THEN 'row' ELSE 'column' END FROM m""")
+def inserted_content(spark, sf_dir):
+    """What lies in inserted rows and columns; a merged range counts once."""
+    from .operators import areas
+
+    cells, ranges = _area_frames(spark, sf_dir)
+    rows = areas.used(areas.meaningful(cells), "row").filter("row % 50 = 0").select("sheet", F.col("row").alias("position"))
+    columns = areas.used(areas.meaningful(cells), "column").filter(F.col("column").isin(3, 7)).select("sheet", F.col("column").alias("position"))
+    return areas.area_content(cells, ranges, rows, columns).drop("sheet")
+
+
 # -- functions and sets --------------------------------------------------------------------------------------------------
 
 

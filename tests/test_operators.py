@@ -99,3 +99,50 @@ def test_reports_and_remaps_of_whole_tables(spark, tmp_path):
     assert [tuple(r) for r in queries.QUERIES["report_stats_whole"](spark, str(tmp_path)).collect()] == [(7, 14, flags.count("A"), flags.count("N"), flags.count("R"), 1, 30_007)]
     new = {k: 5_000_001 + n for n, (k, _) in enumerate(orders)}
     assert sorted(map(tuple, queries.QUERIES["restore_remap_whole"](spark, str(tmp_path)).collect())) == sorted((new[k], *rest) for k, *rest, _ in lines)
+
+
+def test_coordinates_and_merged_values(spark):
+    from tabloom.operators import areas
+
+    cells = spark.createDataFrame([("S", 1, 1, "a"), ("S", 1, 3, " "), ("S", 5, 2, "b")], "sheet string, row bigint, column bigint, text string")
+    styles = spark.createDataFrame([("S", 9, 9, "font", "x")], "sheet string, row bigint, column bigint, part string, value string")
+    at = lambda df: sorted((r.row, r.column) for r in df.collect())
+    assert at(areas.meaningful(cells)) == [(1, 1), (5, 2)] and at(areas.relevant(cells, styles)) == [(1, 1), (5, 2), (9, 9)] == at(areas.relevant(cells, styles.union(styles)))
+    assert [r.row for r in areas.used(areas.relevant(cells, styles), "row").collect()] == [1, 5, 9]
+    layout = spark.createDataFrame([("S", "merge", 0, 0, "A1:B3", "A1:B3"), ("S", "row", 2, 2, "", "{}")], "sheet string, item string, first bigint, last bigint, ref string, value string")
+    ranges = areas.merged_ranges(layout)
+    assert tuple(ranges.head()) == ("S", "A1:B3", 1, 3, 1, 2)
+    want = spark.createDataFrame([("S", r, c) for r, c in ((1, 1), (3, 2), (4, 1), (5, 2))], "sheet string, row bigint, column bigint")
+    assert {(r.row, r.column): (r.text, r.range_id) for r in areas.effective(want, cells, ranges).collect()} == {(1, 1): ("a", "A1:B3"), (3, 2): ("a", "A1:B3"), (4, 1): (None, None), (5, 2): ("b", None)}
+
+
+def test_content_of_inserted_areas(spark):
+    from tabloom.operators import areas
+
+    cells = spark.createDataFrame([("S", 1, 1, "anchor"), ("S", 4, 1, "x"), ("S", 4, 3, "both"), ("S", 6, 3, "y"), ("S", 7, 7, "no"), ("S", 9, 5, "wide")], "sheet string, row bigint, column bigint, text string")
+    ranges = spark.createDataFrame([("S", "A1:B4", 1, 4, 1, 2), ("S", "E9:F9", 9, 9, 5, 6), ("S", "J1:K2", 1, 2, 10, 11)], "sheet string, range_id string, min_row bigint, max_row bigint, min_col bigint, max_col bigint")
+    pos = lambda *ps: spark.createDataFrame([("S", p) for p in ps], "sheet string, position bigint")
+    got = {(r.location, r.text, r.area) for r in areas.area_content(cells, ranges, pos(4), pos(3, 6)).collect()}
+    assert got == {("S!A1:B4", "anchor", "row"), ("S!C4", "both", "row"), ("S!C6", "y", "column"), ("S!E9:F9", "wide", "column")}
+
+
+def test_options_of_a_comparison(spark):
+    from tabloom.operators import structural as X
+
+    layout = "sheet string, item string, first bigint, last bigint, ref string, value string"
+
+    def make(rows, height, extra=()):
+        cells = [("S", r, c, "str", t) for r, ts in rows.items() for c, t in enumerate(ts, 1)]
+        frame = spark.createDataFrame(cells, "sheet string, row bigint, column bigint, kind string, text string")
+        return X.Book(frame, spark.createDataFrame([("S", "visible")], "sheet string, state string"), spark.createDataFrame([("S", "row", 1, 1, "", f'{{"height": "{height}", "hidden": false}}'), *extra], layout))
+
+    base = {i: [f"name {i}", f"x{i * i}"] for i in range(1, 9)}
+    other = {i if i < 4 else i + 1: list(t) for i, t in base.items()} | {4: ["new", "merged"]}
+    other[8][1] = "changed"
+    a, b = make(base, 10), make(other, 20, [("S", "merge", 0, 0, "B4:D4", "B4:D4")])
+    stage = lambda df: spark.createDataFrame(df.collect(), df.schema)
+    every = {(r.category, r.location, r.details) for r in X.compare_workbooks(a, b, stage=stage).collect()}
+    assert every == {("row added", "row 4", ""), ("content changed", "S!B7 → B8", ""), ("content added", "S!A4", "in an added row"), ("content added", "S!B4:D4", "in an added row"), ("row height changed", "S!row 1", ""), ("merge added", "S!B4:D4", "")}
+    flags = {"value", "row_height"}
+    got = {(r.category, r.location, r.details) for r in X.compare_workbooks(a, b, flags, stage).collect()}
+    assert got == {x for x in every if x[0] in [c for f in flags for c in X.FLAGS[f]]} and len(got) == 2

@@ -98,5 +98,23 @@ def next_page(envelope: Column) -> Column:
     return F.coalesce(*[F.get_json_object(envelope, p) for p in ("$['@odata.nextLink']", "$['odata.nextLink']", "$.d.__next", "$.__next")])
 
 
+def site_of(url: Column) -> Column:
+    """Scheme, host and port of an address, without case; null for what is none."""
+    at = F.lower(F.regexp_extract(url, r"^(https?://[^/?#@\s]+)(?:[/?#]|$)", 1))
+    return F.when(at != "", at)
+
+
+def same_site(url: Column, site: Column) -> Column:
+    """May an alternate address be used? Only if it is of the same site, and below its path."""
+    path = F.concat(F.regexp_replace(F.lower(site), "/+$", ""), F.lit("/"))
+    return F.coalesce((site_of(url) == site_of(site)) & F.lower(url).startswith(path), F.lit(False))
+
+
+def version_url(site: Column, server_path: Column, version_id: Column) -> Column:
+    """The address of a version's content; null unless the id is digits."""
+    address = F.concat(F.regexp_replace(site, "/+$", ""), F.lit("/_api/web/GetFileByServerRelativePath(decodedurl='"), odata_escape(server_path), F.lit("')/Versions("), version_id, F.lit(")/$value"))
+    return F.when(version_id.rlike(r"^[0-9]+$"), address)
+
+
 def retry_word(attempts: Column, most: int = 3) -> Column:
     return F.when(attempts <= most, "retry").otherwise("fail")

@@ -24,9 +24,10 @@ SCHEMAS = {
     "version_catalog": "identity string, version_id string, label string, modified_at string, author string, is_current boolean, pos bigint",
     "version_catalog_state": "identity string, last_current_id string, versions bigint, status string",
     "runtime_profile": "identity string, slots bigint, prefetch bigint, rate double, confidence string",
+    "slot_preference": "identity string, slots bigint",
     "runtime_benchmark": "identity string, slots bigint, rate double, prefetch bigint, kind string, completed boolean, comparable boolean, tasks bigint",
 }
-KEYS = {"workbook": ["site_id", "drive_id", "item_id"], "checkpoint": ["workbook_id"], "run": ["code"], "pair": ["workbook_id", "previous_id", "current_id"], "change": ["workbook_id", "previous_id", "current_id", "sheet", "address"], "version_catalog": ["identity", "version_id"], "version_catalog_state": ["identity"], "runtime_profile": ["identity"]}
+KEYS = {"workbook": ["site_id", "drive_id", "item_id"], "checkpoint": ["workbook_id"], "run": ["code"], "pair": ["workbook_id", "previous_id", "current_id"], "change": ["workbook_id", "previous_id", "current_id", "sheet", "address"], "version_catalog": ["identity", "version_id"], "version_catalog_state": ["identity"], "runtime_profile": ["identity"], "slot_preference": ["identity"]}
 FINAL = ("PROCESSADA", "SEM_ALTERACOES")
 CHANGE_TYPES = ("ADD", "DEL", "MOD")
 

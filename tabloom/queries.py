@@ -629,7 +629,7 @@ def clock_text(spark, sf_dir):
 
 @query("SELECT page_id, lower(url) LIKE '%.html' AS is_html, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
 def url_checks(spark, sf_dir):
-    """Suffix and host of addresses."""
+    """Suffix and host of addresses."""
     p = table(spark, sf_dir, "pages")
     return p.select("page_id", F.lower("url").endswith(".html").alias("is_html"), F.coalesce(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.lit("")).alias("host"))
 

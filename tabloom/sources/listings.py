@@ -35,15 +35,27 @@ def from_id(rows: DataFrame, anchor: int, column: str = "version_id") -> DataFra
 
 def below(spark: SparkSession, folders: DataFrame, roots: DataFrame, skip: tuple[str, ...] = ("Forms",)) -> DataFrame:
     """Folders (folder_id, parent_id, name) below roots (folder_id), with depth and path. Cycles end."""
-    folders.filter(~F.col("name").isin(*skip)).createOrReplaceTempView("_folders")
-    roots.createOrReplaceTempView("_roots")
-    return spark.sql("""
+    return spark.sql(
+        """
         WITH RECURSIVE tree(folder_id, path, seen, depth) MAX RECURSION LEVEL 1000 AS (
-          SELECT f.folder_id, f.name, array(f.folder_id), 0 FROM _folders f JOIN _roots r ON f.folder_id = r.folder_id
+          SELECT f.folder_id, f.name, array(f.folder_id), 0 FROM {folders} f JOIN {roots} r ON f.folder_id = r.folder_id
           UNION ALL
           SELECT f.folder_id, concat(t.path, '/', f.name), array_append(t.seen, f.folder_id), t.depth + 1
-          FROM tree t JOIN _folders f ON f.parent_id = t.folder_id WHERE NOT array_contains(t.seen, f.folder_id)
-        ) SELECT folder_id, path, depth FROM tree""")
+          FROM tree t JOIN {folders} f ON f.parent_id = t.folder_id WHERE NOT array_contains(t.seen, f.folder_id)
+        ) SELECT folder_id, path, depth FROM tree""",
+        folders=folders.filter(~F.col("name").isin(*skip)),
+        roots=roots,
+    )
+
+
+def in_name_order(folders: DataFrame, path: str = "path", stable: str = "folder_id") -> DataFrame:
+    """Folders by name without case, then by their id."""
+    return folders.orderBy(F.lower(path), stable)
+
+
+def id_of_label(versions: DataFrame, label: str) -> DataFrame:
+    """version_id of a label; of several the last in numeric order."""
+    return versions.filter(F.col("label") == label).orderBy(F.desc(sqlite_integer(F.col("version_id")))).limit(1).select("version_id")
 
 
 def last_by_identity(rows: DataFrame, key: str, order: str) -> DataFrame:

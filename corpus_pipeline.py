@@ -19,7 +19,7 @@ from tabloom.llm.secrets import redact
 from tabloom.llm.toxicity import accepted
 
 
-#: A key of a row within a stage, as doc_ids can be null or repeated.
+#: What the key of a row within a stage is called, as doc_ids can be null or repeated; longer where a column has the name.
 ROW = "tabloom_row"
 
 
@@ -35,13 +35,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     are not, and rows without a doc_id are linked too, but stay only if none of their group has one. Texts without words
     are copies of nothing.
     """
-    rows = cut(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
-    near = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"), percent=80).select(F.col("doc_id").alias(ROW), "component_id")
-    members = cut(near.join(rows.select(ROW, "doc_id"), ROW), "near-rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW))[ROW]
+    key = ROW
+    while key in docs.columns:
+        key += "_"
+    rows = cut(docs.withColumn(key, F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows.select(F.col(key).alias("doc_id"), "text"), percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    members = cut(near.join(rows.select(F.col(key).alias("row"), "doc_id"), "row"), "near-rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))["row"]
     groups = cut(members.groupBy("component_id").agg(first.alias("stays"), F.count("*").alias("n")).filter("n > 1").select("component_id", "stays"), "near-groups")
-    gone = cut(members.join(narrow(groups, groups.count()), "component_id").filter(F.col(ROW) != F.col("stays")).select(F.col(ROW).alias("gone")), "near-copies")
-    return rows.join(narrow(gone, gone.count()), rows[ROW] == gone["gone"], "left_anti").select(*docs.columns)
+    gone = cut(members.join(narrow(groups, groups.count()), "component_id").filter(F.col("row") != F.col("stays")).select(F.col("row").alias("gone")), "near-copies")
+    return rows.join(narrow(gone, gone.count()), rows[key] == gone["gone"], "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,8 +61,13 @@ class Axes(NamedTuple):
     row_gaps: DataFrame
 
 
-def axes(base: DataFrame, other: DataFrame, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> Axes:
-    """Columns are aligned first, and rows on the columns that both sides have. stage: writes what is used again."""
+def kept(rows: DataFrame) -> DataFrame:
+    """Anchors are used several times and slim, one row for each row or column of a sheet: Spark keeps them."""
+    return rows.persist()
+
+
+def axes(base: DataFrame, other: DataFrame, stage: Callable[[DataFrame], DataFrame] = kept) -> Axes:
+    """Columns are aligned first, and rows on the columns that both sides have. stage: keeps or writes the anchors."""
     column_anchors = stage(axis(base, other, "column", "row"))
     column_gaps = gaps(column_anchors, ["sheet"])
     columns = complete(column_anchors, column_gaps, base, other, "column")
@@ -214,7 +219,7 @@ class Book(NamedTuple):
     styles: DataFrame | None = None
 
 
-def compare_workbooks(base: Book, other: Book, flags: set[str] | None = None, stage: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def compare_workbooks(base: Book, other: Book, flags: set[str] | None = None, stage: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
     """Differences of the kinds that flags ask for (all by default), with the content of inserted and removed areas."""
     flags = set(FLAGS) if flags is None else flags
     if flags - set(FLAGS):

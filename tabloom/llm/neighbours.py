@@ -156,6 +156,36 @@ def fit(x: np.ndarray, parts: int, k: int, aim: float = AIM, seed: int = 3, epoc
     return router
 
 
+def top(x: np.ndarray, ids: np.ndarray, y: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of y, id, score) of the k vectors of x (their ids ascend) with the largest inner product with each row of y.
+
+    A few more than k are picked by the matrix product and scored again one by one, as equal vectors must have equal
+    scores for ties to go to the smaller id; rows with more near-ties than that are gone through apart.
+    """
+    scores = y @ x.T
+    at = np.minimum(np.searchsorted(ids, own), len(ids) - 1)
+    mine = ids[at] == own
+    scores[np.flatnonzero(mine), at[mine]] = -np.inf
+    n, m = min(k, len(ids)), min(k + 12, len(ids))
+    near = np.argpartition(-scores, m - 1, axis=1)[:, :m]
+    best = np.sort(np.take_along_axis(scores, near, 1), axis=1)[:, ::-1]
+    cutoff = best[:, n - 1]
+    low = cutoff - 1e-12 * np.maximum(1.0, np.abs(np.where(np.isfinite(cutoff), cutoff, 0)))
+    tied = np.flatnonzero((best[:, -1] >= low) & np.isfinite(cutoff)) if m < len(ids) else np.zeros(0, np.int64)
+    exact = (x[near] * y[:, None, :]).sum(2)
+    exact[~np.isfinite(np.take_along_axis(scores, near, 1))] = -np.inf
+    order = np.lexsort((ids[near], -exact), axis=1)[:, :n]
+    found, value = np.take_along_axis(ids[near], order, 1), np.take_along_axis(exact, order, 1)
+    for i in tied:
+        all_near = np.flatnonzero(scores[i] >= low[i])
+        again = (x[all_near] * y[i]).sum(1)
+        first = np.lexsort((ids[all_near], -again))[:n]
+        found[i], value[i] = ids[all_near][first], again[first]
+    rows = np.repeat(np.arange(len(y)), n)
+    keep = np.isfinite(value.ravel())
+    return rows[keep], found.ravel()[keep], value.ravel()[keep]
+
+
 def usable(rows: DataFrame, query: Column) -> DataFrame:
     """vec_id, is_query, v (little-endian bytes) of the vectors that take part, one row per vec_id."""
     kind = rows.schema["embedding"].dataType.elementType.simpleString()
@@ -234,18 +264,10 @@ def nearest(rows: DataFrame, query: Column | None = None, k: int = 20, parts: in
         for at in range(0, len(qs), 64):
             some = qs.iloc[at : at + 64]
             y = np.frombuffer(b"".join(some["qv"]), dtype).reshape(-1, dims).astype(np.float64)
-            scores = y @ x.T
-            for own, vector, s, n_searched in zip(some["query_id"].to_numpy(), y, scores, some["searched"].to_numpy(), strict=True):
-                s = np.where(ids == own, -np.inf, s)
-                n = min(k, len(s))
-                cutoff = np.partition(s, len(s) - n)[len(s) - n]
-                slack = 1e-12 * max(1.0, abs(cutoff)) if np.isfinite(cutoff) else 0
-                near = np.flatnonzero((s >= cutoff - slack) & (s > -np.inf))
-                # Scored again one by one: equal vectors then have equal scores.
-                exact = (x[near] * vector).sum(1)
-                top = np.lexsort((ids[near], -exact))[:k]
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids[near][top], "score": exact[top], "searched": n_searched}))
-        return pd.concat(out) if out else empty
+            own = some["query_id"].to_numpy()
+            rows, found, exact = top(x, ids, y, own, k)
+            out.append(pd.DataFrame({"query_id": own[rows], "vec_id": found, "score": exact, "searched": some["searched"].to_numpy()[rows]}))
+        return pd.concat(out)
 
     key = ["part", "chunk", "block"]
     found = queries.groupBy(*key).cogroup(candidates.groupBy(*key)).applyInPandas(best, "query_id bigint, vec_id bigint, score double, searched bigint")

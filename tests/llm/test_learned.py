@@ -225,6 +225,21 @@ def test_candidates_of_long_texts(spark):
     assert [r.n > 0 for r in df.select(F.size(secrets.candidates(F.col("text"))).alias("n")).collect()] == [True, False, True, False, True, True]
 
 
+def test_top_goes_by_score_then_id():
+    """Against a sort of all, with equal vectors, few vectors and the query among them."""
+    rng = np.random.default_rng(11)
+    for n, copies in ((300, 0), (300, 90), (7, 0), (25, 20), (1, 0)):
+        x = rng.normal(size=(n, 8))
+        x[1 : 1 + copies] = x[0]
+        ids = np.sort(rng.choice(10_000, n, replace=False))
+        y, own = np.vstack([x[:5], rng.normal(size=(3, 8))]), np.concatenate([ids[:5], [-1, -2, -3]])[: len(x[:5]) + 3]
+        rows, found, scores = neighbours.top(x, ids, y, own, 20)
+        for i in range(len(y)):
+            s = (x * y[i]).sum(1)
+            want = sorted((j for j in range(n) if ids[j] != own[i]), key=lambda j: (-s[j], ids[j]))[:20]
+            assert found[rows == i].tolist() == ids[want].tolist() and np.allclose(scores[rows == i], s[want], atol=1e-12)
+
+
 def test_structured_vectors_are_searched_in_part(spark):
     """Clustered vectors: recall of 0.9 or more with less than three tenths of the vectors scored, in more parts too."""
     rng = np.random.default_rng(9)

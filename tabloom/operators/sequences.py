@@ -24,6 +24,15 @@ def range_of(value: Column, bounds: list) -> Column:
     return F.when(value.isNull() | (coarse == 0), 0).otherwise((coarse - 1) * step + fine)
 
 
+def join_groups(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """Join on a key whose nulls are a group too."""
+    other = right.select(*[F.col(k).alias(f"_{k}_right") for k in key], *[c for c in right.columns if c not in key])
+    on = F.lit(True)
+    for k in key:
+        on &= F.col(k).eqNullSafe(F.col(f"_{k}_right"))
+    return left.join(other, on, how).drop(*[f"_{k}_right" for k in key])
+
+
 def running_total(rows: DataFrame, key: list[str], order: list[str], amount: Column, name: str, range_rows: int | None = None) -> DataFrame:
     """rows with name: the sum of amount over the rows of their key up to them, in an order without ties.
 

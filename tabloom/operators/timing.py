@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sequences import overlapped, running_total
+from .sequences import join_groups, overlapped, running_total
 
 #: Fixed values of the timing model.
 SPREAD = 3.0 * 1.4826
@@ -99,7 +99,7 @@ def smoothed_rates(rows: DataFrame, key: list[str], order: list[str], rate: str
     last = latest_rows(rows.filter(F.col(rate).isNotNull()), key, order, SMOOTHED)
     entry = F.struct(*order, F.col(rate).alias("_rate"))
     means = last.groupBy(*key).agg(smoothed(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["_rate"]), alpha).alias("smoothed"))
-    return counts.join(means, key, "left")
+    return join_groups(counts, means, key, "left")
 
 
 def smoothed_etas(rows: DataFrame, key: list[str], order: list[str], remaining: str, rate: str = "rate") -> DataFrame:
@@ -167,7 +167,7 @@ def summary(rows: DataFrame, key: list[str], value: str, fraction: float = 0.95)
     n = F.col("_n")
     holds = lambda rank: (F.col("_to") > rank) & (F.col("_to") - F.col("_times") <= rank)
     at = lambda rank: F.max(F.when(holds(rank), F.col("_v")))
-    both = placed.join(total, key)
+    both = join_groups(placed, total, key)
     return both.groupBy(*key, "mean", "low", "high").agg(at(F.least(n - 1, F.floor(n * fraction))).alias("p95"), ((at(F.floor((n - 1) / 2)) + at(F.floor(n / 2))) / 2).alias("median")).select(*key, "p95", "median", "mean", "low", "high")
 
 

@@ -146,3 +146,31 @@ def test_options_of_a_comparison(spark):
     flags = {"value", "row_height"}
     got = {(r.category, r.location, r.details) for r in X.compare_workbooks(a, b, flags, stage).collect()}
     assert got == {x for x in every if x[0] in [c for f in flags for c in X.FLAGS[f]]} and len(got) == 2
+
+
+def test_running_totals_and_overlaps_over_many_ranges(spark, monkeypatch):
+    """Many ranges and blocks, a hot key, null keys and null order values: the same as one window per key."""
+    rng = random.Random(3)
+    rows = [("hot" if i % 3 else rng.choice(["a", "b", None]), rng.choice([None, *range(60)]), i, rng.random()) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, at int, id int, v double").repartition(5)
+    got = {r.id: r.total for r in S.running_total(df, ["k"], ["at", "id"], F.col("id"), "total", 40).collect()}
+    want, sums = {}, {}
+    for k, at, i, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        sums[k] = sums.get(k, 0) + i
+        want[i] = sums[k]
+    assert got == want
+    texts = df.select(F.concat(F.lit("t"), F.lpad(F.col("id").cast("string"), 4, "0")).alias("t"))
+    assert [r.n for r in S.running_total(texts, [], ["t"], F.lit(1), "n", 50).orderBy("t").collect()] == list(range(1, 901))
+    monkeypatch.setattr(S, "BLOCK", 32)
+    monkeypatch.setattr(S, "RANGE_ROWS", 70)
+    got = {r.id: r.robust for r in M.rolling(df, ["k"], ["id"], "v", 20, M.mean_of).collect()}
+    last = {}
+    for k, _, i, v in rows:
+        last.setdefault(k, []).append(v)
+        assert abs(got[i] - sum(last[k][-20:]) / len(last[k][-20:])) < 1e-9
+    summary = {r.k: (r.p95, r.median, r.low, r.high) for r in M.summary(df, ["k"], "v").collect()}
+    for k, vs in last.items():
+        vs = sorted(vs)
+        n = len(vs)
+        want_k = (vs[min(n - 1, int(n * 0.95))], (vs[(n - 1) // 2] + vs[n // 2]) / 2, vs[0], vs[-1])
+        assert all(abs(a - b) < 1e-12 for a, b in zip(summary[k], want_k, strict=True))

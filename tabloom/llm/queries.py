@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, near_dups
+from . import filter_audit, lexical, mixing, near_dups
 
 
 def tokenizer_path(name: str) -> str:
@@ -80,5 +80,19 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_neighbours, op3_fingerprints, op4_quality, op5_token_files, op6_mixing, op7_toxicity, op8_near_dups, op9_token_counts, op10_bpe)}
-ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op8_near_dups": near_dups.ORACLE}
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secrets, op2_neighbours, op3_fingerprints, op4_quality, op5_token_files, op6_mixing, op7_toxicity, op8_near_dups, op9_token_counts, op10_bpe, op11_lexical, op12_packing, op13_filter_audit)}
+ORACLES: dict[str, str] = {"op6_mixing": mixing.ORACLE, "op8_near_dups": near_dups.ORACLE, "op11_lexical": lexical.ORACLE, "op13_filter_audit": filter_audit.ORACLE}

@@ -10,7 +10,7 @@ import datetime as dt
 import json
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables with their columns, keys and permitted values.
@@ -25,6 +25,7 @@ SCHEMAS = {
     "version_catalog_state": "identity string, last_current_id string, versions bigint, status string",
     "runtime_profile": "identity string, slots bigint, prefetch bigint, rate double, confidence string",
     "slot_preference": "identity string, slots bigint",
+    "pending_version": "workbook_id bigint, version_id string",
     "runtime_benchmark": "identity string, slots bigint, rate double, prefetch bigint, kind string, completed boolean, comparable boolean, tasks bigint",
 }
 KEYS = {"workbook": ["site_id", "drive_id", "item_id"], "checkpoint": ["workbook_id"], "run": ["code"], "pair": ["workbook_id", "previous_id", "current_id"], "change": ["workbook_id", "previous_id", "current_id", "sheet", "address"], "version_catalog": ["identity", "version_id"], "version_catalog_state": ["identity"], "runtime_profile": ["identity"], "slot_preference": ["identity"]}
@@ -72,8 +73,8 @@ def run_code(at: dt.datetime) -> str:
 
 
 def authoritative(pair: DataFrame) -> DataFrame:
-    """Pairs that are done: a final status and a digest of 64 digits. They are never written again."""
-    return pair.filter(F.col("status").isin(*FINAL) & (F.length("digest") == 64))
+    """Pairs that are done: a final status and a digest of 64 digits that is not all zeros. They are never written again."""
+    return pair.filter(F.col("status").isin(*FINAL) & F.col("digest").rlike("^(?!0{64})[0-9a-fA-F]{64}$"))
 
 
 class Trail:
@@ -159,9 +160,19 @@ class Trail:
         self.append("change", self.stage(changes).join(new.select(*KEYS["pair"]), KEYS["pair"], "left_semi"))
         self.append("pair", new)
         if checkpoint is not None:
-            self.replace("checkpoint", upsert(self.read("checkpoint"), self._typed("checkpoint", checkpoint), ["workbook_id"]))
+            self.move_checkpoint(checkpoint)
         return new
 
+    def move_checkpoint(self, to: DataFrame) -> None:
+        """Write the checkpoints that are beyond the stored ones in numeric order; none is moved back."""
+        from ..functions.text import sqlite_integer
+
+        number = sqlite_integer(F.col("version_id"))
+        stored = self.read("checkpoint").select("workbook_id", number.alias("_at"))
+        ahead = to.join(stored, "workbook_id", "left").filter(F.col("_at").isNull() | (number > F.col("_at"))).drop("_at")
+        if ahead.head(1):
+            self.replace("checkpoint", upsert(self.read("checkpoint"), self._typed("checkpoint", ahead), ["workbook_id"]))
+
     def integrity(self) -> DataFrame:
         """table, problem, n: orphans and duplicate keys; no rows if all is well."""
         out = []
@@ -273,14 +284,3 @@ class Trail:
         for x in (per("pair", F.count("*").alias("pairs")), per("change", F.count("*").alias("changes")), per("run", F.max("finished_at").alias("last_run")), self.read("checkpoint").select("workbook_id", "version_id")):
             out = out.join(x, "workbook_id", "left")
         return out.withColumns({"pairs": F.coalesce("pairs", F.lit(0)), "changes": F.coalesce("changes", F.lit(0))})
-
-
-def last_checkpoint(pairs: DataFrame) -> DataFrame:
-    """workbook_id, version_id: the current version of each workbook's last pair in numeric order."""
-    from ..functions.text import sqlite_integer
-
-    return pairs.groupBy("workbook_id").agg(F.max_by("current_id", sqlite_integer(F.col("current_id"))).alias("version_id"))
-
-
-def numbered(rows: DataFrame, key: list[str], order: str, name: str, start: int = 0) -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*key).orderBy(order)) + start)

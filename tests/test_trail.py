@@ -136,3 +136,57 @@ def test_a_replacement_that_broke_off_leaves_the_old_table(spark, trail):
     assert trail.read("pair").count() == 1
     trail.initialise()
     assert fs.exists(path) and trail.read("pair").count() == 1
+
+
+def test_a_pair_waits_for_its_content(spark, trail):
+    """A version that is not loaded yet makes no deletions: its pairs stay open, with an error, until its cells are there."""
+    cells = content(spark)
+    assert ST.audit(versions(spark, "1", "2", "10"), cells.filter("version_id <> '2'"), trail, run_id=5).count() == 0
+    assert trail.read("pair").count() == 0 and trail.read("checkpoint").count() == 0
+    assert sorted((r.run_id, r.stage, r.message.split(": ")[1]) for r in trail.read("error").collect()) == [(5, "content", "1 -> 2"), (5, "content", "2 -> 10")]
+    assert ST.audit(versions(spark, "1", "2", "10"), cells, trail).count() == 2
+    assert {r.change_type for r in trail.changes().collect()} == {"ADD", "MOD"} and trail.read("checkpoint").head().version_id == "10"
+
+
+def test_an_empty_workbook_is_not_one_that_is_not_loaded(spark, trail):
+    loaded = spark.createDataFrame([(1, "1", "a" * 64), (1, "2", "b" * 64)], "workbook_id bigint, version_id string, digest string")
+    assert ST.audit(versions(spark, "1", "2", "10"), content(spark).filter("version_id = '1'"), trail, digests=loaded).count() == 1
+    assert {r.change_type for r in trail.changes().collect()} == {"DEL"} and trail.read("checkpoint").head().version_id == "2"
+
+
+def test_a_checkpoint_moves_over_done_pairs_only_and_never_back(spark, trail):
+    cells = spark.createDataFrame([(1, str(v), "s", 1, 1, f"t{v}", f"str:t{v}") for v in (1, 2, 3, 4, 5, 6)], ST.CELLS)
+    at = lambda: [r.version_id for r in trail.read("checkpoint").collect()]
+    ST.audit(versions(spark, "1", "2", "3", "4", "5"), cells.filter("version_id <> '4'"), trail)
+    assert at() == ["3"]
+    ST.audit(versions(spark, "1", "2"), cells, trail)  # an older listing
+    assert at() == ["3"]
+    ST.audit(versions(spark, "5", "6"), cells, trail)  # a listing with a gap after the checkpoint
+    assert at() == ["3"] and trail.read("pair").filter("current_id = '6'").count() == 1
+    ST.audit(versions(spark, "3", "4", "5", "6"), cells, trail)
+    assert at() == ["6"]
+    trail.move_checkpoint(spark.createDataFrame([(1, "2"), (2, "1")], ST.VERSIONS))
+    assert sorted(at()) == ["1", "6"]
+
+
+def test_a_made_up_digest_is_not_final(spark, trail):
+    from tabloom.plans.trail import authoritative
+
+    rows = spark.createDataFrame([("PROCESSADA", d) for d in ("0" * 64, "x" * 64, "a" * 63, "0" * 63 + "1", None)] + [("EM_ANDAMENTO", "a" * 64)], "status string, digest string")
+    assert [r.digest for r in authoritative(rows).collect()] == ["0" * 63 + "1"]
+
+
+def test_a_stream_tries_versions_without_content_again(spark, trail, tmp_path):
+    source = str(tmp_path / "in")
+    table = str(tmp_path / "cells")
+    cells = spark.createDataFrame([(1, str(v), "s", 1, 1, f"t{v}", f"str:t{v}") for v in (1, 2, 3, 4)], ST.CELLS)
+    cells.filter("version_id in ('1', '3')").write.parquet(table)
+    run = lambda: ST.start(spark.readStream.schema(ST.VERSIONS).parquet(source), spark.read.schema(ST.CELLS).parquet(table), trail, str(tmp_path / "ck")).awaitTermination(120)
+    versions(spark, "1", "2", "3").write.parquet(source)
+    run()
+    assert trail.read("pair").count() == 0 and trail.read("pending_version").count() == 3
+    cells.filter("version_id in ('2', '4')").write.mode("append").parquet(table)
+    versions(spark, "4").write.mode("append").parquet(source)
+    run()
+    assert sorted((r.previous_id, r.current_id) for r in trail.read("pair").collect()) == [("1", "2"), ("2", "3"), ("3", "4")]
+    assert trail.read("pending_version").count() == 0 and trail.read("checkpoint").head().version_id == "4"

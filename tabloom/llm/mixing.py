@@ -9,9 +9,11 @@ after SLOTS slots: one period is made, and block j of a source goes to slot (j d
 
 When a source ends, its slots stay empty and the others go on in their proportions; no row is left out or repeated.
 
-Quotas: one slot for each source, the rest by weight, by largest remainder. A period has SLOTS slots, or four times the
-sources if that is more. Without given weights a source weighs the whole part of the square root of its characters. No
-source is one group in one task: its order is dealt by digest prefixes, whose totals give the characters before each.
+Quotas: one slot for each source with a weight, the rest by weight, by largest remainder. A period has SLOTS slots, or
+EACH times these sources if that is more, so shares differ from the weights by 1/EACH of the whole at most. Sources with
+the weight 0, given or not, come after all others, in the order of their blocks. Without given weights a source weighs the
+whole part of the square root of its characters. No source is one group in one task: its order is dealt by digest
+prefixes, whose totals give the characters before each.
 
 Sources of equal quota have equal releases and deadlines and so take turns: the schedule is folded over the distinct
 quotas, of which there are at most the square root of twice the slots. It is one row of a number per source and slot.
@@ -19,8 +21,9 @@ quotas, of which there are at most the square root of twice the slots. It is one
 Defined results: a null source is a source of its own and sorts first; null and empty texts count as one character; a
 null doc_id has an empty digest, and such rows are dealt by a digest of their text; equal doc_ids share a digest and are
 ordered by length;
-a document longer than a block fills the following blocks too; sources without a given weight weigh nothing beyond their
-one slot; an empty table gives no rows.
+a document longer than a block fills the following blocks too, so that source is ahead by its length then; if no source
+has a weight, all weigh the same; blocks of sources with the weight 0 have slots from LAST on and no release or deadline;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,9 @@ from pyspark.sql import functions as F
 from .common import cut, narrow
 
 BLOCK_CHARS = 1 << 16
-SLOTS = 1024
+SLOTS, EACH = 1024, 64
+#: The first slot of sources that weigh nothing.
+LAST = 1 << 60
 #: Rows of a source under one digest prefix, about.
 PREFIX_ROWS = 4096
 #: Slots of one inner fold: their list is copied for each slot, the list of these lists only once for each.
@@ -50,9 +55,11 @@ def quotas(sizes: DataFrame, weights: dict[str | None, int] | None = None, slots
         given = F.create_map(*[x for k, v in weights.items() for x in (F.lit("" if k is None else f"={k}"), F.lit(int(v)).cast("bigint"))]) if weights else F.create_map().cast("map<string,bigint>")
         weight = F.coalesce(given[F.col("key")], F.lit(0)).cast("bigint")
     every = sizes.select("key", weight.alias("weight")).agg(F.array_sort(F.collect_list(F.struct("key", "weight"))).alias("all"))
+    heavy = F.filter("all", lambda x: x["weight"] > 0)
+    every = every.select(F.when(F.size(heavy) > 0, heavy).otherwise(F.col("all")).alias("all"))
     n = F.size("all")
     total = F.aggregate("all", F.lit(0).cast("bigint"), lambda a, x: a + x["weight"])
-    every = every.select("all", F.greatest(F.lit(slots), 4 * n).cast("bigint").alias("slots"), n.cast("bigint").alias("n"), total.alias("total"))
+    every = every.select("all", F.greatest(F.lit(slots), EACH * n).cast("bigint").alias("slots"), n.cast("bigint").alias("n"), total.alias("total"))
     # If no source weighs anything, all weigh the same.
     share = lambda x: F.when(F.col("total") > 0, x["weight"]).otherwise(F.lit(1).cast("bigint")) * (F.col("slots") - F.col("n"))
     of = F.when(F.col("total") > 0, F.col("total")).otherwise(F.col("n"))
@@ -131,7 +138,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_c
     plan = cut(period(quotas(totals.groupBy("key").agg(F.sum("chars").alias("chars")), weights, slots)), "mixing-plan")
     quota = plan.groupBy("key").agg(F.first("quota").alias("quota"), F.first("slots").alias("slots"), F.map_from_entries(F.collect_list(F.struct("nth", "slot"))).alias("places"))
     # One row per source, of as many entries in all as there are slots.
-    out = placed.join(narrow(quota, plan.count()), "key")
+    out = placed.join(narrow(quota, plan.count()), "key", "left")
     j, p, q = F.col("block"), F.col("quota"), F.col("slots")
     return out.select(
         "row",
@@ -139,7 +146,7 @@ def mixed(docs: DataFrame, weights: dict[str | None, int] | None = None, block_c
         "block",
         F.floor(j * q / p).alias("release"),
         F.ceil((j + 1) * q / p).alias("deadline"),
-        (F.floor(j / p) * q + F.col("places")[F.pmod(j, p)]).alias("slot"),
+        F.coalesce(F.floor(j / p) * q + F.col("places")[F.pmod(j, p)], F.lit(LAST) + j).alias("slot"),
     )
 
 
@@ -154,7 +161,7 @@ WITH RECURSIVE d AS (
 ), b AS (
   SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY key ORDER BY digest, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // 65536 AS block FROM d
 ), w AS (SELECT key, CAST(floor(sqrt(sum(size))) AS BIGINT) AS weight FROM d GROUP BY key),
-k AS (SELECT count(*) AS n, sum(weight)::BIGINT AS total, greatest(1024, 4 * count(*)) AS slots FROM w),
+k AS (SELECT count(*) AS n, sum(weight)::BIGINT AS total, greatest(1024, 64 * count(*)) AS slots FROM w),
 p AS (SELECT key, 1 + weight * (slots - n) // total AS base, weight * (slots - n) % total AS rest FROM w, k),
 q AS (SELECT key, base + CASE WHEN row_number() OVER (ORDER BY rest DESC, key) <= (SELECT slots FROM k) - (SELECT sum(base) FROM p) THEN 1 ELSE 0 END AS quota FROM p),
 a AS (SELECT list(key ORDER BY key) AS keys, list(CAST(quota AS BIGINT) ORDER BY key) AS ps, any_value(slots) AS slots FROM q, k),

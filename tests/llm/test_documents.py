@@ -151,16 +151,16 @@ def brute_schedule(quotas, slots):
 
 def test_schedule_keeps_within_a_block(spark):
     sizes = spark.createDataFrame([("", 5), ("=a", 900), ("=b", 40_000), ("=c", 7)], "key string, chars bigint")
-    row = mixing.quotas(sizes, slots=64).head()
+    row = mixing.quotas(sizes, slots=256).head()
     quotas = dict(zip(row.sources, row.quotas, strict=True))
-    assert sum(quotas.values()) == row.slots == 64 and min(quotas.values()) >= 1
-    made = [r.key for r in mixing.period(mixing.quotas(sizes, slots=64)).orderBy("slot").collect()]
-    assert made == brute_schedule(quotas, 64)
+    assert sum(quotas.values()) == row.slots == 256 and min(quotas.values()) >= 1
+    made = [r.key for r in mixing.period(mixing.quotas(sizes, slots=256)).orderBy("slot").collect()]
+    assert made == brute_schedule(quotas, 256)
     for s, p in quotas.items():
-        for t in range(65):
-            assert abs(made[:t].count(s) - p * t / 64) < 1
-    given = mixing.quotas(sizes, {"a": 3, "b": 1}, 64).head()
-    assert dict(zip(given.sources, given.quotas, strict=True)) == {"": 1, "=a": 46, "=b": 16, "=c": 1}
+        for t in range(257):
+            assert abs(made[:t].count(s) - p * t / 256) < 1
+    given = mixing.quotas(sizes, {"a": 3, "b": 1}, 256).head()
+    assert dict(zip(given.sources, given.quotas, strict=True)) == {"=a": 192, "=b": 64}
 
 
 def test_schedule_of_many_sources(spark):
@@ -169,7 +169,35 @@ def test_schedule_of_many_sources(spark):
     row = mixing.quotas(sizes, slots=600).head()
     quotas = dict(zip(row.sources, row.quotas, strict=True))
     made = [r.key for r in mixing.period(mixing.quotas(sizes, slots=600)).orderBy("slot").collect()]
-    assert sum(quotas.values()) == row.slots == 600 and made == brute_schedule(quotas, 600)
+    assert sum(quotas.values()) == row.slots == 64 * 90 and made == brute_schedule(quotas, row.slots)
+
+
+def test_shares_are_the_weights(spark):
+    """Against the weights, not the quotas: many sources, those without a weight, and what each prefix of the mixture holds."""
+    sizes = spark.createDataFrame([(f"={n:03d}", 10) for n in range(300)], "key string, chars bigint")
+    one = mixing.quotas(sizes, {"007": 5}).head()
+    assert (one.sources, one.quotas, one.slots) == (["=007"], [1024], 1024)
+    weights = {f"{n:03d}": n + 1 for n in range(200)}
+    row = mixing.quotas(sizes, weights).head()
+    total = sum(weights.values())
+    off = [p / row.slots - weights[s[1:]] / total for s, p in zip(row.sources, row.quotas, strict=True)]
+    assert len(off) == 200 and sum(map(abs, off)) / 2 <= 1 / mixing.EACH
+    docs = spark.createDataFrame([(i, "x" * 10, f"s{i % 4}") for i in range(4000)], "doc_id bigint, text string, source string")
+    rows = sorted((r.slot, r.digest, r.row.source) for r in mixing.mixed(docs, {"s0": 6, "s1": 3, "s2": 1}, block_chars=100).collect())
+    order = [s for _, _, s in rows]
+    assert len(order) == 4000 and set(order[3000:]) >= {"s3"} and "s3" not in order[: order.index("s3")]
+    assert order.index("s3") == 3000 and rows[3000][0] >= mixing.LAST
+    for t in range(100, 1600, 100):  # until s0 ends
+        for s, share in (("s0", 0.6), ("s1", 0.3), ("s2", 0.1)):
+            assert abs(order[:t].count(s) - share * t) < 10 + 0.002 * t  # less than a block of ten documents, and the quotas' rounding
+
+
+def test_a_document_longer_than_a_block(spark):
+    docs = spark.createDataFrame([(i, "x" * (1000 if i == 3 else 10), "ab"[i % 2]) for i in range(60)], "doc_id bigint, text string, source string")
+    rows = mixing.mixed(docs, block_chars=100).collect()
+    after = [r for r in rows if r.row.source == "b"]
+    long = next(r for r in after if r.row.doc_id == 3)
+    assert len(rows) == 60 and all(r.block >= long.block + 9 for r in after if r.digest > long.digest)
 
 
 def test_mixed(docs, empty):

@@ -15,6 +15,7 @@ import re
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,6 @@ ROWS = "path string, sheet string, row_key string, row_sha string, cells bigint,
 SHEETS = "path string, sheet string, position bigint, state string, sheet_sha string, cells bigint"
 #: Number formats that show dates or times, by their ids.
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
-_LOCAL = re.compile(r"^\{[^}]*\}")
 _ADDRESS = re.compile(r"^([A-Z]+)([1-9][0-9]*)$")
 
 
@@ -36,9 +36,10 @@ class NotAWorkbook(ValueError):
 
 
 def local(tag: str) -> str:
-    return _LOCAL.sub("", tag)
+    return tag[tag.rfind("}") + 1 :]
 
 
+@lru_cache(1 << 14)
 def column_index(letters: str) -> int:
     n = 0
     for c in letters:
@@ -141,10 +142,26 @@ class Workbook:
             h.update(hashlib.sha256(self._part(name) or b"missing").digest())
         return h.hexdigest()
 
+    def string(self, i: int) -> str:
+        if not 0 <= i < len(self.strings):
+            raise NotAWorkbook(f"no shared string {i}")
+        return self.strings[i]
+
+    def is_date(self, style: int) -> bool:
+        return style < len(self.dates) and self.dates[style]
+
     def value(self, cell: ET.Element, address: str, masters: dict) -> tuple[str, object] | None:
         """(kind, value) of a cell, or None if it is empty."""
-        parts = {local(e.tag): e for e in cell}
-        f, v, inline, kind = parts.get("f"), parts.get("v"), parts.get("is"), cell.get("t", "n")
+        f = v = inline = None
+        for e in cell:
+            name = local(e.tag)
+            if name == "v":
+                v = e
+            elif name == "f":
+                f = e
+            elif name == "is":
+                inline = e
+        kind = cell.get("t", "n")
         if f is not None:
             return "str", self._formula(f, address, masters)
         if kind == "inlineStr":
@@ -154,10 +171,7 @@ class Workbook:
         if raw is None:
             return None
         if kind == "s":
-            i = int(raw)
-            if not 0 <= i < len(self.strings):
-                raise NotAWorkbook(f"no shared string {i}")
-            return "str", self.strings[i]
+            return "str", self.string(int(raw))
         if kind == "b":
             return "bool", raw == "1"
         if kind in ("str", "e"):
@@ -166,8 +180,7 @@ class Workbook:
             when = dt.datetime.fromisoformat(raw)
             return "datetime", when
         number = float(raw) if any(c in raw for c in ".eE") else int(raw)
-        style = int(cell.get("s", 0))
-        if style < len(self.dates) and self.dates[style]:
+        if self.is_date(int(cell.get("s", 0))):
             return from_serial(float(number), self.epoch_1904)
         return "num", number
 
@@ -186,28 +199,33 @@ class Workbook:
                 text = shift_formula(master, origin, address)
         return "=" + text
 
-    def rows(self, part: str) -> Iterator[tuple[int, ET.Element, bytes]]:
-        """(row number, element, its XML) in order, one row in memory at a time."""
+    def rows(self, part: str) -> Iterator[tuple[int, ET.Element]]:
+        """(row number, element) in order, one row in memory at a time."""
         number = 0
         with self.zip.open(part) as f:
             for _, e in ET.iterparse(f, events=("end",)):
-                if local(e.tag) == "row":
+                if e.tag.endswith("row") and local(e.tag) == "row":
                     number = int(e.get("r", number + 1))
-                    yield number, e, ET.tostring(e)
+                    yield number, e
                     e.clear()
 
+    def row_cells(self, row: ET.Element, masters: dict) -> Iterator[tuple[int, str, str, object, int]]:
+        """column, address, kind, value, style of each cell of a row with a value."""
+        column = 0
+        for cell in row:
+            address = cell.get("r")
+            m = _ADDRESS.match(address.upper()) if address else None
+            column = column_index(m[1]) if m else column + 1
+            found = self.value(cell, address or "", masters)
+            if found is not None:
+                yield column, address, *found, int(cell.get("s", 0))
+
     def cells(self, part: str) -> Iterator[tuple[int, int, str, str, object, int]]:
         """row, column, address, kind, value, style of each cell with a value."""
         masters: dict = {}
-        for number, row, _ in self.rows(part):
-            column = 0
-            for cell in row:
-                address = cell.get("r")
-                m = _ADDRESS.match(address.upper()) if address else None
-                column = column_index(m[1]) if m else column + 1
-                found = self.value(cell, address or "", masters)
-                if found is not None:
-                    yield number, column, address, *found, int(cell.get("s", 0))
+        for number, row in self.rows(part):
+            for cell in self.row_cells(row, masters):
+                yield number, *cell
 
 
 def cells_of(path: str, content: bytes) -> Iterator[tuple]:
@@ -223,7 +241,8 @@ def row_index(path: str, content: bytes) -> Iterator[tuple]:
     deps = book.dependencies()
     for sheet, part, _ in book.sheets:
         seen: dict[int, int] = {}
-        for number, row, xml in book.rows(part):
+        for number, row in book.rows(part):
+            xml = ET.tostring(row)
             ordinal = seen.get(number, 0)
             seen[number] = ordinal + 1
             shared = any(local(f.tag) == "f" and f.get("t") == "shared" for c in row for f in c)
@@ -367,7 +386,7 @@ def styles_of(path: str, content: bytes) -> Iterator[tuple]:
         parts |= {local(c.tag): _json(dict(c.attrib)) for c in xf if local(c.tag) in ("alignment", "protection")}
         known.append(parts)
     for sheet, part, _ in book.sheets:
-        for number, row, _ in book.rows(part):
+        for number, row in book.rows(part):
             for c in row:
                 style, m = int(c.get("s", 0)), _ADDRESS.match((c.get("r") or "").upper())
                 if style and m and style < len(known):

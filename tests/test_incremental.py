@@ -79,6 +79,39 @@ def test_changes_equal_those_of_full_reads(spark, tmp_path):
     assert got == want and (1, "S", 8, 1, "MOD", "3", "4") in got and (2, "S", 2, 1, "MOD", "b", "c") in got and (3, "S", 4, 1, "MOD", "=B4*2", "=B4*3") in got
 
 
+def test_rows_are_kept_by_content_and_files_read_once(spark, tmp_path, monkeypatch):
+    """New files are read once, a part that broke off is not used, and a content is parsed once however many versions have it."""
+    (tmp_path / "in").mkdir()
+    data = list(versions())
+    put = lambda i: (tmp_path / "in" / f"v{i}.xlsx").write_bytes(data[i])
+    store = I.RowStore(spark, f"file://{tmp_path}/store")
+    assert store.stored().count() == 0
+    for i in range(3):
+        put(i)
+    assert store.add(str(tmp_path / "in")) == 3 and store.add(str(tmp_path / "in")) == 0
+    I.read_stored(I.files_of(spark, str(tmp_path / "in" / "v0.xlsx"))).write.parquet(f"{tmp_path}/store/rows/part=broken")
+    for i in range(3, 6):
+        put(i)
+    monkeypatch.setattr(I, "FILES", 2)
+    assert store.add(str(tmp_path / "in")) == 3 and store.files().select("part").distinct().count() == 3
+    stored = store.stored()
+    assert stored.count() == sum(len(list(I.index_of("p", d))) for d in data)
+    chain = stored.select("path").distinct().select(F.lit(1).alias("workbook"), F.regexp_extract("path", r"v(\d)\.xlsx", 1).cast("int").alias("seq"), "path")
+    plan = I.changed_rows(stored, chain)._jdf.queryExecution().executedPlan().toString()
+    assert "binaryFile" not in plan and "xml binary" not in plan and "xml:binary" not in plan
+    got = {(r.pair, r.sheet, r.row, r.column, r.change_type, r.previous_value, r.new_value) for r in store.changes(chain).collect()}
+    cells = [spark.createDataFrame(list(X.cells_of(f"v{i}", d)), X.CELLS) for i, d in enumerate(data)]
+    want = {(i + 1, r.sheet, r.row, r.column, r.change_type, r.previous_value, r.new_value) for i in range(5) for r in snapshot_diff(cells[i], cells[i + 1]).collect()}
+    assert got == want
+    wanted = I.changed_rows(stored, chain)
+    once = I.parse_contents(stored, wanted)
+    assert once.groupBy("digest", "column").count().filter("count > 1").count() == 0 and once.select("digest").distinct().count() <= wanted.select("digest").distinct().count()
+    monkeypatch.setattr(I, "NARROW", 0)
+    assert sorted(map(str, I.parse_contents(stored, wanted).collect())) == sorted(map(str, once.collect()))
+    row = store.reuse(chain).head()
+    assert row.rows == stored.count() and 0 < row.rows_reused < row.rows and row.cells_reused < row.cells
+
+
 def test_report_is_written_and_read_again(spark, tmp_path):
     rows = [(i, None if i % 5 == 0 else f"name <{i}> & \x07", i / 4, i % 2 == 0, dt.date(2024, 1, 1)) for i in range(1, 26)]
     df = spark.createDataFrame(rows, "id bigint, name string, share double, even boolean, day date").repartition(3)

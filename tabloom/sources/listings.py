@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,13 +67,64 @@ def last_by_identity(rows: DataFrame, key: str, order: str) -> DataFrame:
     return rows.groupBy(F.lower(key).alias("_k")).agg(F.max_by(F.struct(*rest), order).alias("r")).select("r.*")
 
 
+#: What blocks() finds of a file.
+CHECKED = "file string, blocks bigint, bytes bigint, digest string, problem string"
+
+
 def blocks(chunks: DataFrame) -> DataFrame:
-    """Per file of base64 blocks (file, offset, data, size): do they follow each other, fill the size, and to what digest?"""
-    from pyspark.sql import Window
-
-    raw = chunks.withColumn("bytes", F.unbase64("data"))
-    w = Window.partitionBy("file").orderBy("offset")
-    expected = F.coalesce(F.lag("offset").over(w) + F.octet_length(F.lag("bytes").over(w)), F.lit(0))
-    per = raw.withColumn("follows", F.col("offset") == expected).groupBy("file")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("offset", F.hex("bytes").alias("h")))), lambda x: x["h"]), "")
-    return per.agg(F.bool_and("follows").alias("ordered"), (F.sum(F.octet_length("bytes")) == F.max("size")).alias("complete"), F.sha2(F.unhex(whole), 256).alias("digest"))
+    """CHECKED of files in base64 blocks (file, offset, data, size): do the blocks follow each other and fill the size?
+
+    A file's blocks come to a task in the order of their offsets, sorted on disk if need be, and its digest is carried from
+    block to block: in memory is what Spark hands over at once (spark.sql.execution.arrow.maxBytesPerBatch). The first of
+    these is a file's problem: a block that isn't base64, a gap, an overlap (a block sent twice is one), blocks that tell
+    different sizes, bytes that are missing or too many. The digest is null then. A file without a block has no row.
+    """
+    rows = chunks.select("file", F.col("offset").cast("bigint").alias("offset"), F.try_to_binary("data", F.lit("base64")).alias("data"), F.col("size").cast("bigint").alias("size"))
+    return rows.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(_carry, CHECKED)
+
+
+def _carry(batches):
+    file, known = None, False
+    held: list[tuple] = []
+
+    def begin(name, size):
+        nonlocal file, known, n, at, total, problem, digest
+        file, known, n, at, total, problem, digest = name, True, 0, 0, size, None, hashlib.sha256()
+
+    def end():
+        last = problem or ("bytes are missing" if total is None or at < total else "too many bytes" if at > total else None)
+        held.append((file, n, at, None if last else digest.hexdigest(), last))
+
+    n = at = 0
+    total = problem = digest = None
+    for batch in batches:
+        names, offsets, sizes, data = (batch.column(c) for c in ("file", "offset", "size", "data"))
+        for i in range(batch.num_rows):
+            name, offset, size = names[i].as_py(), offsets[i].as_py(), sizes[i].as_py()
+            if not known or name != file:
+                if known:
+                    end()
+                begin(name, size)
+            n += 1
+            if problem is None:
+                block = data[i].as_buffer() if data[i].is_valid else None
+                if block is None or offset is None:
+                    problem = "not a block"
+                elif size != total:
+                    problem = "sizes differ"
+                elif offset != at:
+                    problem = "gap" if offset > at else "overlap"
+                else:
+                    digest.update(block)
+                    at += len(block)
+        if held:
+            yield _checked(held)
+            held = []
+    if known:
+        end()
+        yield _checked(held)
+
+
+def _checked(rows: list[tuple]) -> pa.RecordBatch:
+    types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.split(" ")[0] for f in CHECKED.split(", ")])

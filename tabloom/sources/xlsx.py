@@ -325,8 +325,9 @@ class _XlsxReader(DataSourceReader):
         return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        with open(partition.value, "rb") as f:
-            yield from cells_of(partition.value, f.read())
+        from .history import read_file
+
+        yield from cells_of(partition.value, read_file(partition.value))
 
 
 LAYOUT = "path string, sheet string, item string, first bigint, last bigint, ref string, value string"

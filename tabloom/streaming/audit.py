@@ -12,6 +12,8 @@ them again with its next batch. A checkpoint moves over pairs that are done, fro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -24,6 +26,8 @@ from ..plans.catalog import Inconsistent
 from ..plans.trail import KEYS, Trail, authoritative
 
 VERSIONS = "workbook_id bigint, version_id string"
+#: A table of CELLS, or a function from versions to their CELLS and digests (columns of both, one of them null).
+Contents = DataFrame | Callable[[DataFrame], DataFrame]
 CELLS = "workbook_id bigint, version_id string, sheet string, row bigint, column bigint, text string, key string"
 
 
@@ -81,9 +85,10 @@ def reached(versions: DataFrame, trail: Trail) -> DataFrame:
     return pairs.join(opened, "workbook_id").filter(F.col("_open").isNull() | (F.col("_from") < F.col("_open"))).groupBy("workbook_id").agg(F.max_by("current_id", number("current_id")).alias("version_id"))
 
 
-def audit(versions: DataFrame, cells: DataFrame, trail: Trail, run_id: int | None = None, move_checkpoint: bool = True, digests: DataFrame | None = None) -> DataFrame:
+def audit(versions: DataFrame, cells: Contents, trail: Trail, run_id: int | None = None, move_checkpoint: bool = True, digests: DataFrame | None = None) -> DataFrame:
     """Compare and commit what is missing; gives the pairs that were written. Without move_checkpoint: an interval only.
 
+    cells: a table, or what reads the cells of versions (workbook_id, version_id) with the digests of those that are there.
     digests (workbook_id, version_id, digest): of the versions that are loaded, by their files; without it, of their
     cells. What is given back can be read until the next audit.
     """
@@ -91,9 +96,13 @@ def audit(versions: DataFrame, cells: DataFrame, trail: Trail, run_id: int | Non
     return _audit(trail.stage(versions.select("workbook_id", "version_id")), cells, trail, run_id, move_checkpoint, digests)
 
 
-def _audit(versions: DataFrame, cells: DataFrame, trail: Trail, run_id: int | None, move_checkpoint: bool = True, digests: DataFrame | None = None) -> DataFrame:
+def _audit(versions: DataFrame, cells: Contents, trail: Trail, run_id: int | None, move_checkpoint: bool = True, digests: DataFrame | None = None) -> DataFrame:
     """audit() of versions that no table of the trail is read for."""
     every = trail.stage(missing_pairs(versions, trail))
+    if callable(cells):  # read now, once, for the versions of missing pairs only
+        own = every.select("workbook_id", F.explode(F.array("previous_id", "current_id")).alias("version_id")).distinct()
+        read = trail.stage(cells(own))
+        cells, digests = read.filter("sheet is not null"), read.filter("digest is not null")
     every = trail.stage(with_content(every, content_of(every, cells, digests)))
     waiting = every.filter(~F.col("ready"))
     pairs = every.filter("ready").drop("ready")
@@ -110,14 +119,14 @@ def _audit(versions: DataFrame, cells: DataFrame, trail: Trail, run_id: int | No
     return written
 
 
-def start(versions: DataFrame, cells: DataFrame, trail: Trail, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Run the audit on a stream of versions; cells is the table that holds their contents."""
+def start(versions: DataFrame, cells: Contents, trail: Trail, checkpoint: str, available_now: bool = True) -> StreamingQuery:
+    """Run the audit on a stream of versions; cells is the table that holds their contents, or what reads them."""
 
     def batch(arrived: DataFrame, epoch: int) -> None:
         checkpoints = trail.read("checkpoint").select("workbook_id", "version_id")
         before = checkpoints.select("workbook_id", sqlite_integer(F.col("version_id")).alias("at"))
         done = authoritative(trail.read("pair")).select("workbook_id", F.explode(F.array("previous_id", "current_id")).alias("version_id")).unionByName(checkpoints).distinct()
-        # What came before without its content is tried again.
+        # What came before and is in no pair yet is tried again.
         waiting = trail.read("pending_version")
         new = arrived.select("workbook_id", "version_id").unionByName(waiting).distinct().join(done, ["workbook_id", "version_id"], "left_anti")
         if not new.head(1):
@@ -131,7 +140,9 @@ def start(versions: DataFrame, cells: DataFrame, trail: Trail, checkpoint: str,
         trail.discard_staging()
         every = trail.stage(new.unionByName(known))
         _audit(every, cells, trail, epoch)
-        left = missing_pairs(every, trail).select("workbook_id", F.explode(F.array("previous_id", "current_id")).alias("version_id")).distinct()
+        # A workbook's only version so far, and versions without content, are in no pair.
+        paired = authoritative(trail.read("pair")).select("workbook_id", F.explode(F.array("previous_id", "current_id")).alias("version_id"))
+        left = every.join(paired, ["workbook_id", "version_id"], "left_anti")
         if had or left.head(1):
             trail.replace("pending_version", trail.stage(left))
 

@@ -12,8 +12,10 @@ MASK = "[REDACTED]"
 
 
 def sqlite_integer(text: Column) -> Column:
-    """CAST(text AS INTEGER) of SQLite: the longest integer prefix after white space, else 0."""
-    return F.coalesce(F.regexp_extract(text, r"^\s*([+-]?\d+)", 1).try_cast("bigint"), F.lit(0).cast("bigint"))
+    """CAST(text AS INTEGER) of SQLite: the longest integer prefix after white space, else 0; beyond 64 bits the last that fits."""
+    digits = F.regexp_extract(text, r"^\s*([+-]?\d+)", 1)
+    beyond = F.when(digits.startswith("-"), F.expr("-9223372036854775807L - 1L")).when(digits != "", F.lit(9223372036854775807))
+    return F.coalesce(digits.try_cast("bigint"), beyond, F.lit(0).cast("bigint"))
 
 
 def nocase(text: Column) -> Column:
@@ -114,7 +116,3 @@ def version_url(site: Column, server_path: Column, version_id: Column) -> Column
     """The address of a version's content; null unless the id is digits."""
     address = F.concat(F.regexp_replace(site, "/+$", ""), F.lit("/_api/web/GetFileByServerRelativePath(decodedurl='"), odata_escape(server_path), F.lit("')/Versions("), version_id, F.lit(")/$value"))
     return F.when(version_id.rlike(r"^[0-9]+$"), address)
-
-
-def retry_word(attempts: Column, most: int = 3) -> Column:
-    return F.when(attempts <= most, "retry").otherwise("fail")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -66,8 +67,8 @@ def align(base: list[tuple[int, list[str]]], other: list[tuple[int, list[str]]])
                 continue
         found[at] = to
         i, j = i + 1, j + 1
-    shifts = [v - k for k, v in found.items() if v != k]
-    if any(shifts.count(s) > 1 for s in set(shifts)):
+    shifts = Counter(v - k for k, v in found.items() if v != k)
+    if any(n > 1 for n in shifts.values()):
         return found
     same = {p for p, _ in base} & {p for p, _ in other}
     return {p: p for p in sorted(same)}

@@ -130,19 +130,16 @@ def contiguous(rows: DataFrame, key: list[str], seq: str) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") == F.col(seq)).drop("place")
 
 
-def sheets(rows: DataFrame, order: str, per_sheet: int, span: int | None = None) -> DataFrame:
-    """rows with seq and sheet_no: row numbers in the order of a unique integer column, and the sheet of each.
+def sheets(rows: DataFrame, order: str, per_sheet: int) -> DataFrame:
+    """rows with seq and sheet_no: row numbers in the order of a unique column, and the sheet of each.
 
-    Numbers come from counts per range of the column, so no task holds all rows: span is a range's width, by default
-    the one that gives about 4096 ranges.
+    A row without a place in the order is refused. Numbers are running totals over ranges of the column that are cut at
+    sampled values, so no task holds all rows, however the values lie.
     """
-    low, high = rows.agg(F.min(order), F.max(order)).head()
-    span = span or max(1, ((high or 0) - (low or 0)) // 4096 + 1)
-    ranged = rows.withColumn("_range", F.floor((F.col(order) - F.lit(low or 0)) / span))
-    ahead = ranged.groupBy("_range").count().select("_range", F.coalesce(F.sum("count").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_ahead"))
-    numbered = ranged.withColumn("_in", F.row_number().over(Window.partitionBy("_range").orderBy(order))).join(F.broadcast(ahead) if span > 1 else ahead, "_range")
-    seq = (F.col("_in") + F.col("_ahead")).cast("bigint")
-    return numbered.withColumn("seq", seq).withColumn("sheet_no", (F.floor((F.col("seq") - 1) / per_sheet) + 1).cast("bigint")).drop("_range", "_in", "_ahead")
+    if rows.filter(F.col(order).isNull()).head(1):
+        raise ValueError(f"a row has no {order}")
+    numbered = running_total(rows, [], [order], F.lit(1).cast("bigint"), "seq")
+    return numbered.withColumn("sheet_no", (F.floor((F.col("seq") - 1) / per_sheet) + 1).cast("bigint"))
 
 
 def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -151,9 +148,9 @@ def latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.max_by(F.struct(*columns), order).alias("r")).select(*key, "r.*")
 
 
-def occurrence(rows: DataFrame, key: list[str], order: str) -> DataFrame:
+def occurrence(rows: DataFrame, key: list[str], *order: str) -> DataFrame:
     """rows with ordinal: how many rows of the key came before."""
-    return rows.withColumn("ordinal", (F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1).cast("bigint"))
+    return rows.withColumn("ordinal", (F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1).cast("bigint"))
 
 
 def first_per_class(rows: DataFrame, key: list[str], order: list[str], n: int) -> DataFrame:
@@ -180,8 +177,8 @@ def active_clock(rows: DataFrame, key: list[str], order: str, pause: str) -> Dat
     return rows.withColumn("paused", F.sum(pause).over(w))
 
 
-def state_time(rows: DataFrame, key: list[str], seconds: str, holds: str) -> DataFrame:
+def state_time(rows: DataFrame, key: list[str], order: str, seconds: str, holds: str) -> DataFrame:
     """Per key: time until the next row, summed over rows in which a state holds."""
-    w = Window.partitionBy(*key).orderBy(seconds)
+    w = Window.partitionBy(*key).orderBy(order)
     span = F.lead(seconds).over(w) - F.col(seconds)
     return rows.withColumn("span", F.when(F.col(holds), span)).groupBy(*key).agg(F.coalesce(F.sum("span"), F.lit(0)).alias("held"))

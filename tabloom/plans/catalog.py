@@ -24,6 +24,27 @@ def reconcile(history: DataFrame, current: DataFrame, key: str) -> DataFrame:
     return history.join(current.select(key), key, "left_anti").unionByName(current)
 
 
+def conflicts(history: DataFrame, current: DataFrame, key: list[str], number: str = "version_id", label: str = "label") -> DataFrame:
+    """key and problem of workbooks whose current version contradicts their history.
+
+    The same id under another label, the same label under another id, or an id that is not above all others: the current
+    version is then not put into the history.
+    """
+    own = current.select(*key, F.col(number).alias("_id"), F.col(label).alias("_label"))
+    both = history.join(own, key)
+    same_id, same_label = F.col(number) == F.col("_id"), F.col(label) == F.col("_label")
+    per = both.groupBy(*key).agg(F.bool_or(same_id & ~same_label).alias("a"), F.bool_or(~same_id & same_label).alias("b"), F.bool_or(F.col(number) > F.col("_id")).alias("c"))
+    problem = F.when(F.col("a"), "the id has another label").when(F.col("b"), "the label has another id").when(F.col("c"), "the history goes beyond it")
+    return per.select(*key, problem.alias("problem")).filter("problem is not null")
+
+
+def reconciled(history: DataFrame, current: DataFrame, key: list[str], number: str = "version_id", label: str = "label") -> DataFrame:
+    """The histories with their current versions; of a workbook with a conflict the history as it was."""
+    wrong = conflicts(history, current, key, number, label).select(*key)
+    new = current.join(wrong, key, "left_anti")
+    return history.join(new.select(*key, number), [*key, number], "left_anti").unionByName(new)
+
+
 def validation(versions: DataFrame, key: list[str], order: str, current: str) -> DataFrame:
     """Per workbook: versions, whether ids are unique and positive, how many are current, whether that is the last."""
     return versions.groupBy(*key).agg(

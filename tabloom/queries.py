@@ -178,6 +178,19 @@ def ordered_commit(spark, sf_dir):
     return S.contiguous(p.filter("pos < 4 or covered").select("user_id", "pos"), ["user_id"], "pos")
 
 
+@query(_PAIRS + "SELECT user_id, max(pos) AS committed FROM (SELECT user_id, pos, row_number() OVER (PARTITION BY user_id ORDER BY pos) AS place FROM p WHERE pos < 4 OR covered) WHERE place = pos GROUP BY 1")
+def ordered_commit_stream(spark, sf_dir):
+    """The same by a stream's state: results come as files, in the order of a hash, several to a micro-batch."""
+    from .plans.shared import new_folder
+    from .streaming.ordered import committed
+
+    folder = new_folder(spark, "results")
+    p = user_pairs(spark, sf_dir).filter("pos < 4 or covered").select("user_id", F.col("pos").alias("sequence"), F.col("covered").cast("int").alias("changes"))
+    p.repartition(16, F.xxhash64("user_id", "sequence")).write.parquet(f"{folder}/in")
+    results = spark.readStream.schema("user_id bigint, sequence bigint, changes int").option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+    return committed(spark, results, ["user_id"], "sequence", folder).groupBy("user_id").agg(F.max("sequence").alias("committed"))
+
+
 @query("WITH x AS (SELECT o_custkey, o_orderkey, o_orderkey > lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS up FROM orders) SELECT o_custkey, count(*) AS n, count(DISTINCT o_orderkey) AS distinct_values, coalesce(bool_and(up), true) AS ascending FROM x GROUP BY 1")
 def monotonic_ids(spark, sf_dir):
     """Ids that ascend strictly in the order of their dates."""
@@ -202,10 +215,7 @@ def latest_run(spark, sf_dir):
 def row_ordinal(spark, sf_dir):
     """How often a row number came before."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("double").alias("q"), F.col("l_extendedprice").cast("double").alias("x"))
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey", "l_linenumber").orderBy("l_partkey", "l_suppkey", "q", "x")
-    return li.withColumn("ordinal", (F.row_number().over(w) - 1).cast("bigint"))
+    return S.occurrence(li, ["l_orderkey", "l_linenumber"], "l_partkey", "l_suppkey", "q", "x")
 
 
 _SEQ = "WITH e AS (SELECT user_id, event_id, event_id % 37 AS v FROM events) "
@@ -235,11 +245,8 @@ def active_clock(spark, sf_dir):
 @query("WITH e AS (SELECT user_id, epoch_us(ts) // 1000000 AS s, event_id, event_type FROM events), x AS (SELECT user_id, event_type, lead(s) OVER (PARTITION BY user_id ORDER BY s, event_id) - s AS span FROM e) SELECT user_id, CAST(coalesce(sum(span) FILTER (event_type = 'view'), 0) AS BIGINT) AS held FROM x GROUP BY 1")
 def state_time(spark, sf_dir):
     """Time in which a state holds."""
-    from pyspark.sql import Window
-
-    e = seconds(spark, sf_dir)
-    span = F.lead("s").over(Window.partitionBy("user_id").orderBy("s", "event_id")) - F.col("s")
-    return e.withColumn("span", F.when(F.col("event_type") == "view", span)).groupBy("user_id").agg(F.coalesce(F.sum("span"), F.lit(0)).alias("held"))
+    e = seconds(spark, sf_dir).select("user_id", F.struct("s", "event_id").alias("at"), "s", (F.col("event_type") == "view").alias("holds"))
+    return S.state_time(e, ["user_id"], "at", "s", "holds")
 
 
 def seconds(spark, sf_dir):
@@ -343,15 +350,6 @@ def progress_curve(spark, sf_dir):
 # -- reports, stored audits, restore --------------------------------------------------------------------------------
 
 
-@query("SELECT count(DISTINCT o.o_orderkey) AS pairs, count(*) AS changes, count(*) FILTER (l.l_returnflag = 'A') AS add, count(*) FILTER (l.l_returnflag = 'N') AS mod, count(*) FILTER (l.l_returnflag = 'R') AS del, min(o.o_orderkey) AS first, max(o.o_orderkey) AS last FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey BETWEEN 100 AND 20000")
-def report_stats(spark, sf_dir):
-    """Conditional sums over changes joined with their pairs, between bounds."""
-    o = table(spark, sf_dir, "orders").filter("o_orderkey between 100 and 20000")
-    j = table(spark, sf_dir, "lineitem").join(o, F.col("l_orderkey") == F.col("o_orderkey"))
-    flag = lambda v: F.count_if(F.col("l_returnflag") == v)
-    return j.agg(F.count_distinct("o_orderkey").alias("pairs"), F.count("*").alias("changes"), flag("A").alias("add"), flag("N").alias("mod"), flag("R").alias("del"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
-
-
 @query("""WITH o AS (SELECT o_custkey, count(*) AS pairs, CAST(max(o_orderdate) AS VARCHAR) AS last FROM orders GROUP BY 1), l AS (SELECT o_custkey, count(*) AS changes FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1)
 SELECT c_custkey, c_name, coalesce(pairs, 0) AS pairs, coalesce(changes, 0) AS changes, last FROM customer LEFT JOIN o ON c_custkey = o.o_custkey LEFT JOIN l ON c_custkey = l.o_custkey""")
 def stored_audits(spark, sf_dir):
@@ -371,28 +369,17 @@ def category_histogram(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "event_type")
 
 
-@query("WITH m AS (SELECT o_orderkey, 5000000 + row_number() OVER (ORDER BY o_orderkey) AS new_id FROM orders WHERE o_custkey % 10 = 3) SELECT m.new_id AS pair_id, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN m ON l_orderkey = o_orderkey")
-def restore_remap(spark, sf_dir):
-    """Rows of a backup under new surrogate keys."""
-    from .plans.trail import remap
-
-    o = table(spark, sf_dir, "orders").filter("o_custkey % 10 = 3").select("o_orderkey")
-    ids = remap(o, "o_orderkey", 5_000_000)
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return li.join(ids, F.col("l_orderkey") == F.col("old_id")).select(F.col("new_id").alias("pair_id"), "l_linenumber", "l_partkey", "l_suppkey")
-
-
 @query("SELECT count(DISTINCT o.o_orderkey) AS pairs, count(*) AS changes, count(*) FILTER (l.l_returnflag = 'A') AS add, count(*) FILTER (l.l_returnflag = 'N') AS mod, count(*) FILTER (l.l_returnflag = 'R') AS del, min(o.o_orderkey) AS first, max(o.o_orderkey) AS last FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey")
-def report_stats_whole(spark, sf_dir):
-    """report_stats without bounds, over every order."""
+def report_stats(spark, sf_dir):
+    """Conditional sums over changes joined with their pairs."""
     j = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     flag = lambda v: F.count_if(F.col("l_returnflag") == v)
     return j.agg(F.count_distinct("o_orderkey").alias("pairs"), F.count("*").alias("changes"), flag("A").alias("add"), flag("N").alias("mod"), flag("R").alias("del"), F.min("o_orderkey").alias("first"), F.max("o_orderkey").alias("last"))
 
 
 @query("WITH m AS (SELECT o_orderkey, 5000000 + row_number() OVER (ORDER BY o_orderkey) AS new_id FROM orders) SELECT m.new_id AS pair_id, l_linenumber, l_partkey, l_suppkey FROM lineitem JOIN m ON l_orderkey = o_orderkey")
-def restore_remap_whole(spark, sf_dir):
-    """restore_remap of every order."""
+def restore_remap(spark, sf_dir):
+    """Rows of a backup under new surrogate keys."""
     from .plans.trail import remap
 
     ids = remap(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 5_000_000)
@@ -441,6 +428,57 @@ def reconcile_current(spark, sf_dir):
     return reconcile(o.filter("id % 5 <> 0"), o.agg(F.max("id").alias("id")), "id")
 
 
+@query("WITH v AS (SELECT o_custkey, o_orderkey AS id, 'v' || o_orderkey AS label FROM orders WHERE o_orderkey % 4 <> 0), l AS (SELECT o_custkey, min(label) AS least FROM v GROUP BY 1), t AS (SELECT o_custkey, max(o_orderkey) AS top FROM orders GROUP BY 1), cur AS (SELECT o_custkey, CASE WHEN o_custkey % 5 = 3 THEN top - 9 ELSE top END AS id, CASE WHEN o_custkey % 5 = 1 THEN 'other' WHEN o_custkey % 5 = 2 THEN least ELSE 'v' || (CASE WHEN o_custkey % 5 = 3 THEN top - 9 ELSE top END) END AS label FROM t LEFT JOIN l USING (o_custkey)), per AS (SELECT v.o_custkey, bool_or(v.id = cur.id AND v.label <> cur.label) AS a, bool_or(v.id <> cur.id AND v.label = cur.label) AS b, bool_or(v.id > cur.id) AS c FROM v JOIN cur ON v.o_custkey = cur.o_custkey GROUP BY 1) SELECT o_custkey, CASE WHEN a THEN 'the id has another label' WHEN b THEN 'the label has another id' ELSE 'the history goes beyond it' END AS problem FROM per WHERE a OR b OR c")
+def current_conflicts(spark, sf_dir):
+    """Current versions that contradict their history by id, label or order."""
+    from .plans.catalog import conflicts
+
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.col("o_orderkey").alias("id"), F.concat(F.lit("v"), F.col("o_orderkey")).alias("label"))
+    history, kind = o.filter("id % 4 <> 0"), F.col("o_custkey") % 5
+    top = o.groupBy("o_custkey").agg(F.max("id").alias("top")).join(history.groupBy("o_custkey").agg(F.min("label").alias("least")), "o_custkey", "left")
+    number = F.when(kind == 3, F.col("top") - 9).otherwise(F.col("top"))
+    current = top.select("o_custkey", number.alias("id"), F.when(kind == 1, "other").when(kind == 2, F.col("least")).otherwise(F.concat(F.lit("v"), number)).alias("label"))
+    return conflicts(history, current, ["o_custkey"], "id", "label")
+
+
+@query("""WITH e AS (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS n FROM orders), per AS (SELECT o_custkey AS c, count(*) AS n FROM e GROUP BY 1), k AS (SELECT c, n, (n - 1) // 5 + 1 AS pages FROM per)
+SELECT CAST(c AS VARCHAR) AS listing, CASE WHEN c % 7 = 1 AND pages > 1 THEN pages - 1 ELSE pages END AS pages, CASE WHEN c % 7 = 1 AND pages > 1 THEN n - least(5, n - 5) ELSE n END AS versions,
+CASE WHEN c % 7 = 1 AND pages > 1 THEN 'a page is missing' WHEN c % 7 = 2 AND n > 1 THEN 'an id comes twice' WHEN c % 7 = 3 THEN 'the listing changed while it was read' WHEN c % 7 = 4 THEN 'there is no watermark' END AS problem FROM k""")
+def proven_listings(spark, sf_dir):
+    """Pages of orders by customer, some with a fault, and which listings they prove to be whole."""
+    from pyspark.sql import Window
+
+    from .sources.paged import proof
+
+    c, n, w = F.col("o_custkey"), F.col("n"), Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    e = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", (F.row_number().over(w) - 1).alias("n"), F.lag("o_orderkey").over(w).alias("earlier"))
+    # Of customers with a remainder of 2 the second entry has the first one's id.
+    e = e.withColumn("id", F.when((c % 7 == 2) & (n == 1), F.col("earlier")).otherwise(F.col("o_orderkey")))
+    entry = F.struct("n", F.struct(F.col("id").alias("ID"), F.concat(F.lit("v"), F.col("id")).alias("VersionLabel")).alias("x"))
+    pages = e.groupBy("o_custkey", F.floor(n / 5).alias("p")).agg(F.array_sort(F.collect_list(entry)).alias("all")).join(e.groupBy("o_custkey").agg((F.floor(F.max("n") / 5)).alias("last")), "o_custkey")
+    address = lambda p: F.concat(F.lit("page?"), p.cast("string"))
+    items, on = F.transform("all", lambda x: x["x"]), F.when(F.col("p") < F.col("last"), address(F.col("p") + 1))
+    shapes = [F.struct(items.alias("value"), on.alias("@odata.nextLink")), F.struct(items.alias("value"), on.alias("odata.nextLink")), F.struct(F.struct(items.alias("results"), on.alias("__next")).alias("d")), F.struct(items.alias("d"), on.alias("__next"))]
+    body = F.coalesce(*[F.when(c % 4 == i, F.to_json(shape)) for i, shape in enumerate(shapes)])
+    kept = pages.filter(~((c % 7 == 1) & (F.col("p") == 1))).select(c.cast("string").alias("listing"), address(F.col("p")).alias("page"), body.alias("body"))
+    marks = table(spark, sf_dir, "customer").filter("c_custkey % 7 <> 4").select(F.col("c_custkey").cast("string").alias("listing"), F.lit("1").alias("before"), F.when(F.col("c_custkey") % 7 == 3, "2").otherwise("1").alias("after"))
+    return proof(kept, marks).drop("descending")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS file, greatest(1, (b + 999) // 1000) AS blocks, CASE WHEN doc_id % 10 = 3 AND b > 1000 THEN 1000 ELSE b END AS bytes, CASE WHEN NOT (doc_id % 10 = 3 AND b > 1000) AND doc_id % 10 <> 7 THEN sha256(t) END AS digest, CASE WHEN doc_id % 10 = 3 AND b > 1000 THEN 'gap' WHEN doc_id % 10 = 7 THEN 'bytes are missing' END AS problem FROM (SELECT doc_id, coalesce(text, '') AS t, octet_length(encode(coalesce(text, ''))) AS b FROM documents)")
+def carried_blocks(spark, sf_dir):
+    """Texts as files in base64 blocks that come in any order, some with a gap or too short; their digests."""
+    from .sources.listings import blocks
+
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("b"))
+    size = F.octet_length("b")
+    at = d.select("doc_id", "b", size.alias("n"), F.explode(F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(1000))).alias("at"))
+    fault = F.col("doc_id") % 10
+    chunk = F.base64(F.expr("substring(b, at + 1, 1000)"))
+    chunks = at.select(F.col("doc_id").cast("string").alias("file"), (F.col("at") + F.when((fault == 3) & (F.col("at") > 0), 1).otherwise(0)).alias("offset"), chunk.alias("data"), (F.col("n") + F.when(fault == 7, 1).otherwise(0)).alias("size"))
+    return blocks(chunks)
+
+
 @query("SELECT o_custkey, count(*) AS versions, count(DISTINCT o_orderkey) = count(*) AS unique_ids, bool_and(o_orderkey > 0) AS positive, count(*) FILTER (o_orderstatus = 'O') AS current_versions, max(o_orderkey) = max(o_orderkey) FILTER (o_orderstatus = 'O') AS current_is_last FROM orders GROUP BY 1")
 def catalog_validation(spark, sf_dir):
     """What a valid catalog must satisfy, per workbook."""
@@ -566,10 +604,10 @@ def inserted_content(spark, sf_dir):
 # -- functions and sets --------------------------------------------------------------------------------------------------
 
 
-@query("WITH n AS (SELECT CAST(generate_series AS BIGINT) AS n FROM generate_series(1, 18278)) SELECT n, CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INTEGER)) WHEN n <= 702 THEN chr(CAST(65 + (n - 27) // 26 AS INTEGER)) || chr(CAST(65 + (n - 27) % 26 AS INTEGER)) ELSE chr(CAST(65 + (n - 703) // 676 AS INTEGER)) || chr(CAST(65 + (n - 703) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (n - 703) % 26 AS INTEGER)) END AS letters, n AS back FROM n")
+@query("WITH k AS (SELECT p_partkey, p_partkey % 18278 + 1 AS n FROM part) SELECT p_partkey, CASE WHEN n <= 26 THEN chr(CAST(64 + n AS INTEGER)) WHEN n <= 702 THEN chr(CAST(65 + (n - 27) // 26 AS INTEGER)) || chr(CAST(65 + (n - 27) % 26 AS INTEGER)) ELSE chr(CAST(65 + (n - 703) // 676 AS INTEGER)) || chr(CAST(65 + (n - 703) // 26 % 26 AS INTEGER)) || chr(CAST(65 + (n - 703) % 26 AS INTEGER)) END AS letters, n AS back FROM k")
 def column_letters(spark, sf_dir):
     """letters of columns, there and back."""
-    n = spark.range(1, 18279).select(F.col("id").alias("n"), C.column_letters(F.col("id")).alias("letters"))
+    n = table(spark, sf_dir, "part").select("p_partkey", C.column_letters((F.col("p_partkey") % 18278 + 1).cast("bigint")).alias("letters"))
     return n.withColumn("back", C.column_number(F.col("letters")))
 
 
@@ -627,11 +665,15 @@ def clock_text(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", T.clock(F.col("event_id") * 7).alias("clock"))
 
 
-@query("SELECT page_id, lower(url) LIKE '%.html' AS is_html, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host FROM pages")
+_SITE = r"regexp_extract(url, '^(https?://[^/?#@\s]+)(?:[/?#]|$)', 1)"
+
+
+@query(f"SELECT page_id, nullif(lower({_SITE}), '') AS site, {_SITE} <> '' AND starts_with(lower(url), lower({_SITE}) || '/') AS same, 'https://h.example/x/_api/web/GetFileByServerRelativePath(decodedurl=' || chr(39) || replace(url, chr(39), chr(39) || chr(39)) || chr(39) || ')/Versions(' || page_id || ')/$value' AS version_url FROM pages")
 def url_checks(spark, sf_dir):
-    """Suffix and host of addresses."""
+    """The site of an address, whether an address is of a site, a version's address."""
     p = table(spark, sf_dir, "pages")
-    return p.select("page_id", F.lower("url").endswith(".html").alias("is_html"), F.coalesce(F.regexp_extract("url", "^[a-z]+://([^/?#]+)", 1), F.lit("")).alias("host"))
+    site = T.site_of(F.col("url"))
+    return p.select("page_id", site.alias("site"), T.same_site(F.col("url"), site).alias("same"), T.version_url(F.lit("https://h.example/x/"), F.col("url"), F.col("page_id").cast("string")).alias("version_url"))
 
 
 # -- telemetry, lookups and listings -----------------------------------------------------------------------------------
@@ -705,6 +747,27 @@ def report_validation(spark, sf_dir):
     return g.select("sheet_no", "n", ((F.col("n") == F.col("z") - F.col("a") + 1) & (F.col("n") <= 900)).alias("whole"), "a", "z")
 
 
+@query("WITH n AS (SELECT p_partkey AS k, p_name AS a, p_size AS z, row_number() OVER (ORDER BY p_partkey) AS seq FROM part), c AS (SELECT (seq - 1) // 500 + 1 AS sheet_no, (seq - 1) % 500 + 2 AS row, k, a, z FROM n) SELECT sheet_no, row, CAST(2 AS BIGINT) AS col, 'MOD' AS change_type, a AS previous_value, a || ' *' AS new_value FROM c WHERE k % 13 = 0 UNION ALL SELECT sheet_no, row, 3, 'DEL', CAST(z AS VARCHAR), NULL FROM c WHERE k % 17 = 0")
+def stored_rows_diff(spark, sf_dir):
+    """Part as workbooks in two versions, whose rows are kept by content and compared from there."""
+    from .plans.shared import new_folder
+    from .sources.incremental import RowStore
+    from .sources.report import write_report
+
+    folder, k = new_folder(spark, "books"), F.col("p_partkey")
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name", F.col("p_size").cast("bigint").alias("p_size"))
+    edited = p.withColumns({"p_name": F.when(k % 13 == 0, F.concat("p_name", F.lit(" *"))).otherwise(F.col("p_name")), "p_size": F.when(k % 17 != 0, F.col("p_size"))})
+    store, chain = RowStore(spark, f"{folder}/store"), None
+    for seq, rows in ((1, p), (2, edited)):
+        made = write_report(rows, f"{folder}/v{seq}", "P", "p_partkey", ["p_partkey", "p_name", "p_size"], 500)
+        store.add(f"{folder}/v{seq}")
+        own = made.select(F.col("sheet_no").alias("workbook"), F.lit(seq).alias("seq"), "file")
+        chain = own if chain is None else chain.unionByName(own)
+    # The manifest names files; the store has their whole paths.
+    versions = store.files().select("path", F.element_at(F.split("path", "/"), -1).alias("file")).join(chain, "file").select("workbook", "seq", "path")
+    return store.changes(versions).select(F.col("workbook").alias("sheet_no"), "row", F.col("column").alias("col"), "change_type", "previous_value", "new_value")
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00012') ORDER BY c_custkey LIMIT 8")
 def label_suggestions(spark, sf_dir):
     """The first eight labels that hold a text."""

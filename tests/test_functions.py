@@ -12,6 +12,7 @@ def one(spark, *columns):
 def test_text(spark):
     lit = F.lit
     assert one(spark, T.sqlite_integer(lit("12x")), T.sqlite_integer(lit("version-12")), T.sqlite_integer(lit(" -7")), T.sqlite_integer(lit(None).cast("string"))) == (12, 0, -7, 0)
+    assert one(spark, T.sqlite_integer(lit("12345678901234567890x")), T.sqlite_integer(lit("-12345678901234567890")), T.sqlite_integer(lit("9223372036854775807"))) == (2**63 - 1, -(2**63), 2**63 - 1)
     assert one(spark, T.nocase(lit("ÁB")))[0] == "Áb"
     assert one(spark, T.redacted(lit("Token: abc; Authorization=Bearer xyz, bearer q")))[0] == "Token: [REDACTED]; Authorization=[REDACTED], Bearer [REDACTED]"
     assert one(spark, T.safe_stem(lit("dir/Ção 1.xlsx")), T.safe_stem(lit("??.xlsx"))) == ("Ção_1", "sheet")

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from tabloom.operators import alignment as A
@@ -52,6 +53,26 @@ def test_sheets_number_rows_without_gaps(spark):
     got = {r.id: (r.seq, r.sheet_no) for r in S.sheets(rows, "id", 4).collect()}
     assert got == {i: (n, (n - 1) // 4 + 1) for n, i in enumerate(sorted(ids), 1)}
     assert S.sheets(rows.limit(0), "id", 4).count() == 0
+    with pytest.raises(ValueError, match="no id"):
+        S.sheets(rows.union(spark.createDataFrame([(None,)], "id bigint")), "id", 4)
+
+
+def test_sheets_of_many_ranges_and_an_outlier(spark, monkeypatch):
+    """Ranges are cut at values that occur, so one far value doesn't put all others in one range."""
+    monkeypatch.setattr(S, "RANGE_ROWS", 50)
+    rows = spark.range(1000).select("id").union(spark.createDataFrame([(10**15,)], "id bigint"))
+    made = S.sheets(rows, "id", 100)
+    assert [r.seq for r in made.orderBy("id").collect()] == list(range(1, 1002))
+    assert made.groupBy("sheet_no").count().count() == 11
+
+
+def test_current_versions_that_contradict_their_history(spark):
+    v = lambda rows: spark.createDataFrame(rows, "book int, version_id bigint, label string")
+    history = v([(b, 1, "1.0") for b in range(5)] + [(b, 2, "2.0") for b in range(5)])
+    current = v([(0, 2, "2.0"), (1, 3, "3.0"), (2, 2, "9.0"), (3, 3, "1.0"), (4, 1, "1.0"), (5, 1, "1.0")])
+    assert {r.book: r.problem for r in catalog.conflicts(history, current, ["book"]).collect()} == {2: "the id has another label", 3: "the label has another id", 4: "the history goes beyond it"}
+    got = sorted((r.book, r.version_id, r.label) for r in catalog.reconciled(history, current, ["book"]).collect())
+    assert got == sorted([(b, 1, "1.0") for b in range(6)] + [(b, 2, "2.0") for b in range(5)] + [(1, 3, "3.0")])
 
 
 def test_robust_means(spark):
@@ -96,9 +117,9 @@ def test_reports_and_remaps_of_whole_tables(spark, tmp_path):
     spark.createDataFrame(orders, "o_orderkey bigint, o_custkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
     spark.createDataFrame(lines, "l_orderkey bigint, l_linenumber int, l_partkey bigint, l_suppkey bigint, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
     flags = [r[4] for r in lines]
-    assert [tuple(r) for r in queries.QUERIES["report_stats_whole"](spark, str(tmp_path)).collect()] == [(7, 14, flags.count("A"), flags.count("N"), flags.count("R"), 1, 30_007)]
+    assert [tuple(r) for r in queries.QUERIES["report_stats"](spark, str(tmp_path)).collect()] == [(7, 14, flags.count("A"), flags.count("N"), flags.count("R"), 1, 30_007)]
     new = {k: 5_000_001 + n for n, (k, _) in enumerate(orders)}
-    assert sorted(map(tuple, queries.QUERIES["restore_remap_whole"](spark, str(tmp_path)).collect())) == sorted((new[k], *rest) for k, *rest, _ in lines)
+    assert sorted(map(tuple, queries.QUERIES["restore_remap"](spark, str(tmp_path)).collect())) == sorted((new[k], *rest) for k, *rest, _ in lines)
 
 
 def test_coordinates_and_merged_values(spark):

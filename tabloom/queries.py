@@ -768,6 +768,26 @@ def stored_rows_diff(spark, sf_dir):
     return store.changes(versions).select(F.col("workbook").alias("sheet_no"), "row", F.col("column").alias("col"), "change_type", "previous_value", "new_value")
 
 
+@query("SELECT count(*) AS rows, count(*) FILTER (p_partkey % 5 = 0 AND p_partkey % 7 <> 0) AS a, count(*) FILTER (p_partkey % 7 = 0) AS b, count(*) FILTER (p_partkey % 5 <> 0 AND p_partkey % 7 <> 0) AS c, CAST(0 AS BIGINT) AS context, round(100.0::DOUBLE * count(*) FILTER (p_partkey % 5 = 0 AND p_partkey % 7 <> 0) / count(*) FILTER (p_partkey % 5 = 0 OR p_partkey % 7 = 0), 9) AS false_negative_percent FROM part")
+def row_classes(spark, sf_dir):
+    """Rows of part as fragments of a sheet in two versions; which differ in bytes, which in values."""
+    from .sources import diagnosis as G
+
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    seq = p.select(k, F.col("p_size").cast("bigint").alias("size"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    later = F.col("seq") == 2
+    blank = F.when(later & (k % 5 == 0), " ").otherwise("")
+    value = F.col("size") + F.when(later & (k % 7 == 0), 1).otherwise(0)
+    xml = F.concat(F.lit('<row r="'), k, F.lit('">'), blank, F.lit('<c r="A'), k, F.lit('"><v>'), value, F.lit("</v></c></row>")).cast("binary")
+    none = lambda kind: F.expr(f"cast(map() as {kind})")
+    stored = seq.select(
+        F.concat(F.lit("v"), "seq").alias("path"), F.lit("part").alias("sheet"), F.concat(k, F.lit("#0")).alias("row_key"), F.sha2(xml, 256).alias("digest"), F.lit(1).cast("bigint").alias("cells"),
+        F.lit(f'<worksheet xmlns="{G.MAIN}">').cast("binary").alias("head"), xml.alias("xml"), none("map<int, string>").alias("strings"), F.expr("cast(array() as array<int>)").alias("dates"), F.lit(False).alias("epoch_1904"), none("map<string, array<string>>").alias("masters"),
+    )
+    versions = stored.select("path").distinct().select(F.lit("part").alias("workbook"), F.substring("path", 2, 9).cast("int").alias("seq"), "path")
+    return G.totals(G.classes(stored, versions)).withColumn("false_negative_percent", F.round("false_negative_percent", 9))
+
+
 @query("SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '00012') ORDER BY c_custkey LIMIT 8")
 def label_suggestions(spark, sf_dir):
     """The first eight labels that hold a text."""

@@ -44,29 +44,36 @@ def _best(scores) -> tuple[int, float]:
     return found, top
 
 
-def align(base: list[tuple[int, list[str]]], other: list[tuple[int, list[str]]]) -> dict[int, int]:
-    """Positions of base mapped to positions of other.
+def step(here: list[list[str]], there: list[list[str]], i: int, j: int) -> tuple[int, int]:
+    """How far the walk goes on from (i, j) on either side: (1, 1) for a pair, else one of them is 0.
 
     Equal places are taken if alike. If not, a better partner is looked for a few places ahead on either side, and the
-    side with the better one moves on (other at ties); without one the two are paired by place. The mapping holds only
-    if one shift other than 0 occurs twice; else equal positions are paired.
+    side with the better one moves on (other at ties); without one the two are paired by place.
+    """
+    if likeness(here[i], there[j]) < ACCEPT:
+        skip_other, other_score = _best(likeness(here[i], p) for p in there[j + 1 : j + 1 + AHEAD])
+        skip_base, base_score = _best(likeness(p, there[j]) for p in here[i + 1 : i + 1 + AHEAD])
+        good = ACCEPT - SLACK
+        if skip_other and other_score >= good and (not skip_base or base_score < good or other_score >= base_score):
+            return 0, skip_other
+        if skip_base and base_score >= good:
+            return skip_base, 0
+    return 1, 1
+
+
+def align(base: list[tuple[int, list[str]]], other: list[tuple[int, list[str]]]) -> dict[int, int]:
+    """Positions of base mapped to positions of other, step by step.
+
+    The mapping holds only if one shift other than 0 occurs twice; else equal positions are paired.
     """
     found: dict[int, int] = {}
+    here, there = [p for _, p in base], [p for _, p in other]
     i = j = 0
     while i < len(base) and j < len(other):
-        (at, here), (to, there) = base[i], other[j]
-        if likeness(here, there) < ACCEPT:
-            skip_other, other_score = _best(likeness(here, p) for _, p in other[j + 1 : j + 1 + AHEAD])
-            skip_base, base_score = _best(likeness(p, there) for _, p in base[i + 1 : i + 1 + AHEAD])
-            good = ACCEPT - SLACK
-            if skip_other and other_score >= good and (not skip_base or base_score < good or other_score >= base_score):
-                j += skip_other
-                continue
-            if skip_base and base_score >= good:
-                i += skip_base
-                continue
-        found[at] = to
-        i, j = i + 1, j + 1
+        down, right = step(here, there, i, j)
+        if down and right:
+            found[base[i][0]] = other[j][0]
+        i, j = i + down, j + right
     shifts = Counter(v - k for k, v in found.items() if v != k)
     if any(n > 1 for n in shifts.values()):
         return found

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.cells import address
 from ..functions.formulas import Mapping, equivalent, remap_formula
+from ..plans import shared
 from .alignment import aligned, gaps, profiles
 from .areas import area_content, content, merged_ranges
+from .segments import aligned_in_segments
 
 DIFFERENCES = "sheet string, location string, category string, base string, evaluated string, details string"
 #: The categories, by the option that asks for them.
@@ -32,10 +34,11 @@ CATEGORIES = {
 }
 
 
-def axis(base: DataFrame, other: DataFrame, pos: str, along: str) -> DataFrame:
+def axis(base: DataFrame, other: DataFrame, pos: str, along: str, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """sheet, base_pos, eval_pos of one axis; positions without anchors stay where they are unless they were inserted."""
     a, b = (profiles(x, ["sheet", pos], along).withColumnRenamed(pos, "pos") for x in (base, other))
-    return aligned(a, b, ["sheet"])
+    # Columns of a sheet are 16,384 at most; rows can be a million, and are walked in segments.
+    return aligned(a, b, ["sheet"]) if pos == "column" else aligned_in_segments(a, b, ["sheet"], stage)
 
 
 def complete(anchors: DataFrame, changed: DataFrame, base: DataFrame, other: DataFrame, pos: str) -> DataFrame:
@@ -61,19 +64,19 @@ class Axes(NamedTuple):
     row_gaps: DataFrame
 
 
-def kept(rows: DataFrame) -> DataFrame:
-    """Anchors are used several times and slim, one row for each row or column of a sheet: Spark keeps them."""
-    return rows.persist()
+def written(rows: DataFrame) -> DataFrame:
+    """Anchors are used several times: they are a table in the shared folder."""
+    return shared.stage(rows, "axes")
 
 
-def axes(base: DataFrame, other: DataFrame, stage: Callable[[DataFrame], DataFrame] = kept) -> Axes:
-    """Columns are aligned first, and rows on the columns that both sides have. stage: keeps or writes the anchors."""
-    column_anchors = stage(axis(base, other, "column", "row"))
+def axes(base: DataFrame, other: DataFrame, stage: Callable[[DataFrame], DataFrame] = written) -> Axes:
+    """Columns are aligned first, and rows on the columns that both sides have. stage: writes a table, and reads it."""
+    column_anchors = stage(axis(base, other, "column", "row", stage))
     column_gaps = gaps(column_anchors, ["sheet"])
     columns = complete(column_anchors, column_gaps, base, other, "column")
     moved = base.join(columns.withColumnRenamed("base_pos", "column"), ["sheet", "column"]).drop("column").withColumnRenamed("eval_pos", "column")
     there = other.join(columns.select("sheet", F.col("eval_pos").alias("column")), ["sheet", "column"], "left_semi")
-    row_anchors = stage(axis(moved, there, "row", "column"))
+    row_anchors = stage(axis(moved, there, "row", "column", stage))
     row_gaps = gaps(row_anchors, ["sheet"])
     return Axes(columns, column_gaps, complete(row_anchors, row_gaps, base, other, "row"), row_gaps)
 
@@ -219,7 +222,7 @@ class Book(NamedTuple):
     styles: DataFrame | None = None
 
 
-def compare_workbooks(base: Book, other: Book, flags: set[str] | None = None, stage: Callable[[DataFrame], DataFrame] = kept) -> DataFrame:
+def compare_workbooks(base: Book, other: Book, flags: set[str] | None = None, stage: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
     """Differences of the kinds that flags ask for (all by default), with the content of inserted and removed areas."""
     flags = set(FLAGS) if flags is None else flags
     if flags - set(FLAGS):

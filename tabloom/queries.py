@@ -552,6 +552,18 @@ def aligned_rows(spark, sf_dir):
     return A.aligned(base, other, ["block"])
 
 
+@query("WITH n AS (SELECT p_partkey AS k, row_number() OVER (ORDER BY p_partkey) AS n FROM part) SELECT k AS base_pos, k + (n - 1) // 30 AS eval_pos FROM n")
+def aligned_axis(spark, sf_dir):
+    """The rows of part as one axis, walked in segments; after every thirty rows the other sheet has an empty one."""
+    from .operators.segments import aligned_in_segments
+    from .plans.shared import stage
+
+    t = table(spark, sf_dir, "part").select(F.lit("part").alias("sheet"), F.col("p_partkey").alias("pos"), F.array(F.concat(F.lit("T:"), "p_name"), F.concat(F.lit("N:"), "p_partkey")).alias("profile"))
+    n = S.running_total(t.select("pos"), [], ["pos"], F.lit(1).cast("bigint"), "n")
+    other = t.join(n, "pos").withColumn("pos", F.col("pos") + F.floor((F.col("n") - 1) / 30)).drop("n")
+    return aligned_in_segments(t, other, ["sheet"], lambda df: stage(df, "axis"), 500).drop("sheet")
+
+
 @query("SELECT 'part' AS sheet, p_brand, list_transform(list_slice(list(x ORDER BY p_partkey), 1, 40), lambda t: 'T:' || t) AS profile FROM (SELECT p_brand, p_partkey, left(lower(trim(regexp_replace(p_name, '\\s+', ' ', 'g'))), 80) AS x FROM part) GROUP BY p_brand")
 def column_profiles(spark, sf_dir):
     """The first forty tokens along an axis."""

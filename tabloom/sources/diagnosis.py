@@ -97,10 +97,10 @@ def classes(stored: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def totals(found: DataFrame) -> DataFrame:
-    """Of all rows: a, b, c, context, and the share of A among rows whose bytes differ, in percent (null if none does)."""
+    """Of all rows: a, b, c, context, and the share of A among rows whose bytes differ, in percent (0 if none does)."""
     of = lambda name: F.count_if(F.col("class") == name)
     per = found.agg(F.count("*").alias("rows"), of("A").alias("a"), of("B").alias("b"), of("C").alias("c"), of("context").alias("context"))
-    return per.withColumn("false_negative_percent", F.when(F.col("a") + F.col("b") > 0, 100.0 * F.col("a") / (F.col("a") + F.col("b"))))
+    return per.withColumn("false_negative_percent", F.when(F.col("a") + F.col("b") > 0, 100.0 * F.col("a") / (F.col("a") + F.col("b"))).otherwise(0.0))
 
 
 def kinds(found: DataFrame) -> DataFrame:

@@ -86,7 +86,7 @@ def associated(term: np.ndarray, of: np.ndarray, labels: np.ndarray, terms: int,
     """Up to most of the terms that go with the label with a chi-squared above least; term and of are pairs (term, document)."""
     n, positive = len(labels), int(labels.sum())
     with_all = np.bincount(term, minlength=terms).astype(np.float64)
-    with_positive = np.bincount(term, labels[of], terms)
+    with_positive = np.bincount(term[(labels == 1)[of]], minlength=terms).astype(np.float64)
     expected = with_all * positive / max(1, n)
     spread = expected * (1 - positive / max(1, n)) * (1 - with_all / max(1, n))
     chi2 = np.where((with_all >= 3) & (spread > 0), (with_positive - expected) ** 2 / np.maximum(spread, 1e-12), 0)
@@ -99,19 +99,28 @@ def train(documents: list[np.ndarray], labels: np.ndarray, steps: int = 6000, ba
     n, positive = len(labels), int(labels.sum())
     if not positive or positive == n:
         return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
-    doc = np.repeat(np.arange(n), [len(d) for d in documents])
-    seen, back = np.unique(np.concatenate(documents), return_inverse=True)
+    # Pairs of a term and a document are millions: they are held as 32 bits, and masked by tables.
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in documents])
+    flat = np.concatenate(documents)
+    seen = np.unique(flat)
+    back = np.searchsorted(seen, flat).astype(np.int32)
+    del flat
     chosen = associated(back, doc, labels, len(seen), ALONE, FEATURES * 3 // 4)
-    holds = np.bincount(doc[np.isin(back, chosen)], minlength=n) > 0
+    known = np.zeros(len(seen), bool)
+    known[chosen] = True
+    holds = np.zeros(n, bool)
+    holds[doc[known[back]]] = True
     inside = holds[doc]
-    within = np.cumsum(holds) - 1
+    within = np.cumsum(holds, dtype=np.int32) - 1
     beside = associated(back[inside], within[doc[inside]], labels[holds], len(seen), BESIDE, FEATURES // 4)
     chosen = np.union1d(chosen, beside)
-    place = np.full(len(seen), -1)
+    place = np.full(len(seen), -1, np.int32)
     place[chosen] = np.arange(len(chosen))
-    at = place[back]
+    there = place[back] >= 0
+    doc, at = doc[there], place[back[there]]
+    del back, there, inside
     x = np.zeros((n, len(chosen)), np.float32)
-    x[doc[at >= 0], at[at >= 0]] = 1
+    x[doc, at] = 1
     rng = np.random.default_rng(seed)
     v = rng.normal(0, 0.05, (len(chosen), FACTORS)).astype(np.float32)
     w, w0 = np.zeros(len(chosen), np.float32), np.float32(np.log(positive / (n - positive)))
@@ -134,7 +143,7 @@ def train(documents: list[np.ndarray], labels: np.ndarray, steps: int = 6000, ba
             w -= rate * gw / np.sqrt(past_w)
             v -= rate * 0.2 * gv / np.sqrt(past_v)
             w0 -= rate * 0.1 * float(e.sum())
-    return Machine(seen[chosen], float(w0), w.astype(np.float64), v.astype(np.float64))
+    return Machine(seen[chosen].astype(np.int64), float(w0), w.astype(np.float64), v.astype(np.float64))
 
 
 def scorer(machine: Machine):
@@ -179,8 +188,9 @@ def _learned(docs: DataFrame, labels: DataFrame, label: str, of: int, left: int,
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("chars"), pa.array(found, pa.binary()), batch.column("label")], names=["doc_id", "chars", "terms", "label"])
 
     known = gathered(sample(docs, labels, label, of, left, rows).mapInArrow(run, "doc_id bigint, chars bigint, terms binary, label int"))
-    documents = [np.frombuffer(x, "<u4").astype(np.int64) for x in known["terms"].to_pylist()]
-    shared = docs.sparkSession.sparkContext.broadcast(train(documents, np.array(known["label"].to_pylist(), np.int64)))
+    documents = [np.frombuffer(x.as_buffer(), "<u4") for x in known["terms"]]
+    shared = docs.sparkSession.sparkContext.broadcast(train(documents, known["label"].to_numpy().astype(np.int64)))
+    del documents, known
 
     key = uuid.uuid4().hex
 

@@ -42,6 +42,13 @@ def missing_pairs(versions: DataFrame, trail: Trail) -> DataFrame:
     return version_pairs(versions).join(authoritative(trail.read("pair")).select(*KEYS["pair"]), KEYS["pair"], "left_anti")
 
 
+def pending(versions: DataFrame, trail: Trail) -> DataFrame:
+    """workbook_id, versions, pending: how many versions a workbook has, and how many of its pairs are not done; with those that have none."""
+    open_ = missing_pairs(versions, trail).groupBy("workbook_id").agg(F.count("*").alias("pending"))
+    known = versions.groupBy("workbook_id").agg(F.count_distinct("version_id").alias("versions"))
+    return known.join(open_, "workbook_id", "left").withColumn("pending", F.coalesce("pending", F.lit(0)))
+
+
 def content_digests(cells: DataFrame) -> DataFrame:
     """workbook_id, version_id, digest: 64 hex digits of a version's cells, in any order, summed where they lie."""
     part = lambda seed: F.lpad(F.lower(F.hex(F.bit_xor(F.xxhash64(F.lit(seed), "sheet", "row", "column", "key")))), 16, "0")

@@ -79,3 +79,15 @@ def test_large_entries_are_told_in_64_bits():
     z.close()
     found = {i.filename: i for i in zipfile.ZipFile(out).infolist()}
     assert (found["big"].compress_size, found["big"].file_size, found["big"].header_offset) == (5 << 32, 6 << 32, 5 << 32) and zipfile.ZipFile(out).read("a.txt") == b"hello"
+
+
+def test_differences_become_one_workbook(spark, tmp_path):
+    from tabloom.operators.structural import DIFFERENCES
+    from tabloom.plans.comparison_report import write_comparison
+
+    rows = [("S", f"S!A{i}", "content changed" if i % 3 else "row added", "1", "2", "") for i in range(1, 8)] + [("", "", "sheet added", None, None, None), ("S", "S!A1", "content changed", "1", "2", "")]
+    to = str(tmp_path / "c.xlsx")
+    write_comparison(spark.createDataFrame(rows, DIFFERENCES), f"file://{to}", "a.xlsx", "b.xlsx")
+    got = {(r.sheet, r.address): r.text for r in X.read_cells(spark, to).collect()}
+    assert [got["Resumo", f"B{i}"] for i in range(2, 8)] == ["a.xlsx", "b.xlsx", "9", "6", "2", "1"] and got["Resumo", "A5"] == "content changed" and got["Resumo", "A8"] == "Aba S"
+    assert got["Divergências", "D2"] == "sheet added" and got["Divergências", "A10"] == "9" and got["Divergências", "C3"] == "S!A1" == got["Divergências", "C4"]

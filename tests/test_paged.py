@@ -149,3 +149,13 @@ def test_other_answers_are_refused(spark, body):
     pages = spark.createDataFrame([("a", "0", body)], P.PAGES)
     marks = spark.createDataFrame([("a", "1", "1")], "listing string, before string, after string")
     assert P.proof(pages, marks).head().problem == "an answer has no list"
+
+
+def test_listings_by_identity_and_name(spark):
+    rows = spark.createDataFrame([("A1", "first", 1), ("a1", "second", 2), ("b", "only", 3)], "id string, what string, at int")
+    assert sorted(r.what for r in L.last_by_identity(rows, "id", "at").collect()) == ["only", "second"]
+    folders = spark.createDataFrame([("2", "b/X"), ("1", "B/x"), ("3", "a"), ("4", "C")], "folder_id string, path string")
+    assert [r.folder_id for r in L.in_name_order(folders).collect()] == ["3", "1", "2", "4"]
+    pages = spark.createDataFrame([(2, '{"value":[{"id":"1","size":"7"}]}'), (1, '{"value":[{"id":"3"},{"id":"2","size":"x"}]}')], "page int, body string")
+    assert [(r.version_id, r.size) for r in L.versions(pages).collect()] == [("1", 7), ("2", None), ("3", None)]
+    assert [r.version_id for r in L.from_id(L.versions(pages), 2).collect()] == ["2", "3"]

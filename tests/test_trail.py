@@ -190,3 +190,11 @@ def test_a_stream_tries_versions_without_content_again(spark, trail, tmp_path):
     run()
     assert sorted((r.previous_id, r.current_id) for r in trail.read("pair").collect()) == [("1", "2"), ("2", "3"), ("3", "4")]
     assert trail.read("pending_version").count() == 0 and trail.read("checkpoint").head().version_id == "4"
+
+
+def test_pending_pairs(spark, trail):
+    known = versions(spark, "1", "2", "10").union(spark.createDataFrame([(2, "5")], ST.VERSIONS))
+    count = lambda: sorted(tuple(r) for r in ST.pending(known, trail).collect())
+    assert count() == [(1, 3, 2), (2, 1, 0)]
+    ST.audit(versions(spark, "1", "2"), content(spark), trail)
+    assert count() == [(1, 3, 1), (2, 1, 0)]

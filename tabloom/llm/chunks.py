@@ -28,6 +28,8 @@ def split_white(text: str) -> list[str]:
 
 def _bytes(chunk: str, value) -> int:
     """What a chunk and its value take in a memo, with their slot."""
+    if type(value) is bytes and chunk.isascii():
+        return 190 + len(chunk) + len(value)
     own = sum(map(getsizeof, value)) if isinstance(value, tuple) else 0
     return 104 + getsizeof(chunk) + getsizeof(value) + own
 

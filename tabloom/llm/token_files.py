@@ -18,10 +18,11 @@ from __future__ import annotations
 import io
 import json
 import posixpath
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -172,6 +173,31 @@ def library_memo(path: str) -> Memo:
     return Memo(work, 128 << 20)
 
 
+#: Letters whose lower case may not be what the tokenizer makes of them one by one, or that meet others before that.
+_APART = re.compile("[^\x00-\u012f\u0131-\u02ff]")
+
+
+@lru_cache(2)
+def folded(path: str) -> Callable[[str], str]:
+    """Lower-cases a text if the tokenizer would do just that, so that fewer chunks are different."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    own = spec.get("normalizer") or {}
+    kinds = {x.get("type") for x in own.get("normalizers", [own])}
+    special = [x["content"].lower() for x in spec.get("added_tokens", [])]
+    if "Lowercase" not in kinds or not kinds <= {"NFC", "Replace", "Lowercase"}:
+        return lambda text: text
+
+    def fold(text: str) -> str:
+        if _APART.search(text):
+            return text
+        low = text.lower()
+        # What only looks like a special token isn't one.
+        return text if any(x in low for x in special) else low
+
+    return fold
+
+
 def check_chunkable(path: str) -> None:
     """Chunks may be encoded one by one only if the file's splitter parts tokens at white space."""
     with open(path, encoding="utf-8") as f:
@@ -181,17 +207,17 @@ def check_chunkable(path: str) -> None:
 
 
 def encode_to_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
-    memo = library_memo(path)
+    memo, fold = library_memo(path), folded(path)
     for a, b in in_groups(texts):
         if is_long(texts, a, b):
             whole = []
             for piece in text_pieces(texts[a]):
-                chunks = split_white(piece)
+                chunks = split_white(fold(piece))
                 memo.learn([chunks])
                 whole.append(b"".join(map(memo.__getitem__, chunks)))
             yield b"".join(whole)
             continue
-        lists = [split_white(t or "") for t in texts[a:b]]
+        lists = [split_white(fold(t or "")) for t in texts[a:b]]
         memo.learn(lists)
         yield from [b"".join(map(memo.__getitem__, chunks)) for chunks in lists]
 

@@ -85,6 +85,22 @@ def slice_interval(versions: DataFrame, order: Column, start=None, end=None) ->
     return versions.filter(inside)
 
 
+def resolve_interval(versions: DataFrame, order: Column, start=None, end=None) -> DataFrame:
+    """slice_interval(), but refused where it would be silent: equal ids, ends that no version has, fewer than two versions."""
+    is_end = lambda v: F.count_if(order == F.lit(v)) if v is not None else F.lit(1)
+    n, ids, low, high, first, last = versions.agg(F.count("*"), F.count_distinct(order), F.min(order), F.max(order), is_end(start), is_end(end)).head()
+    if n < 2:
+        raise ValueError("fewer than two versions are known")
+    if ids < n:
+        raise ValueError("two versions have one id, or one has none")
+    for at, there in ((start, first), (end, last)):
+        if not there:
+            raise ValueError(f"no version has the id {at}")
+    if (low if start is None else start) >= (high if end is None else end):
+        raise ValueError("an interval must be in order and hold two versions")
+    return slice_interval(versions, order, start, end)
+
+
 def islands(pairs: DataFrame, key: list[str], pos: str, covered: str) -> DataFrame:
     """Runs of pairs with the same state: key, covered, first, last, pairs."""
     w = Window.partitionBy(*key).orderBy(pos)

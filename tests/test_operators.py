@@ -57,6 +57,15 @@ def test_sheets_number_rows_without_gaps(spark):
         S.sheets(rows.union(spark.createDataFrame([(None,)], "id bigint")), "id", 4)
 
 
+def test_intervals_are_resolved_or_refused(spark):
+    v = lambda *ids: spark.createDataFrame([(i,) for i in ids], "id bigint")
+    got = lambda rows, *ends: sorted(r.id for r in S.resolve_interval(rows, F.col("id"), *ends).collect())
+    assert got(v(5, 1, 9, 3), 3, 9) == [3, 5, 9] and got(v(5, 1, 9), None, 5) == [1, 5] and got(v(2, 1)) == [1, 2]
+    for rows, ends, why in ((v(1), (), "fewer"), (v(1, 2, 2), (), "one id"), (v(1, None), (), "one id"), (v(1, 3), (2, 3), "no version has the id 2"), (v(1, 3), (1, 4), "id 4"), (v(1, 3), (3, 1), "in order"), (v(1, 3), (3, 3), "in order"), (v(1, 3), (3, None), "in order")):
+        with pytest.raises(ValueError, match=why):
+            S.resolve_interval(rows, F.col("id"), *ends)
+
+
 def test_sheets_of_many_ranges_and_an_outlier(spark, monkeypatch):
     """Ranges are cut at values that occur, so one far value doesn't put all others in one range."""
     monkeypatch.setattr(S, "RANGE_ROWS", 50)

@@ -9,14 +9,15 @@ parts hold too few candidates goes on to further ones until there are enough. Ve
 neighbours everywhere: most parts are searched then. The column searched tells how many vectors a query's parts hold.
 
 There is a part for each 4 sqrt(vectors), between PARTS and PARTS_MOST (which is reached at 17 million vectors; beyond it
-parts grow). Parts are dealt out in chunks of CHUNK candidates and the queries that come to a part in blocks of BLOCK, so
+parts grow). Parts are dealt out in chunks of CHUNK candidates and the queries that come to a part in blocks of BLOCK (fewer of long
+vectors), so
 no task holds a whole part, however many vectors are alike, and a candidate goes only to blocks of its own part. Each
 (chunk, block) gives its best k per query; the best k of these are the result.
 
 Nearness is the largest inner product in double precision of the vectors as given; ties go to the smaller vec_id.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows
-without a vec_id or with another length than most of the sample; rows with equal vec_ids are one vector (the least of
+without a vec_id or with another length than most of the table (of lengths as frequent the greatest counts); rows with equal vec_ids are one vector (the least of
 them); a query has fewer rows only if there are fewer candidates; other columns are ignored; an empty table gives none.
 """
 
@@ -36,6 +37,8 @@ from .common import cut
 SAMPLE, SAMPLE_PART, SAMPLE_MOST, LINKS = 4096, 32, 1 << 15, 12
 PARTS, PARTS_MOST = 16, 1024
 CHUNK, BLOCK = 1 << 16, 1 << 14
+#: Bytes of a chunk's vectors, and of a block's, as doubles: long vectors make smaller ones.
+CHUNK_BYTES, BLOCK_BYTES = 1 << 26, 1 << 24
 #: The recall that the reach is set for, and one in how many vectors of the sample it is measured on.
 AIM, HELD = 0.95, 6
 
@@ -210,16 +213,16 @@ def nearest(rows: DataFrame, query: Column | None = None, k: int = 20, parts: in
     query = F.col("vec_id") % 20 == 0 if query is None else query
     dtype = "<f4" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     vectors = cut(usable(rows, query), "vectors")
-    count = vectors.count()
+    usual = vectors.groupBy(F.octet_length("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()  # of a row for each length
+    if usual is None:
+        return spark.createDataFrame([], schema)
+    count, dims = usual["count"], usual["n"] // np.dtype(dtype).itemsize
+    vectors = vectors.filter(F.octet_length("v") == usual["n"])
+    chunk_rows, block_rows = max(1, min(CHUNK, CHUNK_BYTES // (8 * dims))), max(1, min(BLOCK, BLOCK_BYTES // (8 * dims)))
     parts = parts or max(PARTS, min(PARTS_MOST, math.isqrt(count) // 4))
     sample = min(SAMPLE_MOST, max(SAMPLE, SAMPLE_PART * parts))
     chosen = [np.frombuffer(r["v"], dtype) for r in vectors.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()]
-    if not chosen:
-        return spark.createDataFrame([], schema)
-    lengths = [len(v) for v in chosen]
-    dims = max(set(lengths), key=lambda n: (lengths.count(n), n))
-    router = fit(np.stack([v for v in chosen if len(v) == dims]), parts, k)
-    vectors = vectors.filter(F.octet_length("v") == dims * np.dtype(dtype).itemsize)
+    router = fit(np.stack(chosen), parts, k)
 
     def place(batches):
         for batch in batches:
@@ -231,7 +234,7 @@ def nearest(rows: DataFrame, query: Column | None = None, k: int = 20, parts: in
     sizes = np.zeros(router.weights.shape[1], np.int64)
     for r in placed.groupBy("part").count().collect():  # a row per part
         sizes[r["part"]] = r["count"]
-    chunks = [int(-(-n // CHUNK)) for n in sizes]
+    chunks = [int(-(-n // chunk_rows)) for n in sizes]
 
     def route(batches):
         for batch in batches:
@@ -246,7 +249,7 @@ def nearest(rows: DataFrame, query: Column | None = None, k: int = 20, parts: in
     routed = cut(placed.filter("is_query").select("vec_id", "v").mapInArrow(route, "query_id bigint, qv binary, part int, chunk int, searched bigint"), "routed")
     blocks = np.zeros(len(sizes), np.int64)
     for r in routed.filter("chunk = 0").groupBy("part").count().collect():  # a row per part
-        blocks[r["part"]] = -(-r["count"] // BLOCK)
+        blocks[r["part"]] = -(-r["count"] // block_rows)
     of_part = lambda numbers: F.get(F.array(*[F.lit(int(n)) for n in numbers]), F.col("part"))
     queries = routed.withColumn("block", F.pmod(F.xxhash64("query_id"), of_part(np.maximum(blocks, 1))).cast("int"))
     chunk = F.pmod(F.xxhash64("vec_id"), of_part([max(1, c) for c in chunks])).cast("int")

@@ -340,6 +340,18 @@ def test_structured_vectors_are_searched_in_part(spark):
         print(f"recall {hits / 6000:.3f}, searched {searched / 1_800_000:.3f}")
 
 
+def test_long_vectors_make_small_chunks(spark, monkeypatch):
+    """Bounded in bytes, chunks and blocks hold few vectors, and the usual length is that of the table: nothing changes."""
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    whole = sorted(tuple(r) for r in neighbours.nearest(df).collect())
+    monkeypatch.setattr(neighbours, "CHUNK_BYTES", 8 * 8 * 7)
+    monkeypatch.setattr(neighbours, "BLOCK_BYTES", 8 * 8 * 2)
+    odd = spark.createDataFrame([(1000 + i, [1.0] * 9) for i in range(200)], "vec_id bigint, embedding array<double>")
+    assert sorted(tuple(r) for r in neighbours.nearest(df.union(odd)).collect()) == whole
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(700, 16)) + rng.normal(size=(10, 16))[rng.integers(0, 10, 700)] * 3

@@ -22,7 +22,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .chunks import Memo, in_groups, is_long, split_white
+from .chunks import KEEP, Memo, in_groups, is_long, split_white
 from .common import slices, text_pieces
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -218,9 +218,9 @@ def normalised(text: str) -> list[str]:
 
 
 @lru_cache(2)
-def load(path: str) -> tuple[TrieBpe, Memo]:
+def load(path: str, keep: int = KEEP) -> tuple[TrieBpe, Memo]:
     bpe = TrieBpe(path)
-    return bpe, Memo(bpe.chunk_values, fixed={"\n" + s: (1, i, decoded) for s, (i, decoded) in bpe.to_special.items()})
+    return bpe, Memo(bpe.chunk_values, keep, fixed={"\n" + s: (1, i, decoded) for s, (i, decoded) in bpe.to_special.items()})
 
 
 def _digest_text(pieces: list[list[str]], memo: Memo) -> tuple[int, str, str]:
@@ -242,9 +242,9 @@ def _digest_chunks(chunks: list[str], memo: Memo) -> tuple[int, str, str]:
     return sum(counts), hashlib.sha256(" ".join(ids).encode()).hexdigest(), hashlib.sha256(" ".join(decoded).encode()).hexdigest()
 
 
-def encode_texts(texts: list[str | None], path: str) -> Iterator[tuple[int, str, str]]:
+def encode_texts(texts: list[str | None], path: str, keep: int = KEEP) -> Iterator[tuple[int, str, str]]:
     """(n_tokens, ids_sha256, decoded_sha256) of each text."""
-    bpe, memo = load(path)
+    bpe, memo = load(path, keep)
     for a, b in in_groups(texts):
         if is_long(texts, a, b):
             yield _digest_text((bpe.chunks(p) for p in text_pieces(texts[a])), memo)
@@ -270,12 +270,12 @@ def decode_ids(ids: list[int], path: str) -> str:
     return " ".join(texts[str(i)] for i in ids)
 
 
-def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
-    """Encode and decode the column text of every row; see the module for the defined cases."""
+def bpe_digests(docs: DataFrame, path: str, keep: int = KEEP) -> DataFrame:
+    """Encode and decode the column text of every row; see the module for the defined cases. keep: bytes of a worker's memo."""
 
     def run(batches):
         for batch in slices(batches):
-            got = list(encode_texts(batch.column("text").to_pylist(), path))
+            got = list(encode_texts(batch.column("text").to_pylist(), path, keep))
             n, ids, decoded = zip(*got, strict=True) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

@@ -77,7 +77,8 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import bpe_digests
 
-    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+    # No other operator's memory is in use beside it.
+    return bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), keep=160 << 20)
 
 
 def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -192,6 +193,26 @@ def test_secret_features_in_plain_python(spark):
             assert abs(got[name] - want) < 1e-9, (r.candidate, name)
 
 
+def test_features_of_long_candidates(spark):
+    """All of a candidate's letters count, wherever stretches of them end; and a very long one takes no time that grows with its square."""
+    say = "riverbank stone-view Xq map errorvalue zzq tablestarts ".replace(" ", "")
+    texts = ["q" * n + "stone" + "e" * k for n in (*range(122, 132), 250, 260) for k in (0, 1)] + [say * 200, "-".join(["9" * 200, say]), "b" * 128, "b" * 129, "river9" * 300, "\U0001f511" * 150 + "stones"]
+    long = "stoneq" * 100_000
+    df = secrets.with_features(spark.createDataFrame([(t, "", "", "") for t in [*texts, long]], "candidate string, before string, after string, path string"), LANGUAGE)
+    names = list(secrets.features(LANGUAGE))
+    for r in df.collect():
+        got = dict(zip(names, r.f.toArray().tolist(), strict=True))
+        if r.candidate == long:
+            assert abs(got["dictionary"] - 5 / 6) < 1e-9 and abs(got["probable"] - probable(long)) < 1e-9
+            continue
+        low = r.candidate.lower()
+        assert abs(got["probable"] - probable(low)) < 1e-9 and abs(got["dictionary"] - covered(low) / len(low)) < 1e-9, r.candidate[:20]
+    # Pairs of letters of all documents too.
+    own = secrets.learn(spark.createDataFrame([(t,) for t in texts], "text string"))
+    seen = Counter(run[i : i + 2] for t in texts for run in re.findall("[a-z]{3,}", t.lower()) for i in range(len(run) - 1))
+    assert own.pairs == secrets._logs(seen)
+
+
 def test_findings_of_kinds_that_were_not_learnt(spark):
     """Recall and precision of the forest on kinds of keys, and of harmless runs, that example_findings() has none of."""
     rng = random.Random(12)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from .chunks import Memo, in_groups, is_long, split_white
-from .common import slices, text_pieces
+from .common import give_back, slices, text_pieces
 from .labelled import gathered, sample, with_scores
 
 BUCKETS = 1 << 22
@@ -82,11 +82,24 @@ class Machine:
         return float(1 / (1 + np.exp(-min(max(z, -500.0), 500.0))))
 
 
-def associated(term: np.ndarray, of: np.ndarray, labels: np.ndarray, terms: int, least: float, most: int) -> np.ndarray:
-    """Up to most of the terms that go with the label with a chi-squared above least; term and of are pairs (term, document)."""
-    n, positive = len(labels), int(labels.sum())
-    with_all = np.bincount(term, minlength=terms).astype(np.float64)
-    with_positive = np.bincount(term[(labels == 1)[of]], minlength=terms).astype(np.float64)
+def _blocks(n: int, size: int = 1 << 18):
+    """Slices of so many pairs, so that what is made of pairs on the way to a sum stays small."""
+    return (slice(a, min(n, a + size)) for a in range(0, n, size))
+
+
+def associated(term: np.ndarray, of: np.ndarray, labels: np.ndarray, terms: int, least: float, most: int, among: np.ndarray | None = None) -> np.ndarray:
+    """Up to most of the terms that go with the label with a chi-squared above least; term and of are pairs (term, document).
+
+    among: which documents count; all if not given.
+    """
+    among = np.ones(len(labels), bool) if among is None else among
+    n, positive = int(among.sum()), int(labels[among].sum())
+    with_all, with_positive = np.zeros(terms, np.int64), np.zeros(terms, np.int64)
+    for some in _blocks(len(term)):
+        own = among[of[some]]
+        t, d = term[some][own], of[some][own]
+        with_all += np.bincount(t, minlength=terms)
+        with_positive += np.bincount(t[labels[d] == 1], minlength=terms)
     expected = with_all * positive / max(1, n)
     spread = expected * (1 - positive / max(1, n)) * (1 - with_all / max(1, n))
     chi2 = np.where((with_all >= 3) & (spread > 0), (with_positive - expected) ** 2 / np.maximum(spread, 1e-12), 0)
@@ -99,28 +112,29 @@ def train(documents: list[np.ndarray], labels: np.ndarray, steps: int = 6000, ba
     n, positive = len(labels), int(labels.sum())
     if not positive or positive == n:
         return Machine(np.zeros(0, np.int64), 0.0, np.zeros(0), np.zeros((0, FACTORS)))
-    # Pairs of a term and a document are millions: they are held as 32 bits, and masked by tables.
-    doc = np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in documents])
+    # Pairs of a term and a document are millions: they are held as 32 bits, and gone through in blocks.
     flat = np.concatenate(documents)
     seen = np.unique(flat)
-    back = np.searchsorted(seen, flat).astype(np.int32)
+    back = np.empty(len(flat), np.int32)
+    for some in _blocks(len(flat)):
+        back[some] = np.searchsorted(seen, flat[some])
     del flat
+    doc = np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in documents])
     chosen = associated(back, doc, labels, len(seen), ALONE, FEATURES * 3 // 4)
     known = np.zeros(len(seen), bool)
     known[chosen] = True
     holds = np.zeros(n, bool)
     holds[doc[known[back]]] = True
-    inside = holds[doc]
-    within = np.cumsum(holds, dtype=np.int32) - 1
-    beside = associated(back[inside], within[doc[inside]], labels[holds], len(seen), BESIDE, FEATURES // 4)
+    beside = associated(back, doc, labels, len(seen), BESIDE, FEATURES // 4, holds)
     chosen = np.union1d(chosen, beside)
-    place = np.full(len(seen), -1, np.int32)
+    known[chosen] = True
+    place = np.zeros(len(seen), np.int32)
     place[chosen] = np.arange(len(chosen))
-    there = place[back] >= 0
+    there = known[back]
     doc, at = doc[there], place[back[there]]
-    del back, there, inside
-    x = np.zeros((n, len(chosen)), np.float32)
-    x[doc, at] = 1
+    del back, there
+    x = np.zeros((n, len(chosen)), bool)
+    x[doc, at] = True
     rng = np.random.default_rng(seed)
     v = rng.normal(0, 0.05, (len(chosen), FACTORS)).astype(np.float32)
     w, w0 = np.zeros(len(chosen), np.float32), np.float32(np.log(positive / (n - positive)))
@@ -132,7 +146,7 @@ def train(documents: list[np.ndarray], labels: np.ndarray, steps: int = 6000, ba
         whole = epoch >= epochs * WHOLE
         for k in range(0, n, batch):
             some = order[k : k + batch]
-            b = x[some] if whole else x[some] * (rng.random((len(some), len(chosen)), np.float32) >= drop)
+            b = (x[some] if whole else x[some] & (rng.random((len(some), len(chosen)), np.float32) >= drop)).astype(np.float32)
             q = b @ v
             z = w0 + b @ w + 0.5 * ((q * q).sum(1) - b @ (v * v).sum(1))
             e = ((1 / (1 + np.exp(-np.clip(z, -60, 60))) - labels[some]) * weight[some]).astype(np.float32) / len(some)
@@ -191,6 +205,7 @@ def _learned(docs: DataFrame, labels: DataFrame, label: str, of: int, left: int,
     documents = [np.frombuffer(x.as_buffer(), "<u4") for x in known["terms"]]
     shared = docs.sparkSession.sparkContext.broadcast(train(documents, known["label"].to_numpy().astype(np.int64)))
     del documents, known
+    give_back()
 
     key = uuid.uuid4().hex
 

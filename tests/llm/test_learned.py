@@ -1,13 +1,16 @@
+import ctypes
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabloom.llm import neighbours, quality, secrets, toxicity
+from tabloom.llm import common, neighbours, quality, secrets, toxicity
 
 
 @pytest.fixture(scope="module")
@@ -54,6 +57,30 @@ def test_factors_see_pairs():
     assert both > 0.9 and one < 0.1 and float(m.factors[m.feature[1]] @ m.factors[m.feature[2]]) != 0
 
 
+def test_training_takes_little_memory():
+    """Beside its input, training takes some bytes for a pair of a term and a document, not a multiple of them."""
+    rng = np.random.default_rng(1)
+    docs = [np.unique(rng.integers(0, 60_000, 2000)).astype("<u4") for _ in range(1500)]
+    labels = (np.arange(1500) % 3 == 0).astype(np.int64)
+    docs = [np.union1d(d, [70_000 + int(y)]).astype("<u4") for d, y in zip(docs, labels, strict=True)]
+    tracemalloc.start()
+    machine = toxicity.train(docs, labels, steps=10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {70_000, 70_001} <= set(machine.feature) and peak < 20 * sum(map(len, docs))
+
+
+@pytest.mark.skipif(not hasattr(ctypes.CDLL(None), "malloc_trim"), reason="needs glibc")
+def test_freed_memory_is_given_back():
+    """What is freed below memory that is still in use goes back to the system."""
+    held = lambda: sum(int(x) for x in re.findall(r"\nPss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())) / 1024
+    rows = [bytes(5000) for _ in range(40_000)]
+    pin, full = bytes(5000), held()
+    del rows
+    common.give_back()
+    assert held() < full - 150 and len(pin) == 5000
+
+
 TEXTS = ["the cat the the cat", "Ab!! ab ab", "x", "", None, "  \n ", "naïve 日本語 日本語", "one " * 300]
 
 

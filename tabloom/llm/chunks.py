@@ -50,14 +50,29 @@ class Memo(dict):
 
     def learn(self, lists: Iterable[list[str]]) -> None:
         """Work out all chunks of lists. Those beyond the bound are held only until the next call."""
-        if Memo.in_use is not self:
-            forget()
-            Memo.in_use = self
+        self._take_over()
         missing: set[str] = set()
         for chunks in lists:
             missing.update(chunks)
+        self._work_out([c for c in missing if c not in self and c not in self.fixed])
+
+    def values_of(self, chunks: list[str]) -> list:
+        """The values of chunks, none of which is None. As learn() does, but what is known is looked up just once."""
+        self._take_over()
+        values = list(map(self.get, chunks))
+        unknown = [i for i, v in enumerate(values) if v is None]
+        self._work_out([c for c in {chunks[i] for i in unknown} if c not in self.fixed])
+        for i in unknown:
+            values[i] = self[chunks[i]]
+        return values
+
+    def _take_over(self) -> None:
+        if Memo.in_use is not self:
+            forget()
+            Memo.in_use = self
+
+    def _work_out(self, new: list[str]) -> None:
         self.passing = {}
-        new = [c for c in missing if c not in self and c not in self.fixed]
         if not new:
             return
         held = self.held

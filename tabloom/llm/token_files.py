@@ -24,6 +24,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ ROWS, FILE_TOKENS = 8192, 1 << 23
 #: Tasks that read files back, at most.
 READERS = 8192
 #: Chunks that are encoded as one text, and what may part them there: the first of these that is one token.
-JOINED, MARKS = 1024, "~|^"
+JOINED, MARKS = 128, "~|^"
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -86,15 +87,17 @@ class Codes:
 
     def slice(self, start: int, end: int) -> np.ndarray:
         """Ids start to end - 1, through the ranks of start only."""
-        out = np.zeros(end - start, np.uint32)
-        where, shift, level = np.arange(end - start), 0, 0
-        while end > start:
-            chunks, bitmap, _ = self.levels[level]
-            out[where] |= chunks[start:end].astype(np.uint32) << np.uint32(shift)
-            bits = np.unpackbits(bitmap[start // 8 : (end + 7) // 8], bitorder="little")[start % 8 : start % 8 + end - start].astype(bool)
-            where = where[bits]
-            start = self.rank(level, start) if len(where) else 0
-            end, level, shift = start + len(where), level + 1, shift + 8
+        return self._values(0, start, end)
+
+    def _values(self, level: int, start: int, end: int) -> np.ndarray:
+        chunks, bitmap, _ = self.levels[level]
+        out = chunks[start:end].astype(np.uint32)
+        bits = np.unpackbits(bitmap[start // 8 : (end + 7) // 8], bitorder="little")[start % 8 : start % 8 + end - start].view(bool)
+        n = int(np.count_nonzero(bits))
+        if n:
+            first, more = self.rank(level, start), np.zeros(end - start, np.uint32)
+            more[bits] = self._values(level + 1, first, first + n)
+            out |= more << np.uint32(8)
         return out
 
     def dump(self, f) -> None:
@@ -210,16 +213,13 @@ def encode_to_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
     memo, fold = library_memo(path), folded(path)
     for a, b in in_groups(texts):
         if is_long(texts, a, b):
-            whole = []
-            for piece in text_pieces(texts[a]):
-                chunks = split_white(fold(piece))
-                memo.learn([chunks])
-                whole.append(b"".join(map(memo.__getitem__, chunks)))
-            yield b"".join(whole)
+            yield b"".join([b"".join(memo.values_of(split_white(fold(piece)))) for piece in text_pieces(texts[a])])
             continue
         lists = [split_white(fold(t or "")) for t in texts[a:b]]
-        memo.learn(lists)
-        yield from [b"".join(map(memo.__getitem__, chunks)) for chunks in lists]
+        values, at = memo.values_of(list(chain.from_iterable(lists))), 0
+        for n in map(len, lists):
+            yield b"".join(values[at : at + n])
+            at += n
 
 
 def _files(path: str) -> tuple[pafs.FileSystem, str]:

@@ -140,3 +140,15 @@ def test_a_memo_stays_within_its_bytes():
         memo.learn([some])
         assert all(memo[c] == (c, len(c)) for c in some)
     assert memo.held < 21_000 and sum(chunks._bytes(c, v) for c, v in memo.items()) == memo.held and "y" * 5000 not in memo
+
+
+def test_known_chunks_are_looked_up_once():
+    """values_of() gives what learn() and lookups give, works out each unknown chunk once, and keeps within the bound."""
+    asked = []
+    memo = chunks.Memo(lambda new: [asked.append(c) or c.encode() for c in new], 1000)
+    first = ["a", "b", "a", "c" * 100, "c" * 100, "", "b"]
+    assert memo.values_of(first) == [c.encode() for c in first] and sorted(asked) == ["", "a", "b", "c" * 100]
+    many = [f"word{i % 50}" for i in range(200)] + first
+    assert memo.values_of(many) == [c.encode() for c in many] and memo.held < 1300 and len(set(asked)) == 54
+    asked.clear()
+    assert memo.values_of(["a", "b", "a"]) == [b"a", b"b", b"a"] and not asked and memo.values_of([]) == []

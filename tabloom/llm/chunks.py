@@ -12,7 +12,7 @@ import pyarrow as pa
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _WHITE = re.compile(f"[{WHITE}]+")
 #: str.split() also splits at these, which the tokenizer takes for ordinary characters.
-_ODD = re.compile("[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
 #: Bytes of the chunks and values that a worker keeps, and the longest chunk among them; what else there is, is worked
 #: out again where it occurs.
 KEEP, LONGEST = 40 << 20, 64
@@ -21,7 +21,7 @@ GROUP_CHARS = 1 << 20
 
 
 def split_white(text: str) -> list[str]:
-    if _ODD.search(text) is None:
+    if not any(x in text for x in _ODD):
         return text.split()
     return [x for x in _WHITE.split(text) if x]
 

@@ -44,6 +44,8 @@ ROWS, FILE_TOKENS = 8192, 1 << 23
 READERS = 8192
 #: Chunks that are encoded as one text, and what may part them there: the first of these that is one token.
 JOINED, MARKS = 128, "~|^"
+#: Bytes of the chunks and ids that a worker keeps.
+KEPT = 96 << 20
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
 
@@ -55,14 +57,17 @@ class Codes:
 
     @classmethod
     def of(cls, ids: np.ndarray) -> Codes:
-        levels, rest = [], np.asarray(ids, np.uint32)
+        levels, rest = [], np.asarray(ids)
+        if rest.dtype != np.uint16:
+            rest = rest.astype(np.uint32, copy=False)
         while True:
             goes_on = rest > 255
             bitmap = np.packbits(goes_on, bitorder="little")
             bitmap = np.concatenate([bitmap, np.zeros(-len(bitmap) % (BITS // 8), np.uint8)])
             per_block = _ONES[bitmap].reshape(-1, BITS // 8).sum(1, dtype=np.uint64)
-            levels.append(((rest & 255).astype(np.uint8), bitmap, np.concatenate([[0], np.cumsum(per_block)]).astype(np.uint64)))
-            rest = rest[goes_on] >> 8
+            levels.append((rest.astype(np.uint8), bitmap, np.concatenate([[0], np.cumsum(per_block)]).astype(np.uint64)))
+            rest = rest[goes_on]
+            rest >>= 8
             if not len(rest):
                 return cls(len(ids), levels)
 
@@ -105,7 +110,7 @@ class Codes:
         for chunks, bitmap, directory in self.levels:
             f.write(struct.pack("<QQQ", len(chunks), len(bitmap), len(directory)))
             for a in (chunks, bitmap, directory):
-                f.write(a.tobytes())
+                f.write(a.data)
 
     @classmethod
     def load(cls, f) -> Codes:
@@ -117,15 +122,13 @@ class Codes:
         return cls(n, levels)
 
 
-def file_bytes(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
-    f = io.BytesIO()
+def write_file(f, doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> None:
     f.write(MAGIC)
     f.write(struct.pack("<Q", len(doc_ids)))
     f.write(np.array([d is None for d in doc_ids], np.uint8).tobytes())
     f.write(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
     f.write(np.concatenate([[0], np.cumsum(lengths)]).astype("<u8").tobytes())
     Codes.of(ids).dump(f)
-    return f.getvalue()
 
 
 def open_file(data: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
@@ -139,41 +142,61 @@ def open_file(data: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
     return [None if x else int(d) for x, d in zip(null, ids, strict=True)], np.frombuffer(f.read(8 * n + 8), "<u8").astype(np.int64), Codes.load(f)
 
 
+@lru_cache(2)
+def _about(path: str) -> tuple[list[dict], list[str], int]:
+    """A tokenizer's normalizers, what it has as added tokens, and its largest id."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    own, added = spec.get("normalizer") or {}, spec.get("added_tokens", [])
+    return own.get("normalizers", [own]), [x["content"] for x in added], max([0, *spec["model"]["vocab"].values(), *[x["id"] for x in added]])
+
+
+def id_type(path: str) -> np.dtype:
+    """The narrower type of 16 or 32 bits that holds each id of a tokenizer."""
+    return np.dtype("<u2" if _about(path)[2] < 1 << 16 else "<u4")
+
+
 @lru_cache(2)
 def library_memo(path: str) -> Memo:
-    """Ids, as bytes, that the tokenizers library gives for chunks; white space never takes part in a token of it."""
+    """Ids, as bytes of id_type(), that the tokenizers library gives for chunks; white space never takes part in a token of it."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(path)
+    tokenizer, kind, lowered = Tokenizer.from_file(path), id_type(path), lower_caser(path)
     tokenizer.no_padding()
     tokenizer.no_truncation()
+    # For text that the normalizer would leave as it is, and that holds no added token: the same model without them.
+    settled = tokenizer
+    if all(x.get("type") != "Replace" or (x["pattern"], x["content"]) == ({"Regex": "\\s+"}, " ") for x in _about(path)[0]):
+        settled = Tokenizer(tokenizer.model)
+        settled.pre_tokenizer = tokenizer.pre_tokenizer
 
     mark, mark_id = next(((x, ids[0]) for x in MARKS if len(ids := tokenizer.encode(x, add_special_tokens=False).ids) == 1), (None, None))
 
     def alone(chunks: list[str]) -> Iterator[bytes]:
         for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
-            ids = e.ids
-            yield struct.pack(f"<{len(ids)}I", *ids)
+            yield np.array(e.ids, kind).tobytes()
 
     def work(chunks: list[str]) -> Iterator[bytes]:
         """Many chunks as one text, parted by a mark that no chunk holds: the library takes time for each text."""
         for at in range(0, len(chunks), JOINED):
             some = chunks[at : at + JOINED]
-            if mark is None or any(mark in c for c in some):
+            text = f" {mark} ".join(some)
+            if mark is None or text.count(mark) != len(some) - 1:
                 yield from alone(some)
                 continue
-            ids = np.array(tokenizer.encode_batch_fast([f" {mark} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            by = settled if lowered(text) == text else tokenizer
+            ids = np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, kind)
             cuts = np.flatnonzero(ids == mark_id).tolist()
             if len(cuts) != len(some) - 1:
                 yield from alone(some)
                 continue
-            raw = ids.tobytes()
-            yield from [raw[4 * i : 4 * j] for i, j in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True)]
+            raw, size = ids.tobytes(), kind.itemsize
+            yield from [raw[size * i : size * j] for i, j in zip([0, *[c + 1 for c in cuts]], [*cuts, len(ids)], strict=True)]
 
-    return Memo(work, 128 << 20)
+    return Memo(work, KEPT)
 
 
 #: Letters whose lower case may not be what the tokenizer makes of them one by one, or that meet others before that.
@@ -181,22 +204,31 @@ _APART = re.compile("[^\x00-\u012f\u0131-\u02ff]")
 
 
 @lru_cache(2)
-def folded(path: str) -> Callable[[str], str]:
-    """Lower-cases a text if the tokenizer would do just that, so that fewer chunks are different."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    own = spec.get("normalizer") or {}
-    kinds = {x.get("type") for x in own.get("normalizers", [own])}
-    special = [x["content"].lower() for x in spec.get("added_tokens", [])]
+def lower_caser(path: str) -> Callable[[str], str | None]:
+    """Gives a text in lower case if the tokenizer's normalizer would do just that between white space, else None."""
+    normalizers, added, _ = _about(path)
+    kinds, special = {x.get("type") for x in normalizers}, [x.lower() for x in added]
     if "Lowercase" not in kinds or not kinds <= {"NFC", "Replace", "Lowercase"}:
-        return lambda text: text
+        return lambda text: None
 
-    def fold(text: str) -> str:
-        if _APART.search(text):
-            return text
+    def lowered(text: str) -> str | None:
+        if not text.isascii() and _APART.search(text):
+            return None
         low = text.lower()
         # What only looks like a special token isn't one.
-        return text if any(x in low for x in special) else low
+        return None if any(x in low for x in special) else low
+
+    return lowered
+
+
+@lru_cache(2)
+def folded(path: str) -> Callable[[str], str]:
+    """Lower-cases a text if the tokenizer would do just that, so that fewer chunks are different."""
+    lowered = lower_caser(path)
+
+    def fold(text: str) -> str:
+        low = lowered(text)
+        return text if low is None else low
 
     return fold
 
@@ -209,16 +241,21 @@ def check_chunkable(path: str) -> None:
         raise ValueError("the tokenizer must end words at white space")
 
 
-def encode_to_bytes(texts: list[str | None], path: str) -> Iterator[bytes]:
-    memo, fold = library_memo(path), folded(path)
+def encode_to_bytes(texts: list[str | None], path: str, kind: np.dtype = np.dtype("<u4")) -> Iterator[bytes]:
+    """The ids of each text as bytes of kind."""
+    memo, fold, own = library_memo(path), folded(path), id_type(path)
+
+    def typed(raw: bytes) -> bytes:
+        return raw if kind == own else np.frombuffer(raw, own).astype(kind).tobytes()
+
     for a, b in in_groups(texts):
         if is_long(texts, a, b):
-            yield b"".join([b"".join(memo.values_of(split_white(fold(piece)))) for piece in text_pieces(texts[a])])
+            yield typed(b"".join([b"".join(memo.values_of(split_white(fold(piece)))) for piece in text_pieces(texts[a])]))
             continue
         lists = [split_white(fold(t or "")) for t in texts[a:b]]
         values, at = memo.values_of(list(chain.from_iterable(lists))), 0
         for n in map(len, lists):
-            yield b"".join(values[at : at + n])
+            yield typed(b"".join(values[at : at + n]))
             at += n
 
 
@@ -226,11 +263,12 @@ def _files(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path)
 
 
-def put(folder: str, name: str, data: bytes) -> None:
+def put(folder: str, name: str, write: Callable) -> None:
+    """A new file of folder; write(stream) fills it."""
     fs, base = _files(folder)
     fs.create_dir(base, recursive=True)
     with fs.open_output_stream(posixpath.join(base, name)) as f:
-        f.write(data)
+        write(f)
 
 
 def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1, rows: int = ROWS) -> DataFrame:
@@ -239,28 +277,31 @@ def write_token_files(docs: DataFrame, path: str, folder: str, end_id: int = 1,
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     docs = docs.withColumn("digest", F.xxhash64("text"))
     ranges = max(1, -(-docs.count() // rows))
-    end = struct.pack("<I", end_id)
 
     def run(batches):
         part = TaskContext.get().partitionId()
+        kind = np.result_type(id_type(path), np.min_scalar_type(end_id))
+        end = np.array([end_id], kind).tobytes()
         doc_ids: list[int | None] = []
-        parts: list[bytes] = []
-        tokens = made = 0
+        lengths: list[int] = []
+        held = bytearray()
+        made = 0
 
         def flush():
-            nonlocal doc_ids, parts, tokens, made
-            name = f"{part:08d}-{made:06d}-{uuid.uuid4().hex}.dac"
-            put(folder, name, file_bytes(doc_ids, [len(x) // 4 for x in parts], np.frombuffer(b"".join(parts), "<u4")))
-            row = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([made]), pa.array([name]), pa.array([len(doc_ids)]), pa.array([tokens])], names=["part", "piece", "file", "n_docs", "n_tokens"])
-            doc_ids, parts, tokens, made = [], [], 0, made + 1
+            nonlocal doc_ids, lengths, held, made
+            name, ids = f"{part:08d}-{made:06d}-{uuid.uuid4().hex}.dac", np.frombuffer(held, kind)
+            put(folder, name, lambda f: write_file(f, doc_ids, lengths, ids))
+            row = pa.RecordBatch.from_arrays([pa.array([part]), pa.array([made]), pa.array([name]), pa.array([len(doc_ids)]), pa.array([len(ids)])], names=["part", "piece", "file", "n_docs", "n_tokens"])
+            doc_ids, lengths, held, made = [], [], bytearray(), made + 1
             return row
 
         for some in slices(batches, 512):
-            for doc, ids in zip(some.column("doc_id").to_pylist(), encode_to_bytes(some.column("text").to_pylist(), path), strict=True):
+            for doc, ids in zip(some.column("doc_id").to_pylist(), encode_to_bytes(some.column("text").to_pylist(), path, kind), strict=True):
                 doc_ids.append(doc)
-                parts.append(ids + end)
-                tokens += len(ids) // 4 + 1
-                if tokens >= FILE_TOKENS:
+                lengths.append(len(ids) // kind.itemsize + 1)
+                held += ids
+                held += end
+                if len(held) >= FILE_TOKENS * kind.itemsize:
                     yield flush()
         if doc_ids:
             yield flush()

@@ -1,5 +1,7 @@
 import hashlib
+import io
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -152,3 +154,32 @@ def test_known_chunks_are_looked_up_once():
     assert memo.values_of(many) == [c.encode() for c in many] and memo.held < 1300 and len(set(asked)) == 54
     asked.clear()
     assert memo.values_of(["a", "b", "a"]) == [b"a", b"b", b"a"] and not asked and memo.values_of([]) == []
+
+
+def test_ids_are_held_and_written_in_little_memory(library):
+    """The memo holds 16 bits an id where they suffice; codes are made of such ids, and written, without wide copies."""
+    some = ["zqxzqx", "naïve!!", "<|endoftext|>", "ΣΑΣ"]
+    want = [library.encode(c, add_special_tokens=False).ids for c in some]
+    assert token_files.library_memo(WORD).values_of(some) == [np.array(x, "<u2").tobytes() for x in want]
+    ids = np.random.default_rng(0).integers(0, 49408, 1 << 20).astype("<u2")
+    f = io.BytesIO(bytes(4 << 20))  # has its place already
+    tracemalloc.start()
+    token_files.Codes.of(ids).dump(f)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    f.seek(0)
+    assert (token_files.Codes.load(f).slice(0, len(ids)) == ids).all() and most < 6 * len(ids)
+
+
+def test_odd_texts_encode_to_bytes_as_in_the_library(library, odd_texts):
+    """Of any width, and also the texts that are lowered already, for which the normalizer is left out."""
+    some = odd_texts + [(t or "").lower() for t in odd_texts]
+    for kind in ("<u4", "<u2"):
+        for t, raw in zip(some, token_files.encode_to_bytes(some, WORD, np.dtype(kind)), strict=True):
+            assert np.frombuffer(raw, kind).tolist() == library.encode(t or "", add_special_tokens=False).ids
+
+
+def test_an_end_id_of_more_than_16_bits(spark, docs, library, texts):
+    got = token_files.token_files(spark, docs, WORD, end_id=70_000).where("doc_id = 11").first()
+    want = [*library.encode(dict(texts)[11], add_special_tokens=False).ids, 70_000]
+    assert (got.n_tokens, got.ids_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
